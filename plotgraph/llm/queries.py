@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, tokens, toxicity
+from . import bpe, embed_dedup, mixing, quality, simhash, tokens, toxicity
 from .common import fold, table
 
 
@@ -32,6 +32,10 @@ def _labels(spark: SparkSession, sf_dir: str, column: str, modulus: int, held: i
     return table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), modulus) != held).select("doc_id", F.col(column).alias("label"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
