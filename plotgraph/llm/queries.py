@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, knn, lines, mixing, quality, simhash, tokens, toxicity
+from . import bpe, embed_dedup, knn, licenses, lines, mixing, quality, simhash, tokens, toxicity
 from .common import fold, table
 
 
@@ -36,6 +36,10 @@ def _labels(spark: SparkSession, sf_dir: str, column: str, modulus: int, held: i
     return table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), modulus) != held).select("doc_id", F.col(column).alias("label"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.fit(spark))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_license_scan": op5_license_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
