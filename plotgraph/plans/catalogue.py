@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import graph_queries
+from .graph_queries import trace_forward
+
+_PARTS = (graph_queries,)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "trace_forward"]
