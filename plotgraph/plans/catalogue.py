@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import cell_queries, graph_queries
 from .graph_queries import trace_forward
 
-_PARTS = (graph_queries,)
+_PARTS = (graph_queries, cell_queries)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}
