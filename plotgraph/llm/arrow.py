@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 #: Text bytes that one output batch is made from, about.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

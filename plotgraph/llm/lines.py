@@ -54,14 +54,36 @@ def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     return _mix(padded[at]), count
 
 
+def _mix32(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
 def bands(lines: list[str], n_bands: int = BANDS, n_rows: int = ROWS, size: int = SHINGLE) -> np.ndarray:
-    """Band hashes of each line: a one-permutation MinHash whose empty bins take the next full bin's value."""
+    """Band hashes of each line: a one-permutation MinHash whose empty bins take the next full bin's value.
+
+    Signatures use 32-bit hashes, of which a line's shingles rarely share one; candidates are verified anyway.
+    """
     bins = n_bands * n_rows
-    none = np.uint64(0xFFFFFFFF)
-    low = np.full(len(lines) * bins, none, "u8")
-    h, count = shingle_hashes(lines, size)
-    place = np.repeat(np.arange(len(lines), dtype="i8"), count) * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype("i8")
-    np.minimum.at(low, place, h & none)
+    none = np.uint32(0xFFFFFFFF)
+    low = np.full(len(lines) * bins, none, "u4")
+    if lines:
+        # Zeros between lines: as many as a shingle has characters.
+        gap = "\0" * size
+        h = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), "<u4")
+        step, base = 1, 0x9E3779B1
+        while step < size:
+            h = h[:-step] * np.uint32(base) + h[step:]
+            base = base * base % 2**32
+            step *= 2
+        length = np.fromiter(map(len, lines), "i8", len(lines))
+        wide = length + size
+        count = np.where(length > 0, np.maximum(length - size + 1, 1), 0)
+        line = np.repeat(np.arange(len(lines)), wide)[: len(h)]
+        whole = np.arange(len(h)) < np.repeat(np.cumsum(wide) - wide + count, wide)[: len(h)]
+        h = _mix32(h[whole])
+        np.minimum.at(low, line[whole] * bins + (((h >> np.uint32(16)) * np.uint32(bins)) >> np.uint32(16)), h)
     low = low.reshape(len(lines), bins)
     for _ in range(2):  # the second turn goes around the end
         for k in range(bins - 1, -1, -1):
@@ -92,7 +114,7 @@ def content(line: Column) -> Column:
 
 def _signatures(batches):
     """Texts to rows ``band, key``: once per distinct line of a batch."""
-    for batch in pieces(batches, "text", 4_000_000):
+    for batch in pieces(batches, "text", 1_000_000):
         seen: dict[str, None] = {}
         for t in batch.column("text").to_pylist():
             for line in (t or "").split("\n"):
@@ -125,61 +147,72 @@ def _shared(batches):
         band, key, told = b[-1], k[-1], bool(keep[-1])
 
 
-def similar_lines(keys: np.ndarray, lines: list[str], first: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Stars ``a, b`` of keys that connect all lines of exact Jaccard ``threshold`` or more; with ``first``, only lines of it to the others.
+def similar_sets(keys: np.ndarray, sets: list[np.ndarray], first: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars ``a, b`` of keys that connect all sets (sorted, distinct) of Jaccard ``threshold`` or more; with ``first``, only sets of one side to the other's.
 
-    Each line taken from the queue is compared with all lines not reached yet,
-    so one comparison round per component and link step is enough.
+    Each set taken from the queue is compared with all sets not reached yet, so
+    one comparison round per component and link step is enough.
     """
-    h, count = shingle_hashes(lines)
-    line = np.repeat(np.arange(len(lines)), count)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])) if len(h) else np.zeros(0, bool)
-    h, line = h[new], line[new]
-    sizes = np.bincount(line, minlength=len(lines))
-    ends = np.cumsum(sizes)
-    left = np.ones(len(lines), bool)
-    a, b = [], []
-    if len(lines) == 2:
-        common = len(np.intersect1d(h[: ends[0]], h[ends[0] :], assume_unique=True))
-        hit = common >= threshold * (len(h) - common)
+    if len(sets) == 2:
+        merged = np.sort(np.concatenate(sets))
+        common = int((merged[1:] == merged[:-1]).sum())
+        hit = common >= threshold * (len(merged) - common)
         return (keys[:1], keys[1:]) if hit else (keys[:0], keys[:0])
-    for start in range(len(lines)):
+    sizes = np.fromiter(map(len, sets), "i8", len(sets))
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    left = np.ones(len(sets), bool)
+    a, b = [], []
+    for start in range(len(sets)):
         if not left[start]:
             continue
         queue = [start]
         left[start] = False
-        while queue:
+        while queue and left.any():
             x = queue.pop()
-            mine = h[ends[x] - sizes[x] : ends[x]]
-            at = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
-            common = np.bincount(line[mine[at] == h], minlength=len(lines))
+            mine = sets[x]
+            at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+            common = np.bincount(of[mine[at] == every], minlength=len(sets))
             near = left & (common >= threshold * (sizes + sizes[x] - common))
             if first is not None:
                 near &= first != first[x]
-            for y in np.flatnonzero(near).tolist():
-                a.append(keys[x])
-                b.append(keys[y])
-                left[y] = False
-                queue.append(y)
-    return np.array(a, "i8"), np.array(b, "i8")
+            found = np.flatnonzero(near)
+            a.append(np.repeat(keys[x], len(found)))
+            b.append(keys[found])
+            left[found] = False
+            queue += found.tolist()
+    return tuple(np.concatenate(x) if x else keys[:0] for x in (a, b))
 
 
 def _verify(threshold: float):
     def work(rows, starts):
+        lines, where = np.unique(rows["line"].astype(object), return_inverse=True)
+        sets: list[np.ndarray] = []
+        room = np.cumsum(np.fromiter(map(len, lines), "i8", len(lines))) // 500_000  # characters hashed at once
+        for part in np.split(lines, np.flatnonzero(np.diff(room)) + 1):
+            h, count = shingle_hashes(part.tolist())
+            ends = np.cumsum(count).tolist()
+            sets += [np.unique(h[lo:hi]) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
         a, b = [], []
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            alone = rows["_lo"][lo] == rows["_hi"][lo]
-            x, y = similar_lines(rows["key"][lo:hi], rows["line"][lo:hi].tolist(), None if alone else rows["_side"][lo:hi], threshold)
-            a.append(x)
-            b.append(y)
-        x, y = local_roots(np.concatenate(a), np.concatenate(b))
+        alone = (rows["_lo"] == rows["_hi"])[starts[:-1]].tolist()
+        for lo, hi, one in zip(starts[:-1].tolist(), starts[1:].tolist(), alone, strict=True):
+            x, y = similar_sets(rows["key"][lo:hi], [sets[k] for k in where[lo:hi]], None if one else rows["_side"][lo:hi], threshold)
+            if len(x):
+                a.append(x)
+                b.append(y)
+        x, y = local_roots(*(np.concatenate(x) if x else np.zeros(0, "i8") for x in (a, b)))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     return by_groups(["band", "_lo", "_hi"], work, ["band", "key", "line", "_lo", "_hi", "_side"])
 
 
+def different_sets(shared: DataFrame) -> DataFrame:
+    """Of the bands that hold the same keys, one: near copies meet in most bands, and one of them verifies them all."""
+    both = [F.bit_xor(F.xxhash64(F.lit(k), "key")).alias(f"x{k}") for k in (1, 2)]
+    sets = shared.groupBy("band").agg(F.count("*").alias("n"), *both)
+    one = sets.groupBy("n", "x1", "x2").agg(F.min("band").alias("band")).select("band")
+    return shared.join(one, "band", "left_semi")
+
+
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``doc_id, n_lines, removed`` of every id in ``docs(doc_id, text)``: its lines and the numbers (from 0) of those to remove.
 
@@ -200,6 +233,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     banded = docs.select("text").mapInArrow(_signatures, "band long, key long")
     shared = cut(banded.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_shared, "band long, key long"))
+    shared = cut(different_sets(shared))
     wanted = shared.select("key").distinct()
     # Broadcast behind a check of the size: 8 bytes a key.
     wanted = F.broadcast(wanted) if shared.count() <= BROADCAST_KEYS else wanted

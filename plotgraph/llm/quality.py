@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, dict_rows: int = 600, dict_chars: in
 def score(docs: DataFrame, model: dict, name: str = "score", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``name`` (0 to 1, higher: good likelier) and ``predicted`` (1 if ``name`` >= ``threshold``).
 
-    Texts are compressed whole, a batch of about 8 MB at a time.  Null and
+    Texts are compressed whole, a batch of about 4 MB at a time.  Null and
     empty texts score what a text without evidence scores.  Columns of those
     two names are replaced; all others pass through.
     """

@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows:
 def score(docs: DataFrame, model: dict, name: str = "score", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``name`` (0 to 1, higher: toxic likelier) and ``predicted`` (1 if ``name`` >= ``threshold``).
 
-    Whole texts are folded and matched, a batch of about 8 MB at a time.  Null
+    Whole texts are folded and matched, a batch of about 4 MB at a time.  Null
     and empty texts score as a text of no words without a match.  Columns of
     those two names are replaced; all others pass through.
     """
