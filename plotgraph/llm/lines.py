@@ -158,28 +158,32 @@ def similar_sets(keys: np.ndarray, sets: list[np.ndarray], first: np.ndarray | N
         common = int((merged[1:] == merged[:-1]).sum())
         hit = common >= threshold * (len(merged) - common)
         return (keys[:1], keys[1:]) if hit else (keys[:0], keys[:0])
-    sizes = np.fromiter(map(len, sets), "i8", len(sets))
-    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    left = np.ones(len(sets), bool)
-    a, b = [], []
-    for start in range(len(sets)):
-        if not left[start]:
-            continue
-        queue = [start]
-        left[start] = False
-        while queue and left.any():
+    every, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(every), bool)
+    # Members not reached yet: their numbers, sizes, and ids one after the other.
+    left, sizes = np.arange(len(sets)), np.fromiter(map(len, sets), "i8", len(sets))
+    ends = np.cumsum(sizes)
+    span = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+    every_id, a, b = ids, [], []
+    while len(left):
+        queue = [int(left[0])]
+        keep = left != left[0]
+        left, sizes, ids = left[keep], sizes[keep], ids[np.repeat(keep, sizes)]
+        while queue and len(left):
             x = queue.pop()
-            mine = sets[x]
-            at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
-            common = np.bincount(of[mine[at] == every], minlength=len(sets))
-            near = left & (common >= threshold * (sizes + sizes[x] - common))
+            lo, hi = span[x]
+            mark[every_id[lo:hi]] = True
+            common = np.add.reduceat(mark[ids], np.cumsum(sizes) - sizes, dtype="i8")
+            mark[every_id[lo:hi]] = False
+            near = common >= threshold * (sizes + (hi - lo) - common)
             if first is not None:
-                near &= first != first[x]
-            found = np.flatnonzero(near)
-            a.append(np.repeat(keys[x], len(found)))
-            b.append(keys[found])
-            left[found] = False
-            queue += found.tolist()
+                near &= first[left] != first[x]
+            if near.any():
+                found = left[near]
+                a.append(np.repeat(keys[x], len(found)))
+                b.append(keys[found])
+                queue += found.tolist()
+                left, ids, sizes = left[~near], ids[np.repeat(~near, sizes)], sizes[~near]
     return tuple(np.concatenate(x) if x else keys[:0] for x in (a, b))
 
 
