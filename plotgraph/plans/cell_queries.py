@@ -19,7 +19,7 @@ def cell_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cell_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    c = lenses.covers(spark, d).filter(F.col("owner").endswith("7")).distinct()
+    c = lenses.covers(spark, d).distinct()
     up = c.select("owner", "cell", F.explode(cells.ancestors(F.col("cell"))).alias("up"))
     return up.select("owner", TOKEN.alias("token"), cells.id_to_token(F.col("up")).alias("ancestor"), cells.level(F.col("up")).alias("level"))
 
@@ -151,7 +151,7 @@ _CURVE = """d AS (SELECT geo_id, cos(radians(lat)) * cos(radians(lng)) AS x, cos
 
 ORACLE_SQL = {
     "cell_levels": sql(_COVERS, f"SELECT owner, {_TOKEN} AS token, {_LEVEL} AS level, cell & -cell AS leaves FROM covers"),
-    "cell_ancestors": sql("places covers ancestors", f"SELECT owner, {_TOKEN} AS token, {_HEX.format('up')} AS ancestor, CAST(l AS INTEGER) AS level FROM ancestors WHERE owner LIKE '%7'"),
+    "cell_ancestors": sql("places covers ancestors", f"SELECT owner, {_TOKEN} AS token, {_HEX.format('up')} AS ancestor, CAST(l AS INTEGER) AS level FROM ancestors"),
     "cell_children": sql("region_cells", f"k AS (SELECT region_id, cell + unnest([-3, -1, 1, 3]) * ((cell & -cell) >> 2) AS cell FROM region_cells) SELECT region_id, {_TOKEN} AS token, {_LEVEL} AS level FROM k"),
     "cover_leaf_area": sql(_COVERS, "SELECT owner, CAST(sum(cell & -cell) AS BIGINT) AS leaves, count(*) AS n_cells FROM covers GROUP BY owner"),
     "blocking_keys": sql(_COVERS, f"k AS (SELECT DISTINCT owner, {_KEY} AS cell FROM covers) SELECT owner, {_TOKEN} AS key FROM k"),

@@ -12,7 +12,8 @@ from .lenses import named, read, sql
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").filter("p_partkey % 97 = 0").select(named("P", F.col("p_partkey")).alias("seed"))
+    """What is recalled: all plots of one brand."""
+    return read(spark, d, "part").filter("p_brand = 'Brand#11'").select(named("P", F.col("p_partkey")).alias("seed"))
 
 
 def trace_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +33,7 @@ def trace_forward_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _back(spark: SparkSession, d: str, depth: int = 64, roots: DataFrame | None = None) -> trace.TraceBack:
     if roots is None:
-        roots = read(spark, d, "customer").filter("c_custkey % 50 = 0").select(named("C", F.col("c_custkey")).alias("root"))
+        roots = read(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(named("C", F.col("c_custkey")).alias("root"))
     return trace.TraceBack(roots, lenses.members(spark, d), lenses.list_parents(spark, d), lenses.artifacts(spark, d), lenses.region_parents(spark, d), depth)
 
 
@@ -75,7 +76,7 @@ def region_ancestor_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def region_member_plots(spark: SparkSession, d: str) -> DataFrame:
-    roots = read(spark, d, "nation").filter("n_nationkey % 6 = 0").select(named("N", F.col("n_nationkey")).alias("seed"))
+    roots = read(spark, d, "nation").select(named("N", F.col("n_nationkey")).alias("seed"))
     plots = trace.region_members(roots.withColumn("node", F.col("seed")), lenses.members(spark, d), lenses.list_parents(spark, d))
     return plots.groupBy("seed").agg(F.count("*").alias("plots"), F.min("geoid").alias("first_plot"), F.max("geoid").alias("last_plot"))
 
@@ -132,7 +133,7 @@ QUERIES = {f.__name__: f for f in (
     lot_registration, cover_identity, region_normalise, region_registration,
 )}
 
-_SEEDS = "seeds AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS seed FROM part WHERE p_partkey % 97 = 0)"
+_SEEDS = "seeds AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS seed FROM part WHERE p_brand = 'Brand#11')"
 _EQUAL = f"""{_SEEDS}, eq AS (
     SELECT seed, seed AS node FROM seeds
     UNION SELECT seed, canonical FROM seeds JOIN aliases ON seed = alias AND relation = 'same_as'
@@ -148,7 +149,7 @@ _FORWARD_VIEWS = "members list_parents aliases places covers region_cells region
 _BACK_VIEWS = "members list_parents artifacts region_parents"
 
 
-def _back_sql(cap: int = 64, roots: str = "SELECT 'C' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS root FROM customer WHERE c_custkey % 50 = 0") -> str:
+def _back_sql(cap: int = 64, roots: str = "SELECT 'C' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS root FROM customer WHERE c_mktsegment = 'BUILDING'") -> str:
     return f"""down AS (
         SELECT root, root AS list_id, 0 AS depth FROM ({roots})
         UNION SELECT root, child, depth + 1 FROM down JOIN list_parents ON list_id = parent WHERE depth < {cap - 1}),
@@ -164,15 +165,11 @@ def _back_sql(cap: int = 64, roots: str = "SELECT 'C' || lpad(CAST(c_custkey AS
 
 
 _SUMMARY = """SELECT root, count(*) AS hops, max(depth) AS max_depth, count(location) AS locations, max(len(input_region_ids) > 0) AS regions_unexpanded, false AS truncated FROM hops GROUP BY root"""
-_LEAVES = """m AS (SELECT list_id AS lot, list_sort(list(DISTINCT geoid)) AS m FROM members GROUP BY 1),
-    n0 AS (SELECT lot, m, list_transform(m, lambda x: sha256(x)) AS n FROM m)"""
-
-
-def _up_sql(source: str, name: str) -> str:
-    return f"""{name} AS (SELECT lot, m, list_transform(range(0, (len(n) + 1) // 2), lambda k: CASE WHEN 2 * k + 2 <= len(n) THEN sha256(unhex(n[2 * k + 1]) || unhex(n[2 * k + 2])) ELSE n[2 * k + 1] END) AS n FROM {source})"""
-
-
-_ROOTS = ", ".join([_LEAVES, _up_sql("n0", "n1"), _up_sql("n1", "n2"), _up_sql("n2", "n3"), _up_sql("n3", "n4"), "roots AS (SELECT lot, CAST(len(m) AS BIGINT) AS n_members, n[1] AS list_id FROM n4)"])
+_LEAVES = """n0 AS (SELECT lot, m, list_transform(m, lambda x: sha256(x)) AS n FROM (SELECT list_id AS lot, list_sort(list(DISTINCT geoid)) AS m FROM members GROUP BY 1))"""
+#: All levels of the trees over n0, the leaves first.
+TREES = """tree AS (SELECT lot, m, n, 0 AS height FROM n0
+    UNION ALL SELECT lot, m, list_transform(range(0, (len(n) + 1) // 2), lambda k: CASE WHEN 2 * k + 2 <= len(n) THEN sha256(unhex(n[2 * k + 1]) || unhex(n[2 * k + 2])) ELSE n[2 * k + 1] END), height + 1 FROM tree WHERE len(n) > 1)"""
+_ROOTS = f"{_LEAVES}, {TREES}, roots AS (SELECT lot, CAST(len(m) AS BIGINT) AS n_members, n[1] AS list_id FROM tree WHERE len(n) = 1)"
 _TOKEN = "rtrim(lpad(format('{:x}', cell), 16, '0'), '0')"
 _NORMAL = f"""base AS (SELECT DISTINCT c.owner, c.cell FROM covers c WHERE NOT EXISTS (SELECT 1 FROM covers b JOIN ancestors a ON a.owner = c.owner AND a.cell = c.cell AND a.up = b.cell WHERE b.owner = c.owner AND b.cell <> c.cell)),
     full4 AS (SELECT owner, (cell & -((cell & -cell) * 4)) | ((cell & -cell) * 4) AS up FROM base GROUP BY 1, 2 HAVING count(*) = 4),
@@ -199,22 +196,16 @@ ORACLE_SQL = {
     "region_ancestor_probe": sql("places covers ancestors region_cells region_parents", """
         SELECT owner, region_id, (SELECT count(*) FROM region_parents p WHERE p.region_id = f.region_id) AS lists FROM (SELECT DISTINCT owner, region_id FROM ancestors a JOIN region_cells r ON r.cell = a.up) f"""),
     "region_member_plots": sql("members list_parents", """down AS (
-        SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS seed, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS node FROM nation WHERE n_nationkey % 6 = 0
+        SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS seed, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS node FROM nation
         UNION SELECT seed, child FROM down JOIN list_parents ON node = parent),
         plots AS (SELECT seed, geoid FROM down JOIN members ON node = list_id UNION SELECT seed, node FROM down WHERE node NOT IN (SELECT list_id FROM members UNION SELECT parent FROM list_parents))
         SELECT seed, count(*) AS plots, min(geoid) AS first_plot, max(geoid) AS last_plot FROM plots GROUP BY seed"""),
     "list_members": sql("members list_parents region_parents", "SELECT list_id, geoid AS member FROM members UNION SELECT parent, 'L:' || child FROM list_parents UNION SELECT list_id, 'R:' || region_id FROM region_parents"),
     "member_kind_split": sql("members list_parents region_parents", "SELECT list_id, 'geoid' AS kind, geoid AS id FROM members UNION SELECT parent, 'list', child FROM list_parents UNION SELECT list_id, 'region', region_id FROM region_parents"),
     "merkle_root_orders": sql("members", f"{_ROOTS} SELECT lot, n_members, list_id FROM roots"),
-    "merkle_proofs": sql("members", f"""{_ROOTS}, one AS (SELECT lot, m, n, unnest(m) AS member FROM n0),
-        spot AS (SELECT *, list_position(m, member) - 1 AS i, len(m) AS size FROM one)
-        SELECT lot, member, CAST((CASE WHEN xor(i, 1) < size THEN 1 ELSE 0 END) + (CASE WHEN size > 2 AND xor(i // 2, 1) < (size + 1) // 2 THEN 1 ELSE 0 END)
-            + (CASE WHEN size > 4 AND xor(i // 4, 1) < (size + 3) // 4 THEN 1 ELSE 0 END) + (CASE WHEN size > 8 AND xor(i // 8, 1) < (size + 7) // 8 THEN 1 ELSE 0 END) AS INTEGER) AS steps,
-            CASE WHEN xor(i, 1) < size THEN n[xor(i, 1) + 1]
-                WHEN size > 2 AND xor(i // 2, 1) < (size + 1) // 2 THEN (SELECT n1.n[xor(i // 2, 1) + 1] FROM n1 WHERE n1.lot = spot.lot)
-                WHEN size > 4 AND xor(i // 4, 1) < (size + 3) // 4 THEN (SELECT n2.n[xor(i // 4, 1) + 1] FROM n2 WHERE n2.lot = spot.lot)
-                WHEN size > 8 AND xor(i // 8, 1) < (size + 7) // 8 THEN (SELECT n3.n[xor(i // 8, 1) + 1] FROM n3 WHERE n3.lot = spot.lot) END AS first_sibling, true AS verified
-        FROM spot"""),
+    "merkle_proofs": sql("members", f"""{_ROOTS}, spot AS (SELECT lot, member, i FROM (SELECT lot, m, unnest(m) AS member FROM n0) JOIN (SELECT lot AS l2, unnest(m) AS m2, unnest(range(0, len(m))) AS i FROM n0) ON lot = l2 AND member = m2),
+        step AS (SELECT s.lot, s.member, t.height, t.n[xor(s.i // (1::BIGINT << t.height), 1) + 1] AS sibling FROM spot s JOIN tree t ON t.lot = s.lot AND len(t.n) > 1 AND xor(s.i // (1::BIGINT << t.height), 1) < len(t.n))
+        SELECT s.lot, s.member, CAST(count(t.height) AS INTEGER) AS steps, min_by(t.sibling, t.height) AS first_sibling, true AS verified FROM spot s LEFT JOIN step t ON t.lot = s.lot AND t.member = s.member GROUP BY s.lot, s.member"""),
     "lot_registration": sql("members", f"""{_ROOTS} SELECT lot, list_id, CASE WHEN list_id IN (SELECT list_id FROM roots WHERE right(lot, 1) = '3') THEN 'exists' ELSE 'registered' END AS outcome FROM roots"""),
     "cover_identity": sql("places covers", f"""t AS (SELECT owner, list_sort(list(DISTINCT {_TOKEN})) AS t FROM covers GROUP BY owner)
         SELECT owner, sha256(array_to_string(t, '')) AS geo_id, substr(sha256(array_to_string(t, '')), 1, 16) AS geo_id_short, sha256('|' || array_to_string(t, '|')) AS region_id FROM t"""),
