@@ -68,7 +68,7 @@ def is_closed_point(shape: Column) -> Column:
 
 
 def canonical(shape: Column) -> Column:
-    """Rings rounded to six decimals, without repeated or closing vertices or empty rings; outer rings counter-clockwise, holes clockwise, closed; polygons without area are dropped.
+    """Rings rounded to six decimals, without repeated vertices or empty rings, from their smallest vertex; outer rings counter-clockwise, holes clockwise, closed; polygons without area are dropped.
 
     Self-crossing rings are kept as they are; covers read them by the even-odd rule.
     """
@@ -77,7 +77,10 @@ def canonical(shape: Column) -> Column:
         rounded = F.transform(r, lambda p: F.array(F.round(p[0], 6), F.round(p[1], 6)))
         fresh = F.filter(rounded, lambda p, i: (i == 0) | (p != F.get(rounded, i - 1)))
         opened = let(fresh, lambda f: F.when((F.size(f) > 1) & (F.element_at(f, 1) == F.element_at(f, -1)), F.slice(f, 1, F.size(f) - 1)).otherwise(f))
-        return let(opened, lambda o: let(F.when((signed_area(o) > 0) == outer, o).otherwise(F.reverse(o)), lambda x: F.concat(x, F.slice(x, 1, 1))))
+        turned = let(opened, lambda o: F.when((signed_area(o) > 0) == outer, o).otherwise(F.reverse(o)))
+        first = lambda x: F.array_position(x, F.array_min(x)).cast("int")
+        started = let(turned, lambda x: F.when(F.size(x) > 1, F.concat(F.slice(x, first(x), F.size(x)), F.slice(x, F.lit(1), first(x) - 1))).otherwise(x))
+        return let(started, lambda x: F.concat(x, F.slice(x, 1, 1)))
 
     polygons = F.transform(shape, lambda rings: F.transform(rings, lambda r, i: ring(r, i == 0)))
     off_line = lambda r: F.exists(r, lambda p: F.abs((r[1][0] - r[0][0]) * (p[1] - r[0][1]) - (r[1][1] - r[0][1]) * (p[0] - r[0][0])) > 1e-15)
