@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: seconds that clocks may differ by.
 SKEW = 300
@@ -44,7 +45,7 @@ def disclosed_fields(disclosures: Column) -> Column:
     return F.transform(F.filter(read, lambda x: F.get(x, F.lit(1)).startswith("fields.")), lambda x: F.get(x, F.lit(2)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inflate(packed: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """zlib streams unpacked; null where one can't be."""
 

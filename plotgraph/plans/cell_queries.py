@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -10,23 +10,24 @@ from ..operators import overlap, resolve
 from . import lenses
 from .lenses import named, read, sql
 
-TOKEN = cells.id_to_token(F.col("cell"))
+def _token() -> Column:
+    return cells.id_to_token(F.col("cell"))
 
 
 def cell_levels(spark: SparkSession, d: str) -> DataFrame:
-    c = lenses.covers(spark, d).select("owner", TOKEN.alias("token"))
+    c = lenses.covers(spark, d).select("owner", _token().alias("token"))
     return c.select("owner", "token", cells.token_level(F.col("token")).alias("level"), cells.leaf_count(cells.token_to_id(F.col("token"))).alias("leaves"))
 
 
 def cell_ancestors(spark: SparkSession, d: str) -> DataFrame:
     c = lenses.covers(spark, d).distinct()
     up = c.select("owner", "cell", F.explode(cells.ancestors(F.col("cell"))).alias("up"))
-    return up.select("owner", TOKEN.alias("token"), cells.id_to_token(F.col("up")).alias("ancestor"), cells.level(F.col("up")).alias("level"))
+    return up.select("owner", _token().alias("token"), cells.id_to_token(F.col("up")).alias("ancestor"), cells.level(F.col("up")).alias("level"))
 
 
 def cell_children(spark: SparkSession, d: str) -> DataFrame:
     kids = lenses.region_cells(spark, d).select("region_id", F.explode(cells.children(F.col("cell"))).alias("cell"))
-    return kids.select("region_id", TOKEN.alias("token"), cells.level(F.col("cell")).alias("level"))
+    return kids.select("region_id", _token().alias("token"), cells.level(F.col("cell")).alias("level"))
 
 
 def cover_leaf_area(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +36,7 @@ def cover_leaf_area(spark: SparkSession, d: str) -> DataFrame:
 
 def blocking_keys(spark: SparkSession, d: str) -> DataFrame:
     plots = lenses.covers(spark, d).groupBy("owner").agg(F.collect_set("cell").alias("c"))
-    return plots.select("owner", F.explode(cells.blocking_cells(F.col("c"))).alias("cell")).select("owner", TOKEN.alias("key"))
+    return plots.select("owner", F.explode(cells.blocking_cells(F.col("c"))).alias("cell")).select("owner", _token().alias("key"))
 
 
 def _leaves(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +82,7 @@ def cover_containment_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_overlap_pct(spark: SparkSession, d: str) -> DataFrame:
-    tokens = lenses.covers(spark, d).groupBy("owner").agg(F.collect_list(TOKEN).alias("tokens"))
+    tokens = lenses.covers(spark, d).groupBy("owner").agg(F.collect_list(_token()).alias("tokens"))
     p = read(spark, d, "part").filter("p_partkey % 5 in (1, 2, 3)")
     pairs = p.select(named("P", F.col("p_partkey")).alias("a"), named("P", F.col("p_partkey") - F.col("p_partkey") % 5).alias("b"))
     return overlap.token_overlap_percent(pairs, tokens)
