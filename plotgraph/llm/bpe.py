@@ -141,6 +141,19 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: s
     return docs.mapInArrow(add_columns(make, text, [name], 2_000_000), schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids", same: str = "round_trip", leaf: int = LEAF) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: the ids, and whether they decode to the text's bytes."""
+    docs = rename_clashes(docs, [name, same])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType())), T.StructField(same, T.BooleanType())])
+
+    def make(texts):
+        c = codec(path, pattern, leaf)
+        ids = [c.encode(t or "") for t in texts]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) == (t or "").encode() for x, t in zip(ids, texts, strict=True)], pa.bool_())]
+
+    return docs.mapInArrow(add_columns(make, text, [name, same], 2_000_000), schema)
+
+
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", name: str = "decoded", leaf: int = LEAF) -> DataFrame:
     """``docs`` with ``name``: the bytes that the token ids stand for (null: none)."""
     docs = rename_clashes(docs, [name])

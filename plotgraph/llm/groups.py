@@ -33,11 +33,12 @@ def deal_pairs(df: DataFrame, keys: list[str], member: str, block: int = BLOCK)
     return rows.repartition(*keys, "_lo", "_hi").sortWithinPartitions(*keys, "_lo", "_hi", "_side")
 
 
-def by_groups(keys: list[str], work: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], columns: list[str], most: int = 10_000_000):
+def by_groups(keys: list[str], work: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], columns: list[str], most: int = 10_000_000, held_rows: int = 20_000):
     """A function for mapInArrow over sorted groups: calls ``work(columns, starts)`` for several whole groups at a time.
 
     ``starts`` are the groups' first rows and the number of rows.  The sum of
     the squared group sizes of a call stays under ``most``, or it is one group.
+    About ``held_rows`` rows are gathered before a call.
     """
 
     def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -69,7 +70,7 @@ def by_groups(keys: list[str], work: Callable[[dict[str, np.ndarray], np.ndarray
                 continue
             held.append({c: as_numpy(batch.column(c)) for c in columns})
             size += batch.num_rows
-            if size < 20_000:
+            if size < held_rows:
                 continue
             rows = joined(held)
             starts = starts_of(rows)

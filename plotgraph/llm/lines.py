@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .common import cut, rename_clashes
+from .common import cut, let, rename_clashes
 from .components import connected_components, local_roots
 from .groups import by_groups, deal_pairs
 
@@ -17,6 +17,8 @@ from .groups import by_groups, deal_pairs
 SHINGLE = 8
 #: A signature has BANDS bands of ROWS values; at Jaccard 0.8 a pair shares a band with probability 0.995.
 BANDS, ROWS = 10, 4
+#: Lines that one task compares with as many others at once.
+PART = 1024
 #: Candidate lines whose keys are broadcast to fetch their texts; more are fetched by a shuffle join.
 BROADCAST_KEYS = 1_000_000
 
@@ -206,7 +208,7 @@ def _verify(threshold: float):
         x, y = local_roots(*(np.concatenate(x) if x else np.zeros(0, "i8") for x in (a, b)))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return by_groups(["band", "_lo", "_hi"], work, ["band", "key", "line", "_lo", "_hi", "_side"])
+    return by_groups(["band", "_lo", "_hi"], work, ["band", "key", "line", "_lo", "_hi", "_side"], 4_000_000, 8_000)
 
 
 def different_sets(shared: DataFrame) -> DataFrame:
@@ -243,7 +245,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     wanted = F.broadcast(wanted) if shared.count() <= BROADCAST_KEYS else wanted
     named = line.select(content(F.col("line")).alias("line")).filter("line <> ''").withColumn("key", F.xxhash64("line"))
     texts = named.join(wanted, "key").groupBy("key").agg(F.min("line").alias("line"))
-    dealt = deal_pairs(shared.join(texts, "key"), ["band"], "key")
+    dealt = deal_pairs(shared.join(texts, "key"), ["band"], "key", PART)
     linked = connected_components(dealt.mapInArrow(_verify(threshold), "a long, b long"))
 
     each = lines.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
@@ -266,8 +268,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = duplicate_lines(docs, threshold).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_d"), F.col("removed").alias("_removed"))
     rows = rename_clashes(docs, ["_d", "_removed", "_lines"])
     rows = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(F.col("_d")), "left")
-    split = split_lines(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed"))
-    rows = rows.withColumn("_lines", F.when(F.col("_removed").isNotNull(), F.transform(stay, lambda i: F.element_at(split, i + 1))))
+
+    def stay(split: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed"))
+        return F.transform(kept, lambda i: F.element_at(split, i + 1))
+
+    rows = rows.withColumn("_lines", F.when(F.col("_removed").isNotNull(), let(split_lines(F.col("text")), stay)))
     rows = rows.filter(F.col("_lines").isNull() | F.exists("_lines", lambda x: content(x) != ""))
     return rows.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join("_lines", "\n"))).select(*docs.columns)

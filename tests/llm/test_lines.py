@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from plotgraph.llm import groups, lines
+from plotgraph.llm import lines
 
 from .test_simhash import components_of
 
@@ -30,7 +30,7 @@ def brute(rows, threshold=0.8):
 
 @pytest.mark.parametrize("block", [2048, 4])
 def test_duplicate_lines(spark, monkeypatch, block):
-    monkeypatch.setattr(groups.deal_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(lines, "PART", block)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghij é", k=rng.randrange(2, 9)))
     base = [" ".join(word() for _ in range(rng.randrange(1, 50))) for _ in range(60)]
