@@ -99,6 +99,13 @@ def usable(wkt: Column, shape: Column) -> Column:
     )
 
 
+def altered(shape: Column) -> Column:
+    """Whether canonicalising changes a polygon: another number of parts, an area off by more than one in a billion, or a shape that can't be read."""
+    whole = canonical(shape)
+    before, after = total_area(shape), total_area(whole)
+    return F.coalesce((F.size(whole) != F.size(shape)) | (F.abs(after - before) > 1e-9 * F.greatest(before, F.lit(1e-300))), F.lit(True))
+
+
 def total_area(shape: Column) -> Column:
     """Planar area in square degrees, holes taken off."""
     return F.aggregate(shape, F.lit(0.0), lambda s, rings: s + F.aggregate(F.transform(rings, lambda r, i: F.when(i == 0, 1.0).otherwise(-1.0) * F.abs(signed_area(r))), F.lit(0.0), lambda a, x: a + x))

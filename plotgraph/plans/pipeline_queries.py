@@ -138,6 +138,12 @@ def import_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return ingest.report(_import(spark, d)[0])
 
 
+def import_decision(spark: SparkSession, d: str) -> DataFrame:
+    """The run's exit code, with the counts that decide it."""
+    a, plots = _aliases(spark, d)
+    return ingest.exit_code(_import(spark, d)[0], ingest.associations(claims(spark, d), a, plots))
+
+
 def import_rerun(spark: SparkSession, d: str) -> DataFrame:
     """A second run over what the first one wrote changes nothing."""
     first, done = _import(spark, d)
@@ -235,7 +241,7 @@ def tier_disclosure(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     id_kinds, kind_counts, area_bands, inventory_fields, inventory_profiles, inventory_join_health, orphan_refs, unclaimed_fields, multi_owner, sample_clusters, sample_strata, sample_budget,
-    sample_profiles, account_constraints, assoc_join_report, fieldlist_roots, import_outcomes, import_rerun, alias_upsert, uniqueness_checks, quarantine_reasons, legacy_json_decode,
+    sample_profiles, account_constraints, assoc_join_report, fieldlist_roots, import_outcomes, import_decision, import_rerun, alias_upsert, uniqueness_checks, quarantine_reasons, legacy_json_decode,
     grant_checks, authority_checks, status_bits, forward_gates, tier_disclosure,
 )}
 
@@ -286,6 +292,8 @@ ORACLE_SQL = {
         SELECT source_key, coalesce(broken, CASE WHEN shared AND row_number() OVER (PARTITION BY broken IS NULL AND shared ORDER BY k) > 1 THEN 'email_unique' ELSE 'created' END) AS outcome FROM b""",
     "assoc_join_report": f"{_BASE}, {_ALIASES} SELECT status, count(*) AS claims, count(DISTINCT source_key) AS profiles FROM assoc GROUP BY status",
     "fieldlist_roots": f"{_BASE}, {_ALIASES}, n0 AS (SELECT lot, m, list_transform(m, lambda x: sha256(x)) AS n FROM (SELECT source_key AS lot, list_sort(list(DISTINCT geo_id)) AS m FROM assoc WHERE status = 'mapped' GROUP BY 1)), {TREES} SELECT lot AS source_key, n[1] AS list_id, CAST(len(m) AS BIGINT) AS n_plots FROM tree WHERE len(n) = 1",
+    "import_decision": f"""{_BASE}, {_ALIASES} SELECT (SELECT count(*) FROM part WHERE p_partkey % 10 = 7 OR (p_partkey % 19 <> 0 AND p_partkey % 23 <> 0)) AS fine,
+        (SELECT count(*) FROM part WHERE p_partkey % 10 <> 7 AND (p_partkey % 19 = 0 OR p_partkey % 23 = 0)) AS quarantined, (SELECT count(*) FROM assoc WHERE status <> 'mapped') AS failed, 1 AS code""",
     "alias_upsert": f"{_BASE} SELECT CASE WHEN k % 6 = 0 THEN 'inserted' WHEN k % 7 = 0 THEN 'refused' ELSE 'unchanged' END AS outcome, count(*) AS aliases FROM f GROUP BY 1",
     "uniqueness_checks": "SELECT p_partkey AS row, CASE WHEN p_partkey % 10 = 3 AND EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = part.p_partkey - 1) THEN 'geo_id' WHEN p_partkey % 10 = 5 AND EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = part.p_partkey - 1) THEN 'geo_id_short' WHEN EXISTS (SELECT 1 FROM part b WHERE b.p_partkey < part.p_partkey AND b.p_partkey // 10 = part.p_partkey // 10) THEN 'content_hash' END AS violation FROM part",
     "quarantine_reasons": "SELECT trim(substr(CASE p_partkey % 3 WHEN 0 THEN 'bad ring' WHEN 1 THEN rtrim(repeat('long ', 20)) ELSE 'zero area' END, 1, 60), '') AS reason, count(*) AS fields FROM part GROUP BY 1",

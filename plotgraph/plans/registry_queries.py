@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, geometry
-from ..operators import analytics, registry
+from ..operators import analytics, cover, registry
 from . import lenses
 from .lenses import named, read, sql
 
@@ -155,6 +155,20 @@ def geometry_parse(spark: SparkSession, d: str) -> DataFrame:
     return s.select("geo_id", geometry.wkt_kind(F.col("wkt")).alias("kind"), geometry.usable(F.col("wkt"), F.col("shape")).alias("refused"), F.round(geometry.total_area(F.col("shape")), 9).alias("square_degrees"))
 
 
+def canonical_altered(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons shifted by a fraction of the sixth decimal are altered, the others aren't."""
+    s = _squares(spark, d).withColumn("shape", geometry.from_wkt(F.col("wkt"))).filter(geometry.wkt_kind(F.col("wkt")) != "POINT")
+    off = F.transform("shape", lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p, i: F.array(p[0] + F.when((F.col("k") % 3 == 0) & (i == 1), 0.0000004).otherwise(0.0), p[1]))))
+    return s.select("geo_id", geometry.altered(off).alias("altered"))
+
+
+def polygon_covers(spark: SparkSession, d: str) -> DataFrame:
+    """Covers of the squares down to level 14, by number of cells and the share of leaves in cells of the finest level."""
+    s = _squares(spark, d).withColumn("shape", geometry.from_wkt(F.col("wkt"))).filter(geometry.usable(F.col("wkt"), F.col("shape")).isNull())
+    covers = cover.polygon_cover(s.select(F.col("geo_id").alias("owner"), geometry.canonical(F.col("shape")).alias("shape")), 14)
+    return covers.groupBy("owner").agg(F.count("*").alias("n_cells"), F.sum(cells.leaf_count(F.col("cell"))).alias("leaves"), F.min(cells.id_to_token(F.col("cell"))).alias("first_cell"))
+
+
 def geometry_centroid(spark: SparkSession, d: str) -> DataFrame:
     s = _squares(spark, d).withColumn("shape", geometry.from_wkt(F.col("wkt"))).filter("shape is not null")
     c = geometry.centroid(F.col("shape"))
@@ -189,7 +203,7 @@ def bulk_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     id_lookup_fallback, id_translate, count_total, count_by_country, count_by_month, mask_l0, wkt_gate, centroid_gate, published_area, geometry_kind, level_projection,
-    cover_fallback, fields_for_point, country_join, country_back_fill, regulatory_export, geometry_parse, geometry_centroid, area_regimes, geojson_features, bulk_outcomes,
+    cover_fallback, fields_for_point, country_join, country_back_fill, regulatory_export, geometry_parse, canonical_altered, polygon_covers, geometry_centroid, area_regimes, geojson_features, bulk_outcomes,
 )}
 
 _PLOTS = """keyed AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS key, p_partkey AS k FROM part),
@@ -225,6 +239,7 @@ ORACLE_SQL = {
     "country_back_fill": sql("points", f"{_COUNTRIES} SELECT p.geo_id, CASE WHEN k % 3 = 2 THEN 'C' || c_nationkey ELSE l.country END AS country FROM points p JOIN located l USING (geo_id)"),
     "regulatory_export": sql("points", "SELECT geo_id, CASE WHEN k % 4 <> 0 THEN 401 WHEN declared_area <= 0 OR declared_area > 4 THEN 422 ELSE 200 END AS status, CASE WHEN k % 4 = 0 AND declared_area > 0 AND declared_area <= 4 THEN 'Point' END AS geometry, CASE WHEN k % 4 = 0 AND declared_area > 0 AND declared_area <= 4 THEN round(declared_area, 4) END AS area, CASE WHEN k % 4 = 0 AND declared_area > 0 AND declared_area <= 4 THEN 'C' || c_nationkey END AS country FROM points"),
     "geometry_parse": f"WITH {_SQUARES} SELECT geo_id, CASE WHEN k % 7 = 0 THEN 'NOT' WHEN k % 5 = 0 THEN 'POINT' ELSE 'POLYGON' END AS kind, CASE WHEN k % 7 = 0 THEN 'unparseable' WHEN k % 5 = 0 THEN 'not_polygonal' END AS refused, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 5 = 0 THEN 0.0 ELSE round(side * side, 9) END AS square_degrees FROM sq",
+    "canonical_altered": f"WITH {_SQUARES} SELECT geo_id, k % 7 = 0 OR k % 3 = 0 AS altered FROM sq WHERE k % 7 = 0 OR k % 5 <> 0",
     "geometry_centroid": f"WITH {_SQUARES} SELECT geo_id, round(CASE WHEN k % 5 = 0 THEN x ELSE round(x + side / 2, 7) END, 5) AS lng, round(CASE WHEN k % 5 = 0 THEN y ELSE round(y + side / 2, 7) END, 5) AS lat FROM sq WHERE k % 7 <> 0",
     "area_regimes": f"WITH {_SQUARES}, h AS (SELECT geo_id, 6371010.0 * 6371010.0 / 10000 * 2 * (atan(tan(radians(side) / 2) * (2 * tan(radians(y + side) / 2)) / (1 + pow(tan(radians(y + side) / 2), 2))) - atan(tan(radians(side) / 2) * (2 * tan(radians(y) / 2)) / (1 + pow(tan(radians(y) / 2), 2)))) AS ha FROM sq WHERE k % 7 <> 0 AND k % 5 <> 0) SELECT geo_id, round(ha, 1) AS hectares, true AS agree, ha / 0.404686 > 1000 AS too_large FROM h",
     "geojson_features": sql("points", "SELECT geo_id, round(lng, 5) AS lng, round(lat, 5) AS lat, true AS pin FROM points"),
