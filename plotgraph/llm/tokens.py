@@ -227,7 +227,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, block_bytes: int
     buckets = partitions(docs.sparkSession)
     lists = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(path, buckets, block_bytes, block_docs), "block long, bucket int, payload binary")
     # The documents' own rows go by block, not to a bucket.
-    dealt = lists.repartition(buckets, F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.col("bucket")))
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(buckets))).otherwise(F.col("bucket"))
+    dealt = lists.repartitionById(buckets, place.cast("int"))
     sums = dealt.mapInArrow(_count_bucket(path), "block long, head boolean, payload binary")
     blocks = sums.repartition(buckets, "block").sortWithinPartitions("block", F.col("head").desc())
     counted = blocks.select("block", "payload").mapInArrow(_add_up, "doc_id long, n_bytes long, n_tokens long")
