@@ -85,10 +85,10 @@ def features(text: str | None, lexicon: tuple, exceptions: tuple) -> list[float]
     # Every word leaves a space before it, so the spaces count the words about.
     n = folded.count(" ")
     weight, hits = max(weight, 0.0), max(hits, 0.0)
-    return [math.log1p(weight), min(hits, 4.0), math.log1p(100 * weight / (n + 5)), math.log1p(n)]
+    return [math.log1p(weight), min(hits, 4.0), math.log1p(100 * weight / (n + 5))]
 
 
-WIDTH = 4
+WIDTH = 3
 
 
 def learn_lexicon(sample: DataFrame, least: int = 4, most: int = 9, support: float = 0.01, odds: float = 2.5, size: int = 2000) -> tuple[tuple[str, float], ...]:
@@ -136,11 +136,12 @@ def learn_lexicon(sample: DataFrame, least: int = 4, most: int = 9, support: flo
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows: int = 6000, fit_rows: int = 12_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> dict:
     """Fit on a bounded sample of labelled rows, chosen by a hash of the ids.
 
-    ``labels(doc_id, label)`` holds 1 for toxic.  The lexicon comes from
+    ``labels(doc_id, label)`` holds 1 for toxic; nulls are left out, of several
+    labels of a row the highest counts.  The lexicon comes from
     ``toxic_rows`` and ``other_rows`` rows; ``fit_rows`` rows, whole, calibrate
     the score.  No labelled rows give an empty lexicon and a score of 0.5.
     """
-    rows = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    rows = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
     text = docs.select("doc_id", "text")
     chosen = [rows.filter(F.col("label") == label).orderBy("h", "doc_id").limit(n).select("doc_id", "label") for label, n in ((1, toxic_rows), (0, other_rows))]
@@ -152,9 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows:
     def run(batches):
         for batch in pieces(batches, "text"):
             f = np.array([features(t, lexicon, exceptions) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *[pa.array(f[:, i]) for i in range(WIDTH)]], names=["doc_id", "label", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *[pa.array(f[:, i]) for i in range(WIDTH)]], names=["doc_id", "label", "f0", "f1", "f2"])
 
-    got = sorted(tuple(r) for r in got.mapInArrow(run, "doc_id long, label int, f0 double, f1 double, f2 double, f3 double").limit(2 * fit_rows).collect())
+    got = sorted(tuple(r) for r in got.mapInArrow(run, "doc_id long, label int, f0 double, f1 double, f2 double").limit(2 * fit_rows).collect())
     model = fit_logistic(np.array([r[2:] for r in got]).reshape(len(got), WIDTH), np.array([r[1] for r in got]))
     return {"lexicon": lexicon, "exceptions": tuple(exceptions), "logistic": model}
 
