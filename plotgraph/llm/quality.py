@@ -50,19 +50,19 @@ def fit(docs: DataFrame, labels: DataFrame, dict_rows: int = 600, dict_chars: in
     """Fit on a bounded sample of labelled rows.
 
     ``labels(doc_id, label)`` holds 1 for good and 0 for bad; nulls are left
-    out.  ``dict_rows`` rows of each class (``dict_chars`` characters of each
+    out, of several labels of a row the highest counts.  ``dict_rows`` rows of each class (``dict_chars`` characters of each
     at most) make the dictionaries; ``fit_rows`` other rows, whole, calibrate
     the score.  Rows are chosen by a hash of the ids, so refits agree.  No
     labelled rows give a model whose score is 0.5.
     """
-    rows = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    rows = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(7), "doc_id"))
     text = docs.select(F.col("doc_id"), F.col("text"))
     samples = {}
     for label in (1, 0):
         ids = rows.filter(F.col("label") == label).orderBy("h", "doc_id").limit(dict_rows).select("doc_id")
-        got = text.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, dict_chars).alias("t")).dropDuplicates().collect()  # ids: dict_rows at most
-        samples[label] = [r["t"].encode() for r in sorted(got, key=lambda r: (r["doc_id"], r["t"] or "")) if r["t"]][: 2 * dict_rows]
+        got = text.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, dict_chars).alias("t")).distinct().orderBy("doc_id", "t").limit(2 * dict_rows).collect()  # ids: dict_rows at most
+        samples[label] = [r["t"].encode() for r in got if r["t"]]
     good, bad = (dictionary(samples[label], dict_bytes) for label in (1, 0))
     ids = rows.orderBy(F.col("h").desc(), "doc_id").limit(fit_rows).select("doc_id", "label")
 
