@@ -18,7 +18,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     one task.  Sources by code point (null last) weigh ``weights``, repeating,
     and share ``share`` of all sizes; a target stops at ``repeats`` times its
     source's size and the excess goes to the others by weight until none is
-    above.  The sources that stop are those with the least size per weight, so
+    above.  Each row also has the sum of all targets and rows.  The sources that stop are those with the least size per weight, so
     one running sum in that order finds them: source i stops if what is left
     after the ones before it, dealt by the weights that remain, exceeds its
     limit.
@@ -36,7 +36,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     stops = F.col("level") * F.col("weight") >= F.col("limit")
     # Once one source stays below its limit, so do all after it, at the level of the first of them.
     s = s.withColumn("open", F.min(F.when(~stops, F.struct((F.col("limit") / F.col("weight")).alias("at"), F.col("level")))).over(every))
-    return s.select("source", "source_size", "n_rows", F.when(stops, F.col("limit")).otherwise(F.col("open.level") * F.col("weight")).alias("target"))
+    s = s.withColumn("target", F.when(stops, F.col("limit")).otherwise(F.col("open.level") * F.col("weight")))
+    return s.select("source", "source_size", "n_rows", "target", F.sum("target").over(every).alias("budget"), F.sum("n_rows").over(every).alias("all_rows"))
 
 
 def _running(df: DataFrame, keys: list[str], part: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -80,8 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = source_targets(sizes, weights, share, repeats)
-    totals = targets.agg(F.sum("target").alias("budget"), F.sum("n_rows").alias("all_rows"))
-    t = targets.crossJoin(F.broadcast(totals)).withColumnRenamed("source", "_source")  # totals: one row
+    t = targets.withColumnRenamed("source", "_source")
     rows = base.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     unit = (F.xxhash64(F.lit(seed), "_pass", "_row").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("u")
