@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = tuple(new)
         both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u > v").distinct()

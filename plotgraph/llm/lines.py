@@ -115,15 +115,20 @@ def content(line: Column) -> Column:
 
 
 def _signatures(batches):
-    """Texts to rows ``band, key``: once per distinct line of a batch."""
+    """Texts to rows ``band, key``: once per distinct line of a task, or nearly so."""
+    done: set[int] = set()
     for batch in pieces(batches, "text", 1_000_000):
-        seen: dict[str, None] = {}
+        seen: dict[int, str] = {}
         for t in batch.column("text").to_pylist():
             for line in (t or "").split("\n"):
                 if line := line.strip(" \t\r"):
-                    seen[line] = None
-        lines = list(seen)
-        keys = np.fromiter(map(line_key, lines), "i8", len(lines))
+                    seen[line_key(line)] = line
+        for key in done & seen.keys():
+            del seen[key]
+        if len(done) > 500_000:  # repeated rows only cost time
+            done.clear()
+        done |= seen.keys()
+        keys, lines = np.fromiter(seen, "i8", len(seen)), list(seen.values())
         yield pa.RecordBatch.from_arrays([pa.array(bands(lines).ravel()), pa.array(np.repeat(keys, BANDS))], names=["band", "key"])
 
 
@@ -248,15 +253,16 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     dealt = deal_pairs(shared.join(texts, "key"), ["band"], "key", PART)
     linked = connected_components(dealt.mapInArrow(_verify(threshold), "a long, b long"))
 
-    each = lines.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    each = each.join(linked.withColumnRenamed("node", "key"), "key", "left")
-    alone = each.filter("component is null and n > 1").select("key", F.col("first").alias("kept"))
-    several = each.filter("component is not null")
-    kept = several.groupBy("component").agg(F.min("first").alias("kept"))
-    several = several.join(kept, "component").select("key", "kept")
-    rows = lines.join(alone.unionByName(several), "key", "left")
-    drop = F.col("kept").isNotNull() & ~(F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.line_no") == F.col("line_no")))
-    return rows.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n_lines"), F.array_sort(F.collect_set(F.when(drop, F.col("line_no")))).alias("removed"))
+    # Only lines that occur again or are linked can go; they alone are ranked.
+    counts = lines.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    again = counts.join(linked.withColumnRenamed("node", "key"), "key", "left").filter("n > 1 or component is not null")
+    ranked = lines.join(again.select("key", F.coalesce("component", "key").alias("group")), "key").select("doc_id", "line_no", "group")
+    kept = ranked.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"))
+    first = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.line_no") == F.col("line_no"))
+    gone = ranked.join(kept, "group").filter(~first).groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    every = lines.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n_lines"))
+    joined = every.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
