@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import pieces
 from .common import cut, rename_clashes
@@ -165,6 +166,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, pivots: int
     cosine in double precision is ``threshold`` or more.  Vectors that are
     null, empty, zero or hold null or non-finite components, and those without
     a label, link with nothing.  Equal vectors are one node and are linked.
+    Single-precision components are kept as such and compared in double.
     The index is approximate: a pair is found if the two share ``shared`` of
     their ``nearest`` pivots; no unlinked pair is ever reported.
 
@@ -173,9 +175,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, pivots: int
     Vectors of other lengths than the pivots' are compared among each other in
     full.  Other columns are left out.
     """
+    single = isinstance(embeddings.schema["embedding"].dataType.elementType, T.FloatType)
     value = F.col("embedding").cast("array<double>")
     usable = F.coalesce(F.col("label").isNotNull() & (F.size(value) > 0) & F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(value, lambda v: v != 0), F.lit(False))
-    rows = embeddings.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.struct((~usable).alias("no"), F.col("label").cast("long").alias("label"), F.transform(value, lambda v: v + F.lit(0.0)).alias("vec")).alias("v"))
+    rows = embeddings.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.struct((~usable).alias("no"), F.col("label").cast("long").alias("label"), F.transform(value, lambda v: v + F.lit(0.0)).cast("array<float>" if single else "array<double>").alias("vec")).alias("v"))
     rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v.*"))
     sound = rows.filter("not no").select("vec_id", "label", "vec")
     vectors = cut(sound.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
