@@ -138,7 +138,20 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: s
         c = codec(path, pattern, leaf)
         return [pa.array([c.encode(t or "") for t in texts], pa.list_(pa.int32()))]
 
-    return docs.mapInArrow(add_columns(make, text, [name], 2_000_000), schema)
+    return docs.mapInArrow(add_columns(make, text, [name], 1_000_000), schema)
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids", back: str = "decoded", leaf: int = LEAF) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that each task needs one Python worker: the ids, and the bytes they decode to."""
+    docs = rename_clashes(docs, [name, back])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType())), T.StructField(back, T.BinaryType())])
+
+    def make(texts):
+        c = codec(path, pattern, leaf)
+        ids = [c.encode(t or "") for t in texts]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())]
+
+    return docs.mapInArrow(add_columns(make, text, [name, back], 1_000_000), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids", same: str = "round_trip", leaf: int = LEAF) -> DataFrame:
@@ -151,7 +164,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", nam
         ids = [c.encode(t or "") for t in texts]
         return [pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) == (t or "").encode() for x, t in zip(ids, texts, strict=True)], pa.bool_())]
 
-    return docs.mapInArrow(add_columns(make, text, [name, same], 2_000_000), schema)
+    return docs.mapInArrow(add_columns(make, text, [name, same], 1_000_000), schema)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", name: str = "decoded", leaf: int = LEAF) -> DataFrame:

@@ -56,5 +56,8 @@ def test_encode_decode_rows(spark):
     for r in out:
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
         assert r["ids"] == CODEC.encoding.encode_ordinary(r["text"] or "")
+    key = lambda rs: sorted((str(r["doc_id"]), r["ids"], bytes(r["decoded"])) for r in rs)
+    assert key(bpe.encode_and_decode(docs, PATH, PATTERN, leaf=64).collect()) == key(out)
+    assert bpe.round_trip(docs, PATH, PATTERN, leaf=64).filter("not round_trip").count() == 0
     assert bpe.encode(docs.limit(0), PATH, PATTERN).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
