@@ -109,6 +109,11 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def text_hash(text: Column) -> Column:
+    """What tells texts of one id apart; a null text has one too."""
+    return F.xxhash64(text)
+
+
 def content(line: Column) -> Column:
     """What lines are compared by: the line without spaces, tabs and carriage returns at its ends."""
     return F.trim(line, F.lit(" \t\r"))
@@ -225,22 +230,24 @@ def different_sets(shared: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``doc_id, n_lines, removed`` of every id in ``docs(doc_id, text)``: its lines and the numbers (from 0) of those to remove.
+    """``doc_id, n_lines, removed, text_hash`` of every document in ``docs(doc_id, text)``: its lines and the numbers (from 0) of those to remove.
+
+    A document is an id and a text, known by its 64-bit hash: rows that share an id (or have none) but not the text are documents of their own.
 
     Two lines are linked if the sets of their 8-character shingles have a
     Jaccard similarity of ``threshold`` or more, verified exactly on hashed
     shingles (64 bits); a shorter line is one shingle.  Of each component of
-    linked lines the first stays, by ``doc_id`` and line number.  Lines are
+    linked lines the first stays, by ``doc_id``, hash of the text and line number.  Lines are
     compared without spaces, tabs and carriage returns at their ends and known
     by a 64-bit hash; blank lines are neither compared nor removed.
 
-    Null and empty texts have one blank line.  Rows that repeat an id count as
-    one document: where their lines are equal in number and content they are
-    kept or removed together.  Null ids come before all others.
+    Null and empty texts have one blank line.  Rows that repeat an id and its
+    text count as one document, whose lines are kept or removed together.  Null
+    ids come before all others.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    line = docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
-    lines = cut(line.select("doc_id", "line_no", F.when(content(F.col("line")) != "", F.xxhash64(content(F.col("line")))).alias("key")))
+    line = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
+    lines = cut(line.select("doc_id", "text_hash", "line_no", F.when(content(F.col("line")) != "", F.xxhash64(content(F.col("line")))).alias("key")))
 
     banded = docs.select("text").mapInArrow(_signatures, "band long, key long")
     shared = cut(banded.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_shared, "band long, key long"))
@@ -256,13 +263,13 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # Only lines that occur again or are linked can go; they alone are ranked.
     counts = lines.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"))
     again = counts.join(linked.withColumnRenamed("node", "key"), "key", "left").filter("n > 1 or component is not null")
-    ranked = lines.join(again.select("key", F.coalesce("component", "key").alias("group")), "key").select("doc_id", "line_no", "group")
-    kept = ranked.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"))
-    first = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.line_no") == F.col("line_no"))
-    gone = ranked.join(kept, "group").filter(~first).groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    every = lines.groupBy("doc_id").agg((F.max("line_no") + 1).alias("n_lines"))
-    joined = every.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    ranked = lines.join(again.select("key", F.coalesce("component", "key").alias("group")), "key").select("doc_id", "text_hash", "line_no", "group")
+    kept = ranked.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("kept"))
+    first = F.col("kept").eqNullSafe(F.struct("doc_id", "text_hash", "line_no"))
+    gone = ranked.join(kept, "group").filter(~first).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    every = lines.groupBy("doc_id", "text_hash").agg((F.max("line_no") + 1).alias("n_lines"))
+    joined = every.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
+    return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "text_hash")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -271,9 +278,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Documents that had lines with content and lost all of them are left out:
     all they held is elsewhere.  Null and blank texts stay as they are.
     """
-    found = duplicate_lines(docs, threshold).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_d"), F.col("removed").alias("_removed"))
-    rows = rename_clashes(docs, ["_d", "_removed", "_lines"])
-    rows = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(F.col("_d")), "left")
+    found = duplicate_lines(docs, threshold).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed").alias("_removed"))
+    rows = rename_clashes(docs, ["_d", "_h", "_removed", "_lines"])
+    rows = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (text_hash(rows["text"].cast("string")) == F.col("_h")), "left")
 
     def stay(split: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed"))

@@ -61,6 +61,22 @@ def test_duplicate_lines(spark, monkeypatch, block):
             assert i not in texts
 
 
+def test_rows_that_share_an_id(spark):
+    common = "a line that stands in many of the documents"
+    own = [f"{c * 30} stands here and nowhere else" for c in "uvwxyz"]
+    rows = [(None, f"{common}\n{own[0]}"), (None, f"{own[1]}\n{common}"), (None, f"{own[2]}\n{own[2]}\n{common}"), (7, f"{common}\n{own[3]}"), (7, f"{own[4]}\n{common}"), (8, own[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lines.duplicate_lines(docs)
+    assert found.count() == len(rows) and sorted(r["n_lines"] for r in found.collect()) == [1, 2, 2, 2, 2, 3]
+    got = [(r[0], x) for r in lines.dedup_lines(docs).collect() for x in r[1].split("\n")]
+    left = [p for p in got if p[1] != common]
+    # Each row keeps its own line, whatever the other rows of its id lose.
+    assert sorted(left, key=str) == sorted([(i, x) for i, x in zip([None] * 3 + [7, 7, 8], own)], key=str)
+    assert len(got) - len(left) == 1
+    docs = spark.createDataFrame([(None, own[0]), (7, own[1]), (7, own[1])], "doc_id long, text string")
+    assert sorted(r[1] for r in lines.dedup_lines(docs).collect()) == sorted([own[0], own[1], own[1]])
+
+
 def test_signatures_recall_and_edges(spark):
     rng = np.random.default_rng(1)
     hits = 0
