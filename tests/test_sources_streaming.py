@@ -87,6 +87,27 @@ def test_stream(spark, tmp_path):
     assert uploads.identified(same).select("content_hash").distinct().count() == 1
 
 
+def test_stream_resolves_by_overlap_and_distance(spark, tmp_path):
+    def square(west, south, side):
+        e, n = west + side, south + side
+        return {"type": "Polygon", "coordinates": [[[west, south], [e, south], [e, n], [west, n], [west, south]]]}
+
+    def upload(name, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"row": i, "geometry": json.dumps(g), "declared_area": 1.0}) for i, g in rows))
+        uploads.register_stream(spark, str(tmp_path / "in"), str(tmp_path / "plots"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        return {r["row"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    metre = 1 / 111_195
+    first = [(1, square(1, 1, 0.005)), (2, square(1.00001, 1, 0.005)), (3, square(2, 2, 0.005)), (4, point(5, 5)), (5, point(5, 5 + 3 * metre)), (6, point(5, 5 + 30 * metre))]
+    assert upload("a.json", first) == {1: "created", 2: "exists", 3: "created", 4: "created", 5: "exists", 6: "created"}
+    # Row 12 is near row 11 only, which is no plot; 14 is nested in a plot, 15 overlaps one by half.
+    second = [(10, square(1, 1.00001, 0.005)), (11, point(5, 5 - 6 * metre)), (12, point(5, 5 - 12 * metre)), (13, point(5, 5 - 14 * metre)), (14, square(2.001, 2.001, 0.002)), (15, square(2.0025, 2, 0.005))]
+    got = upload("b.json", second)
+    assert [got[i] for i in range(10, 16)] == ["exists", "exists", "created", "exists", "created", "created"]
+    assert spark.read.parquet(str(tmp_path / "plots")).count() == 7
+
+
 def test_bands_and_sample(spark):
     bands = spark.createDataFrame([(None,), (0.0,), (0.5,), (1.0,), (5.0,), (50.0,), (500.0,)], "a double").select(inventory.area_band(F.col("a"))).collect()
     assert [b[0] for b in bands] == ["unknown", "zero", "<1", "1-5", "5-50", "50-500", ">500"]
