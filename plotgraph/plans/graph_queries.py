@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,50 +13,50 @@ from . import lenses
 from .lenses import named, read, sql
 
 
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    """What is recalled: all plots of one brand."""
-    return read(spark, d, "part").filter("p_brand = 'Brand#11'").select(named("P", F.col("p_partkey")).alias("seed"))
+def _seeds(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """What is recalled: all plots of one brand, or all plots."""
+    return read(spark, d, "part").filter(F.lit(True) if whole else "p_brand = 'Brand#11'").select(named("P", F.col("p_partkey")).alias("seed"))
 
 
-def trace_forward(spark: SparkSession, d: str) -> DataFrame:
+def trace_forward(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     return trace.trace_forward(
-        _seeds(spark, d), lenses.members(spark, d), lenses.list_parents(spark, d), lenses.aliases(spark, d),
+        _seeds(spark, d, whole), lenses.members(spark, d), lenses.list_parents(spark, d), lenses.aliases(spark, d),
         lenses.covers(spark, d), lenses.region_cells(spark, d), lenses.region_parents(spark, d),
     )
 
 
-def trace_forward_direct(spark: SparkSession, d: str) -> DataFrame:
-    return trace.trace_forward(_seeds(spark, d), lenses.members(spark, d), lenses.list_parents(spark, d))
+def trace_forward_direct(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return trace.trace_forward(_seeds(spark, d, whole), lenses.members(spark, d), lenses.list_parents(spark, d))
 
 
-def trace_forward_labels(spark: SparkSession, d: str) -> DataFrame:
-    return trace_forward(spark, d).groupBy("seed", "resolution").agg(F.count("*").alias("lots"))
+def trace_forward_labels(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return trace_forward(spark, d, whole).groupBy("seed", "resolution").agg(F.count("*").alias("lots"))
 
 
-def _back(spark: SparkSession, d: str, depth: int = 64, roots: DataFrame | None = None) -> trace.TraceBack:
+def _back(spark: SparkSession, d: str, depth: int = 64, roots: DataFrame | None = None, whole: bool = False) -> trace.TraceBack:
     if roots is None:
-        roots = read(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(named("C", F.col("c_custkey")).alias("root"))
+        roots = read(spark, d, "customer").filter(F.lit(True) if whole else "c_mktsegment = 'BUILDING'").select(named("C", F.col("c_custkey")).alias("root"))
     return trace.TraceBack(roots, lenses.members(spark, d), lenses.list_parents(spark, d), lenses.artifacts(spark, d), lenses.region_parents(spark, d), depth)
 
 
-def trace_back_hops(spark: SparkSession, d: str) -> DataFrame:
-    return _back(spark, d).hops
+def trace_back_hops(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _back(spark, d, whole=whole).hops
 
 
-def trace_back_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _back(spark, d).edges
+def trace_back_edges(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _back(spark, d, whole=whole).edges
 
 
-def trace_back_closure(spark: SparkSession, d: str) -> DataFrame:
-    return _back(spark, d).closure
+def trace_back_closure(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _back(spark, d, whole=whole).closure
 
 
-def trace_back_missing_locations(spark: SparkSession, d: str) -> DataFrame:
-    return _back(spark, d).missing_locations
+def trace_back_missing_locations(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _back(spark, d, whole=whole).missing_locations
 
 
-def trace_back_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _back(spark, d).summary
+def trace_back_summary(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _back(spark, d, whole=whole).summary
 
 
 def trace_back_truncated(spark: SparkSession, d: str) -> DataFrame:
@@ -62,12 +64,12 @@ def trace_back_truncated(spark: SparkSession, d: str) -> DataFrame:
     return _back(spark, d, 3, roots).summary.select("root", "hops", "max_depth", "truncated")
 
 
-def equivalence_set(spark: SparkSession, d: str) -> DataFrame:
-    return trace.equivalence_set(_seeds(spark, d), lenses.aliases(spark, d))
+def equivalence_set(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return trace.equivalence_set(_seeds(spark, d, whole), lenses.aliases(spark, d))
 
 
-def reverse_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return trace.reverse_lookup(_seeds(spark, d), lenses.members(spark, d), lenses.aliases(spark, d))
+def reverse_lookup(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return trace.reverse_lookup(_seeds(spark, d, whole), lenses.members(spark, d), lenses.aliases(spark, d))
 
 
 def region_ancestor_probe(spark: SparkSession, d: str) -> DataFrame:
@@ -132,6 +134,12 @@ QUERIES = {f.__name__: f for f in (
     trace_back_truncated, equivalence_set, reverse_lookup, region_ancestor_probe, region_member_plots, list_members, member_kind_split, merkle_root_orders, merkle_proofs,
     lot_registration, cover_identity, region_normalise, region_registration,
 )}
+#: Queries about one brand's plots or one segment's customers; as ``NAME_all`` they are about every plot or customer.
+SEEDED = (
+    trace_forward, trace_forward_direct, trace_forward_labels, equivalence_set, reverse_lookup,
+    trace_back_hops, trace_back_edges, trace_back_closure, trace_back_missing_locations, trace_back_summary,
+)
+QUERIES |= {f"{f.__name__}_all": partial(f, whole=True) for f in SEEDED}
 
 _SEEDS = "seeds AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS seed FROM part WHERE p_brand = 'Brand#11')"
 _EQUAL = f"""{_SEEDS}, eq AS (
@@ -212,3 +220,5 @@ ORACLE_SQL = {
     "region_normalise": sql("places covers ancestors", f"{_NORMAL} SELECT owner, token FROM tokens"),
     "region_registration": sql("places covers ancestors", f"{_NORMAL} SELECT owner, sha256('|' || string_agg(token, '|' ORDER BY token)) AS region_id, count(*) AS n_cells FROM tokens GROUP BY owner"),
 }
+#: The same SQL without the choice of seeds and roots.
+ORACLE_SQL |= {f"{f.__name__}_all": ORACLE_SQL[f.__name__].replace(" WHERE p_brand = 'Brand#11'", "").replace(" WHERE c_mktsegment = 'BUILDING'", "") for f in SEEDED}
