@@ -16,10 +16,12 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under TOXIC; the model is fitted on the labelled rows."""
+    """Documents whose toxicity score is under TOXIC; the model is fitted on the labelled rows.  All stay if nothing could be learned from those."""
     small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs, labels)
+    if not model["learned"]:
+        return docs
     return toxicity.score(docs, model, "_score", TOXIC).filter("predicted = 0").select(*docs.columns)
 
 

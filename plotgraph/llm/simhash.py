@@ -190,6 +190,14 @@ def links(fps: DataFrame, budget: int = 4, blocks: int | None = None) -> DataFra
     return dealt.mapInArrow(by_groups(["trie", "prefix", "_lo", "_hi"], work, ["trie", "prefix", "fp", "_lo", "_hi", "_side"]), "a long, b long")
 
 
+def _components(docs: DataFrame, budget: int = 4, words: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """``docs`` without its text, with ``fp``; and ``fp, first, root``: each fingerprint's smallest id and its component."""
+    fps = cut(fingerprints(docs, "fp", words, seed))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    linked = connected_components(links(nodes, budget))
+    return fps, nodes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs(doc_id, text)``.
 
@@ -200,23 +208,23 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, seed: int
     other.  Rows with a null id are compared too but name no component; a
     component without any id has a null one.
     """
-    fps = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "fp", words, seed))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = connected_components(links(nodes, budget))
-    rooted = nodes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fps, rooted = _components(docs, budget, words, seed)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, columns unchanged.
+    """The rows of ``docs`` that are the first of their component, by id and hash of the text, columns unchanged.
 
-    Of rows repeated with the same id and text one stays.  Rows with a null id
-    have no rank among the others and stay.
+    Of rows repeated with the same id and text one stays; an id with several
+    texts is a document for each.  Rows with a null id have no rank among the
+    others: of those of a component the first stays too, by hash of the text.
     """
-    found = near_duplicates(docs, **parameters)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first"), "fp").distinct()
-    several = first.groupBy("_first").agg(F.count("*").alias("_n"))
-    rest = rename_clashes(docs, ["_first", "_n", "_text"])
-    kept = rest.join(several, F.col("doc_id") == F.col("_first")).withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    own = F.xxhash64(F.col("text").cast("string"))
+    fps, rooted = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own.alias("_text")), **parameters)
+    first = fps.join(rooted.select("fp", "root"), "fp").groupBy("root", F.col("doc_id").isNull().alias("_null")).agg(F.min(F.struct("doc_id", "_text")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("_first"), F.col("k._text").alias("_text"))
+    rest = rename_clashes(docs, ["_first", "_text", "_own"]).withColumn("_own", own)
+    kept = rest.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_text"))).dropDuplicates(["doc_id", "_own"])
+    return kept.select(*docs.columns)

@@ -140,6 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows:
     labels of a row the highest counts.  The lexicon comes from
     ``toxic_rows`` and ``other_rows`` rows; ``fit_rows`` rows, whole, calibrate
     the score.  No labelled rows give an empty lexicon and a score of 0.5.
+    ``learned`` is false if the lexicon is empty or only one label was seen: then
+    all texts score alike, and no score says anything.
     """
     rows = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows:
 
     got = sorted(tuple(r) for r in got.mapInArrow(run, "doc_id long, label int, f0 double, f1 double, f2 double").limit(2 * fit_rows).collect())
     model = fit_logistic(np.array([r[2:] for r in got]).reshape(len(got), WIDTH), np.array([r[1] for r in got]))
-    return {"lexicon": lexicon, "exceptions": tuple(exceptions), "logistic": model}
+    return {"lexicon": lexicon, "exceptions": tuple(exceptions), "logistic": model, "learned": bool(lexicon) and {r[1] for r in got} == {0, 1}}
 
 
 def score(docs: DataFrame, model: dict, name: str = "score", threshold: float = 0.3) -> DataFrame:
