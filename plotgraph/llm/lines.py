@@ -246,7 +246,9 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     ids come before all others.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    line = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
+    # Hashed before the lines are made: no line carries its document's text.
+    docs = docs.withColumn("text_hash", text_hash(F.col("text")))
+    line = docs.select("doc_id", "text_hash", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
     lines = cut(line.select("doc_id", "text_hash", "line_no", F.when(content(F.col("line")) != "", F.xxhash64(content(F.col("line")))).alias("key")))
 
     banded = docs.select("text").mapInArrow(_signatures, "band long, key long")
