@@ -6,30 +6,68 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 #: Members that one task compares with as many others at once.
 BLOCK = 2048
 
 
-def deal_pairs(df: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
+def heavy_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _salts`` of the keys in ``counts(keys, _n)`` that have more rows than a task's even share, at most as many as the session has shuffle partitions."""
+    tasks = partitions(counts.sparkSession)
+    total = counts.agg(F.sum("_n").alias("_total"))
+    heavy = counts.select(*keys, "_n").crossJoin(F.broadcast(total)).filter(F.col("_n") * tasks > F.col("_total"))  # one row
+    return heavy.select(*keys, F.ceil(2 * F.col("_n") * tasks / F.col("_total")).cast("int").alias("_salts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right(keys, ...)`` (a row for each key at most), where no key of ``left`` goes whole to one task.
+
+    ``counts(keys, _n)`` tells how many rows of ``left`` have each key (keys
+    with few rows may be missing).  A key with more than a task's even share is
+    dealt over salted tasks by a hash of ``by`` (columns that tell its rows
+    apart) and of the partition, its row of ``right`` is sent to each.  The
+    heavy keys are broadcast: there are at most as many as shuffle partitions.
+    Nulls are equal.
+    """
+    heavy = F.broadcast(heavy_keys(counts, keys).toDF(*[f"_h{i}" for i in range(len(keys))], "_salts"))
+
+    def salted(df: DataFrame, salt: Column) -> DataFrame:
+        same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
+        return df.join(heavy, same, "left").withColumn("_salt", salt).drop("_salts", *[f"_h{i}" for i in range(len(keys))])
+
+    salts = F.col("_salts")
+    dealt = salted(left, F.when(salts.isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(11), F.spark_partition_id(), *(by or [])), salts).cast("int")))
+    sent = salted(right, F.explode(F.when(salts.isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), salts - 1))))
+    sent = sent.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)} | {"_salt": "_sent"})
+    same = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)] + [F.col("_salt") == F.col("_sent")]
+    return dealt.join(sent, same, how).drop("_salt", "_sent", *[f"_r{i}" for i in range(len(keys))])
+
+
+def deal_pairs(df: DataFrame, keys: list[str], member: str, block: int = BLOCK, payload: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` dealt out so that every two rows with equal ``keys`` meet in one group of bounded size.
 
     Keys with a single row are left out.  A key of up to ``block`` rows is one
     group.  A larger one is cut by a hash of ``member`` into parts of about
     ``block`` rows, and every two parts are a group; two rows of one part meet
-    in the group of that part with itself.
+    in the group of that part with itself.  ``payload(member, ...)``, if given,
+    is joined to what was dealt, so that it isn't sent for keys with one row.
 
-    Returns the columns of ``df`` with ``_lo, _hi`` (parts) and ``_side`` (0 or
-    1; within ``_lo = _hi`` all are 0), partitioned and sorted by group.
+    Returns the columns of ``df`` (and ``payload``) with ``_lo, _hi`` (parts)
+    and ``_side`` (0 or 1; within ``_lo = _hi`` all are 0), partitioned and
+    sorted by group.  ``df`` is read twice: cut what is dear to derive.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = df.join(counts, keys)
-    rows = rows.withColumn("_parts", F.ceil(F.col("_n") / block).cast("int")).withColumn("_part", F.pmod(F.xxhash64(F.lit(5), member), F.col("_parts")).cast("int"))
+    rows = spread_join(df, counts.withColumn("_parts", F.ceil(F.col("_n") / block).cast("int")).drop("_n"), keys, counts, [member])
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(5), member), F.col("_parts")).cast("int"))
     other = F.when(F.col("_parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
     rows = rows.withColumn("_other", F.explode(other))
     rows = rows.select(*df.columns, F.least("_part", "_other").alias("_lo"), F.greatest("_part", "_other").alias("_hi"), (F.col("_part") > F.col("_other")).cast("int").alias("_side"))
+    if payload is not None:
+        rows = rows.join(payload, member)
     return rows.repartition(*keys, "_lo", "_hi").sortWithinPartitions(*keys, "_lo", "_hi", "_side")
 
 
