@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; only where none is set (tests on one machine) a temporary one is made and set."""
+    """The shared folder that the session names in ``spark.checkpoint.dir`` (or was given with ``setCheckpointDir``)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        # All on one machine: any folder is shared.
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -36,6 +41,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to a new folder beside the checkpoints and read again, and that folder; it goes with the session, or with ``remove``.
+
+    For loops: a checkpoint keeps the planner's estimates of sizes, which
+    multiply in every round; a table has its own.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(folder), folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,6 +69,18 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
 
 
+def labelled_rows(labels: DataFrame, seed: int) -> DataFrame:
+    """``doc_id, label, h`` of every id of ``labels(doc_id, label)`` with a label of 0 or 1: the id as text, the highest of its labels, and a hash of the id."""
+    rows = labels.filter("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("string").alias("doc_id"))
+    return rows.agg(F.max(F.col("label").cast("int")).alias("label")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+
+
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, label, text`` of the ids (as text; few enough to be broadcast, the caller bounds them): of rows that repeat an id, the text of the least hash."""
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id", "label")), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

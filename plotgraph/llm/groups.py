@@ -23,7 +23,7 @@ def heavy_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
     return heavy.select(*keys, F.ceil(2 * F.col("_n") * tasks / F.col("_total")).cast("int").alias("_salts"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: list[str] | None = None, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: list[str] | None = None, how: str = "inner", nulls: bool = True) -> DataFrame:
     """``left`` joined with ``right(keys, ...)`` (a row for each key at most), where no key of ``left`` goes whole to one task.
 
     ``counts(keys, _n)`` tells how many rows of ``left`` have each key (keys
@@ -31,23 +31,26 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
     dealt over salted tasks by a hash of ``by`` (columns that tell its rows
     apart) and of the partition, its row of ``right`` is sent to each.  The
     heavy keys are broadcast: there are at most as many as shuffle partitions.
-    Nulls are equal.
+    Nulls are equal, or match nothing without ``nulls``.
     """
     heavy = F.broadcast(heavy_keys(counts, keys).toDF(*[f"_h{i}" for i in range(len(keys))], "_salts"))
 
+    def equal(a: Column, b: Column) -> Column:
+        return a.eqNullSafe(b) if nulls else a == b
+
     def salted(df: DataFrame, salt: Column) -> DataFrame:
-        same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
+        same = [equal(F.col(k), F.col(f"_h{i}")) for i, k in enumerate(keys)]
         return df.join(heavy, same, "left").withColumn("_salt", salt).drop("_salts", *[f"_h{i}" for i in range(len(keys))])
 
     salts = F.col("_salts")
     dealt = salted(left, F.when(salts.isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(11), F.spark_partition_id(), *(by or [])), salts).cast("int")))
     sent = salted(right, F.explode(F.when(salts.isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), salts - 1))))
     sent = sent.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)} | {"_salt": "_sent"})
-    same = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)] + [F.col("_salt") == F.col("_sent")]
+    same = [equal(F.col(k), F.col(f"_r{i}")) for i, k in enumerate(keys)] + [F.col("_salt") == F.col("_sent")]
     return dealt.join(sent, same, how).drop("_salt", "_sent", *[f"_r{i}" for i in range(len(keys))])
 
 
-def deal_pairs(df: DataFrame, keys: list[str], member: str, block: int = BLOCK, payload: DataFrame | None = None) -> DataFrame:
+def deal_pairs(df: DataFrame, keys: list[str], member: str, payload: DataFrame | None, block: int = BLOCK) -> DataFrame:
     """Rows of ``df`` dealt out so that every two rows with equal ``keys`` meet in one group of bounded size.
 
     Keys with a single row are left out.  A key of up to ``block`` rows is one
@@ -124,8 +127,11 @@ def by_groups(keys: list[str], work: Callable[[dict[str, np.ndarray], np.ndarray
 
 
 def as_numpy(column: pa.Array) -> np.ndarray:
-    """Numbers as an array, lists of one length as a matrix, others as objects."""
-    if pa.types.is_list(column.type):
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-    return column.to_numpy(zero_copy_only=False)
+    """Numbers as an array; lists as an array of arrays, of whatever lengths."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+    out = np.empty(len(column), object)
+    for i in range(len(column)):
+        out[i] = flat[at[i] : at[i + 1]]
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .arrow import pieces
 from .common import cut, rename_clashes
 from .components import connected_components, local_roots
-from .groups import by_groups, deal_pairs
+from .groups import by_groups, deal_pairs, spread_join
 
 BITS = 64
 #: Pairs of trie nodes with at most so many pairs of leaves are compared leaf by leaf.
@@ -186,16 +186,21 @@ def links(fps: DataFrame, budget: int = 4, blocks: int | None = None) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], names=["a", "b"])
 
     tries = fps.select("fp").mapInArrow(turn, "trie int, prefix long, fp long")
-    dealt = deal_pairs(tries, ["trie", "prefix"], "fp")
+    dealt = deal_pairs(tries, ["trie", "prefix"], "fp", None)
     return dealt.mapInArrow(by_groups(["trie", "prefix", "_lo", "_hi"], work, ["trie", "prefix", "fp", "_lo", "_hi", "_side"]), "a long, b long")
 
 
 def _components(docs: DataFrame, budget: int = 4, words: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """``docs`` without its text, with ``fp``; and ``fp, first, root``: each fingerprint's smallest id and its component."""
+    """``docs`` without its text, with ``fp``; and ``fp, first, root, _n``: each fingerprint's smallest id, its component, and its number of rows."""
     fps = cut(fingerprints(docs, "fp", words, seed))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
     linked = connected_components(links(nodes, budget))
-    return fps, nodes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    return fps, cut(nodes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component"))
+
+
+def _sizes(rooted: DataFrame) -> DataFrame:
+    """Fingerprints of each component."""
+    return rooted.groupBy("root").agg(F.count("*").alias("_n"))
 
 
 def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
@@ -206,25 +211,32 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, seed: int
     Equal fingerprints are one node, so copies cost nothing.  Null and empty
     texts and texts of white space have fingerprint 0, which is linked like any
     other.  Rows with a null id are compared too but name no component; a
-    component without any id has a null one.
+    component without any id has a null one.  Repeated rows and ids are rows
+    like others, other columns are left out, an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fps, rooted = _components(docs, budget, words, seed)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = spread_join(rooted.select("fp", "root"), named, ["root"], _sizes(rooted), ["fp"]).select("fp", "component_id")
+    return spread_join(fps, named, ["fp"], rooted, ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, by id and hash of the text, columns unchanged.
+    """The rows of ``docs`` that are the first of their component, by id and text, columns unchanged.
 
     Of rows repeated with the same id and text one stays; an id with several
     texts is a document for each.  Rows with a null id have no rank among the
-    others: of those of a component the first stays too, by hash of the text.
+    others: of those of a component the first stays too.  Texts are told apart
+    by two 64-bit hashes.  Empty texts are copies of each other; an empty table
+    gives no rows.
     """
-    own = F.xxhash64(F.col("text").cast("string"))
+    own = F.struct(F.xxhash64(F.col("text").cast("string")).alias("a"), F.xxhash64(F.lit(1), F.col("text").cast("string")).alias("b"))
     fps, rooted = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own.alias("_text")), **parameters)
-    first = fps.join(rooted.select("fp", "root"), "fp").groupBy("root", F.col("doc_id").isNull().alias("_null")).agg(F.min(F.struct("doc_id", "_text")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias("_first"), F.col("k._text").alias("_text"))
-    rest = rename_clashes(docs, ["_first", "_text", "_own"]).withColumn("_own", own)
-    kept = rest.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_text"))).dropDuplicates(["doc_id", "_own"])
-    return kept.select(*docs.columns)
+    # The first of each fingerprint, then of each component.
+    each = fps.groupBy("fp", F.col("doc_id").isNull().alias("_null")).agg(F.min(F.struct("doc_id", "_text")).alias("k"))
+    first = each.join(rooted.select("fp", "root"), "fp").groupBy("root", "_null").agg(F.min("k").alias("k"))
+    first = cut(first.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_own")))
+    rest = rename_clashes(docs, ["_own", "_id"]).withColumns({"_own": own, "_id": F.col("doc_id").cast("long")})
+    counts = fps.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_own")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    kept = spread_join(rest, first, ["_id", "_own"], counts)
+    return kept.dropDuplicates(["_id", "_own"]).select(*docs.columns)
