@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .arrow import pieces
 from .common import cut, let, rename_clashes
 from .components import connected_components, local_roots
-from .groups import by_groups, deal_pairs
+from .groups import by_groups, deal_pairs, spread_join
 
 #: Characters of a shingle.
 SHINGLE = 8
@@ -19,8 +19,6 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 #: Lines that one task compares with as many others at once.
 PART = 1024
-#: Candidate lines whose keys are broadcast to fetch their texts; more are fetched by a shuffle join.
-BROADCAST_KEYS = 1_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -230,7 +228,7 @@ def different_sets(shared: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``doc_id, n_lines, removed, text_hash`` of every document in ``docs(doc_id, text)``: its lines and the numbers (from 0) of those to remove.
+    """``doc_id, n_lines, removed, text_hash, n_rows`` of every document in ``docs(doc_id, text)``: its lines, the numbers (from 0) of those to remove, and the rows that hold it.
 
     A document is an id and a text, known by its 64-bit hash: rows that share an id (or have none) but not the text are documents of their own.
 
@@ -243,7 +241,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Null and empty texts have one blank line.  Rows that repeat an id and its
     text count as one document, whose lines are kept or removed together.  Null
-    ids come before all others.
+    ids come before all others.  Other columns are left out; an empty table
+    gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Hashed before the lines are made: no line carries its document's text.
@@ -254,35 +253,37 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     banded = docs.select("text").mapInArrow(_signatures, "band long, key long")
     shared = cut(banded.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_shared, "band long, key long"))
     shared = cut(different_sets(shared))
-    wanted = shared.select("key").distinct()
-    # Broadcast behind a check of the size: 8 bytes a key.
-    wanted = F.broadcast(wanted) if shared.count() <= BROADCAST_KEYS else wanted
-    named = line.select(content(F.col("line")).alias("line")).filter("line <> ''").withColumn("key", F.xxhash64("line"))
-    texts = named.join(wanted, "key").groupBy("key").agg(F.min("line").alias("line"))
-    dealt = deal_pairs(shared.join(texts, "key"), ["band"], "key", PART)
-    linked = connected_components(dealt.mapInArrow(_verify(threshold), "a long, b long"))
-
-    # Only lines that occur again or are linked can go; they alone are ranked.
-    counts = lines.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"))
-    again = counts.join(linked.withColumnRenamed("node", "key"), "key", "left").filter("n > 1 or component is not null")
-    ranked = lines.join(again.select("key", F.coalesce("component", "key").alias("group")), "key").select("doc_id", "text_hash", "line_no", "group")
-    kept = ranked.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("kept"))
-    first = F.col("kept").eqNullSafe(F.struct("doc_id", "text_hash", "line_no"))
-    gone = ranked.join(kept, "group").filter(~first).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    every = lines.groupBy("doc_id", "text_hash").agg((F.max("line_no") + 1).alias("n_lines"))
+    named = line.select(content(F.col("line")).alias("line")).filter("line <> ''").select(F.xxhash64("line").alias("key"), "line")
+    texts = named.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
+    dealt = deal_pairs(shared, ["band"], "key", texts, PART)
+    linked = connected_components(dealt.mapInArrow(_verify(threshold), "a long, b long")).withColumnRenamed("node", "key")
+
+    # The first place of each line, of each component, and of each line's component; only lines that occur again or are linked can go.
+    place = F.struct("doc_id", "text_hash", "line_no")
+    each = lines.filter("key is not null").groupBy("key").agg(F.count("*").alias("_n"), F.min(place).alias("first"))
+    kept = linked.join(each, "key").groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("_n"))
+    linked = spread_join(linked, kept.drop("_n"), ["component"], kept, ["key"]).select("key", "kept")
+    again = each.join(linked, "key", "left").filter("_n > 1 or kept is not null")
+    again = cut(again.select("key", "_n", F.coalesce("kept", "first").alias("kept")))
+    gone = spread_join(lines, again.drop("_n"), ["key"], again, ["doc_id", "text_hash", "line_no"]).filter(~F.col("kept").eqNullSafe(place))
+    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    every = lines.groupBy("doc_id", "text_hash").agg((F.max("line_no") + 1).alias("n_lines"), F.count_if(F.col("line_no") == 0).alias("n_rows"))
     joined = every.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
-    return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "text_hash")
+    return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "text_hash", "n_rows")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with the lines that ``duplicate_lines`` removes taken out of ``text``; other columns as they are.
 
     Documents that had lines with content and lost all of them are left out:
-    all they held is elsewhere.  Null and blank texts stay as they are.
+    all they held is elsewhere.  Null and blank texts stay as they are.  See
+    ``duplicate_lines`` for null and repeated ids, repeated rows and empty tables.
     """
-    found = duplicate_lines(docs, threshold).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed").alias("_removed"))
+    found = cut(duplicate_lines(docs, threshold).filter(F.size("removed") > 0))
+    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed").alias("_removed"), F.col("n_rows").alias("_n"))
     rows = rename_clashes(docs, ["_d", "_h", "_removed", "_lines"])
-    rows = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (text_hash(rows["text"].cast("string")) == F.col("_h")), "left")
+    rows = rows.withColumns({"_d": F.col("doc_id").cast("long"), "_h": text_hash(F.col("text").cast("string"))})
+    rows = spread_join(rows, found.drop("_n"), ["_d", "_h"], found, how="left")
 
     def stay(split: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed"))

@@ -44,7 +44,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.duplicate_lines(table(spark, sf_dir, "documents")).drop("text_hash")
+    return lines.duplicate_lines(table(spark, sf_dir, "documents")).drop("text_hash", "n_rows")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

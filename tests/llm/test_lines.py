@@ -31,7 +31,6 @@ def brute(rows, threshold=0.8):
 @pytest.mark.parametrize("block", [2048, 4])
 def test_duplicate_lines(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "PART", block)
-    monkeypatch.setattr(lines, "BROADCAST_KEYS", 1000 if block > 4 else 0)  # fetched by broadcast, by shuffle
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghij é", k=rng.randrange(2, 9)))
     base = [" ".join(word() for _ in range(rng.randrange(1, 50))) for _ in range(60)]
