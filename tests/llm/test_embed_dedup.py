@@ -44,3 +44,42 @@ def test_edges(spark):
     got = sorted(tuple(r) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == [(4, 1, 4, True), (5, 1, 4, False), (9, 0, 9, True)]
     assert sorted(r[0] for r in embed_dedup.keep_one(spark.createDataFrame([*rows, (None, None, None)], schema)).collect() if r[0]) == [4, 4, 9]
+
+
+def test_recall_of_an_index_smaller_than_its_data(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(2500):
+        base = rng.normal(size=48)
+        # The other is at cosine 0.980 to 0.985.
+        other = rng.normal(size=48)
+        other -= other @ base / (base @ base) * base
+        c = rng.uniform(0.9802, 0.985)
+        near = c * base + math.sqrt(1 - c * c) * np.linalg.norm(base) / np.linalg.norm(other) * other
+        rows += [(2 * i, base, i % 3), (2 * i + 1, near, i % 3)]
+    want = 0
+    for label in range(3):
+        x = np.array([v for _, v, lab in rows if lab == label])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        want += int((x @ x.T >= 0.98).sum()) - len(x)
+    df = spark.createDataFrame([(i, [float(x) for x in v], lab) for i, v, lab in rows], "vec_id long, embedding array<double>, label int")
+    got = sum(r["n_links"] for r in embed_dedup.near_duplicates(df, pivots=128).collect())
+    assert want >= 5000 and 0.99 * want <= got <= want
+
+
+@pytest.mark.parametrize("kind,labels", [("double", [1.2, 1.7, 1.2, float("nan"), float("nan"), 0.0, -0.0]), ("string", ["a", "A", "a", "x", "x", "y", "y"]), ("binary", [b"\xff", b"\xfe", b"\xff", b"x", b"x", b"y", b"y"]), ("date", None)])
+def test_labels_of_any_type(spark, kind, labels):
+    import datetime
+
+    labels = labels or [datetime.date(2020, 1, d) for d in (1, 2, 1, 3, 3, 4, 4)]
+    df = spark.createDataFrame([(i, [1.0, 2.0 + i / 1000], lab) for i, lab in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
+    got = {r["vec_id"]: r["component_id"] for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
+def test_vectors_of_other_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], 1) for i in range(40)] + [(100 + i, [1.0, 2.0 + i / 100, 0.5], 1) for i in range(5)] + [(200 + i, [1.0, 2.0 + i / 100], 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: tuple(r)[1:] for r in embed_dedup.near_duplicates(df, pivots=10).collect()}
+    assert got == brute(rows)
