@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import pieces
-from .common import rename_clashes
+from .common import labelled_rows, one_text, rename_clashes
 from .logistic import fit_logistic, predict
 
 #: Letters of other alphabets that look like a Latin letter, each with that letter.
@@ -91,14 +91,28 @@ def features(text: str | None, lexicon: tuple, exceptions: tuple) -> list[float]
 WIDTH = 3
 
 
-def learn_lexicon(sample: DataFrame, least: int = 4, most: int = 9, support: float = 0.01, odds: float = 2.5, size: int = 2000) -> tuple[tuple[str, float], ...]:
-    """Terms that mark toxic texts, with their log odds as weights.
+def choose_terms(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, odds: float) -> tuple[tuple[str, float], ...]:
+    """Terms of enough log odds, with these as weights, from the numbers of toxic and of other texts that hold them.
+
+    Of nested terms the longest that loses under a tenth of the texts stays,
+    and of those the shortest.
+    """
+    weight = {t: math.log((p + 0.5) / (n_pos + 1)) - math.log((neg.get(t, 0) + 0.5) / (n_neg + 1)) for t, p in pos.items()}
+    strong = {t for t, w in weight.items() if w >= odds}
+    shadowed = {t[:k] for t in strong for k in range(2, len(t)) if t[:k] in strong and pos[t] >= 0.9 * pos[t[:k]]}
+    kept: dict[str, float] = {}
+    for t in sorted(strong - shadowed, key=lambda t: (len(t), t)):
+        if not any(t[:k] in kept for k in range(2, len(t))):
+            kept[t] = weight[t]
+    return tuple(sorted(kept.items()))
+
+
+def learn_lexicon(sample: DataFrame, least: int = 4, most: int = 9, support: float = 0.01, odds: float = 2.5) -> tuple[tuple[str, float], ...]:
+    """Terms that mark toxic texts, with their log odds as weights, see ``choose_terms``.
 
     ``sample(label, text)`` is a bounded set of labelled rows.  Terms are word
-    beginnings and whole words in at least ``support`` of the toxic texts whose
-    log odds against the others reach ``odds``.  Of nested terms the longest
-    that loses under a tenth of the texts stays, and of those the shortest.
-    ``size`` bounds the lexicon, most frequent terms first.
+    beginnings and whole words in at least ``support`` of the toxic texts; so
+    many texts hold few of them, which bounds what comes to the driver.
     """
 
     def count(wanted: frozenset | None):
@@ -116,48 +130,41 @@ def learn_lexicon(sample: DataFrame, least: int = 4, most: int = 9, support: flo
 
     def counted(label: int, wanted: frozenset | None, at_least: int) -> dict[str, int]:
         got = sample.filter(F.col("label") == label).select("text").mapInArrow(count(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        return {r["term"]: r["n"] for r in got.filter((F.col("n") >= at_least) | (F.col("term") == "")).orderBy(F.col("n").desc(), "term").limit(200_000).collect()}
+        return {r["term"]: r["n"] for r in got.filter((F.col("n") >= at_least) | (F.col("term") == "")).collect()}
 
     toxic_rows = sample.filter("label = 1").count()
-    at_least = max(3, math.ceil(support * toxic_rows))
-    pos = counted(1, None, at_least)
+    pos = counted(1, None, max(3, math.ceil(support * toxic_rows)))
     neg = counted(0, frozenset(pos), 1)
     n_pos, n_neg = pos.pop("", 0), neg.pop("", 0)
-    weight = {t: math.log((p + 0.5) / (n_pos + 1)) - math.log((neg.get(t, 0) + 0.5) / (n_neg + 1)) for t, p in pos.items()}
-    strong = {t for t, w in weight.items() if w >= odds}
-    shadowed = {t[:k] for t in strong for k in range(2, len(t)) if t[:k] in strong and pos[t] >= 0.9 * pos[t[:k]]}
-    kept: dict[str, float] = {}
-    for t in sorted(strong - shadowed, key=lambda t: (len(t), t)):
-        if not any(t[:k] in kept for k in range(2, len(t))):
-            kept[t] = weight[t]
-    return tuple(sorted(sorted(kept.items(), key=lambda x: (-pos[x[0]], x[0]))[:size]))
+    return choose_terms(pos, neg, n_pos, n_neg, odds)
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, other_rows: int = 6000, fit_rows: int = 12_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> dict:
     """Fit on a bounded sample of labelled rows, chosen by a hash of the ids.
 
     ``labels(doc_id, label)`` holds 1 for toxic; nulls are left out, of several
-    labels of a row the highest counts.  The lexicon comes from
-    ``toxic_rows`` and ``other_rows`` rows; ``fit_rows`` rows, whole, calibrate
-    the score.  No labelled rows give an empty lexicon and a score of 0.5.
-    ``learned`` is false if the lexicon is empty or only one label was seen: then
-    all texts score alike, and no score says anything.
+    labels of an id the highest counts.  A hash of the ids splits the labelled
+    rows: ``toxic_rows`` and ``other_rows`` whole texts of two thirds give the
+    lexicon, ``fit_rows`` whole texts of the last third calibrate the score, so
+    no text is used for both.  Of rows that repeat an id the text of the least
+    hash counts.  No labelled rows give an empty lexicon and a score of 0.5.
+    ``learned`` is false if the lexicon is empty or the calibration saw only one
+    label: then all texts score alike, and no score says anything.
     """
-    rows = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
-    text = docs.select("doc_id", "text")
-    chosen = [rows.filter(F.col("label") == label).orderBy("h", "doc_id").limit(n).select("doc_id", "label") for label, n in ((1, toxic_rows), (0, other_rows))]
-    sample = text.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # ids: toxic_rows + other_rows at most
-    lexicon = learn_lexicon(sample)
-    ids = rows.orderBy(F.col("h").desc(), "doc_id").limit(fit_rows).select("doc_id", "label")
-    got = text.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")  # ids: fit_rows at most
+    rows = labelled_rows(labels, 9)
+    first = F.col("h") % 3 != 0
+    chosen = [rows.filter(first & (F.col("label") == label)).orderBy("h", "doc_id").limit(n) for label, n in ((1, toxic_rows), (0, other_rows))]
+    # ids: toxic_rows + other_rows at most.
+    lexicon = learn_lexicon(one_text(docs, chosen[0].union(chosen[1])))
 
     def run(batches):
         for batch in pieces(batches, "text"):
             f = np.array([features(t, lexicon, exceptions) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *[pa.array(f[:, i]) for i in range(WIDTH)]], names=["doc_id", "label", "f0", "f1", "f2"])
 
-    got = sorted(tuple(r) for r in got.mapInArrow(run, "doc_id long, label int, f0 double, f1 double, f2 double").limit(2 * fit_rows).collect())
+    # ids: fit_rows at most; three numbers for each come to the driver.
+    held = one_text(docs, rows.filter(~first).orderBy("h", "doc_id").limit(fit_rows))
+    got = sorted(tuple(r) for r in held.mapInArrow(run, "doc_id string, label int, f0 double, f1 double, f2 double").collect())
     model = fit_logistic(np.array([r[2:] for r in got]).reshape(len(got), WIDTH), np.array([r[1] for r in got]))
     return {"lexicon": lexicon, "exceptions": tuple(exceptions), "logistic": model, "learned": bool(lexicon) and {r[1] for r in got} == {0, 1}}
 
@@ -166,8 +173,9 @@ def score(docs: DataFrame, model: dict, name: str = "score", threshold: float =
     """``docs`` with ``name`` (0 to 1, higher: toxic likelier) and ``predicted`` (1 if ``name`` >= ``threshold``).
 
     Whole texts are folded and matched, a batch of about 4 MB at a time.  Null
-    and empty texts score as a text of no words without a match.  Columns of
-    those two names are replaced; all others pass through.
+    and empty texts score as a text of no words without a match.  Null and
+    repeated ids are rows like others, an empty table gives no rows.  Columns
+    of those two names are replaced; all others pass through.
     """
     docs = rename_clashes(docs, [name, "predicted"])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])

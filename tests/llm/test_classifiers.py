@@ -1,6 +1,8 @@
 """Toxicity and quality on small labelled sets: held-out accuracy, folding, exceptions, edge cases."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +74,78 @@ def test_quality(spark):
     got = quality.score(odd, model).collect()
     assert len(got) == 4 and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in got) and got[0]["score"] == got[1]["score"]
     assert quality.score(odd.limit(0), model).count() == 0
+
+
+def plain_logistic(x, y):
+    """The calibration by plain gradient steps, on standardised features."""
+    import numpy as np
+
+    x, y = np.array(x, float), np.array(y, float)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z, w, b = (x - mean) / scale, np.zeros(x.shape[1]), 0.0
+    for _ in range(40_000):
+        p = 1 / (1 + np.exp(-(z @ w + b)))
+        w += 0.5 * (z.T @ (y - p) - 1e-2 * w) / len(y)
+        b += 0.5 * (y - p).mean()
+    low, high = x.min(0), x.max(0)
+    return lambda f: 1 / (1 + np.exp(-(((np.clip(np.array(f, float), low, high) - mean) / scale) @ w + b)))
+
+
+def test_quality_equals_plain_python(spark):
+    """Split, dictionaries, differences and calibration of a table, without Spark but for the hash of the ids."""
+    import zstandard
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(20, 300)) if i % 3 else (" ".join(rng.choices(WORDS[:6], k=9)).upper() + "!! ") * rng.randrange(2, 20) + prose(rng, 20), int(i % 3 > 0)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality.fit(docs, docs.select("doc_id", "label"))
+    h = {int(r[0]): r[1] for r in docs.selectExpr("doc_id", "xxhash64(7, cast(doc_id as string))").collect()}
+    cut = lambda t: [t.encode()[k : k + 1024] for k in range(0, len(t.encode()), 1024)]
+    made = []
+    for label in (1, 0):
+        texts = [t for _, t in sorted((str(i), t) for i, t, lab in rows if lab == label and h[i] % 4)]
+        made.append(zstandard.train_dictionary(65_536, [c for t in texts for c in cut(t)]).as_bytes())
+    assert (model["good"], model["bad"]) == tuple(made)
+
+    def difference(t):
+        sizes = [sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(m), write_content_size=False, write_dict_id=False).compress(c)) for c in cut(t)) for m in made]
+        return [(sizes[1] - sizes[0]) / sum(sizes)]
+
+    held = [(difference(t), lab) for i, t, lab in rows if not h[i] % 4]
+    p = plain_logistic([f for f, _ in held], [lab for _, lab in held])
+    for r in quality.score(docs.filter("doc_id < 40"), model).collect():
+        assert abs(r["score"] - p(difference(r["text"]))) < 2e-3
+
+
+def test_toxicity_equals_plain_python(spark, toxic_model):
+    """Split, lexicon, matches and calibration of a table, by plain counting and searching."""
+    docs, model = toxic_model
+    rows = docs.collect()
+    h = {r["doc_id"]: r[1] for r in docs.selectExpr("doc_id", "xxhash64(9, cast(doc_id as string)) h").collect()}
+    train = [r for r in rows if r["doc_id"] % 3]
+    first = [r for r in train if h[r["doc_id"]] % 3]
+    starts = lambda t: {f" {w[:k]}" for w in t.split() for k in range(4, min(len(w), 9) + 1)} | {f" {w} " for w in t.split() if len(w) >= 4}
+    pos, neg = Counter(), Counter()
+    for r in first:
+        (pos if r["label"] else neg).update(starts(r["text"]))
+    n_pos = sum(r["label"] for r in first)
+    n_neg = len(first) - n_pos
+    weight = {t: math.log((k + 0.5) / (n_pos + 1)) - math.log((neg[t] + 0.5) / (n_neg + 1)) for t, k in pos.items() if k >= max(3, math.ceil(0.01 * n_pos))}
+    strong = {t for t, w in weight.items() if w >= 2.5}
+    # The longest beginning that loses under a tenth of the texts, then the shortest of nested ones.
+    full = {t for t in strong if not any(u != t and u.startswith(t) and pos[u] >= 0.9 * pos[t] for u in strong)}
+    lexicon = {t: weight[t] for t in full if not any(u != t and t.startswith(u) for u in full)}
+    assert dict(model["lexicon"]) == pytest.approx(lexicon)
+
+    def features(text):
+        t = " " + " ".join(text.split(" ")) + " "
+        hits = [w for term, w in lexicon.items() for k in range(len(t)) if t.startswith(term, k)]
+        # "blaxxer valve" takes back what it holds.
+        inside = [w for term, w in lexicon.items() if term in " blaxxer valve "] * t.count(" blaxxer valve")
+        total = max(sum(hits) - sum(inside), 0)
+        return [math.log1p(total), min(max(len(hits) - len(inside), 0), 4), math.log1p(100 * total / (t.count(" ") + 5))]
+
+    held = [r for r in train if not h[r["doc_id"]] % 3]
+    p = plain_logistic([features(r["text"]) for r in held], [r["label"] for r in held])
+    for r in toxicity.score(docs.filter("doc_id < 60"), model).collect():
+        assert abs(r["score"] - p(features(r["text"]))) < 2e-2
