@@ -65,8 +65,12 @@ def _solve(k: int):
     def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**52:
             return (q.astype("f8") @ x.T.astype("f8")).astype("i8")
-        exact = q.astype(object) @ x.T.astype(object)
-        return np.clip(exact, LOWEST + 1, np.iinfo("i8").max).astype("i8")
+        return q.astype(object) @ x.T.astype(object)
+
+    def fitting(s: np.ndarray) -> np.ndarray:
+        if s.dtype == object and s.size and not LOWEST <= s.min() <= s.max() < 2**63:
+            raise ArithmeticError("a score doesn't fit a long")
+        return s.astype("i8")
 
     def merge(best, found):
         """The k best of both, by query, score and id."""
@@ -108,7 +112,8 @@ def _solve(k: int):
                     q = _padded(raw, width)
                 v = np.array(part.column("vec_id").to_pylist(), "i8")
                 s = scores(q, _padded(vectors, q.shape[1]))
-                s[np.array(ids, "i8")[:, None] == v[None]] = LOWEST
+                s[np.array(ids, "i8")[:, None] == v[None]] = int(LOWEST)
+                s = fitting(s)
                 least = floor
                 if s.shape[1] > k:
                     least = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
@@ -135,13 +140,19 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: int = 102
 
     ``is_query`` is a column over ``vec_id``.  Candidates are all vectors but
     the query's own.  Null vectors and ids, and vectors with null or non-finite
-    components (or too large for a long when scaled) take no part; rows that
-    repeat an id count once, with the smallest vector.  A shorter vector counts
+    components take no part; rows that repeat an id count once, with the
+    smallest vector.  Scores are exact; a scaled component or a score that
+    doesn't fit a long stops the search with an error.  A shorter vector counts
     as padded with zeros; an empty one scores 0.  Other columns are left out.
     """
     spark = embeddings.sparkSession
-    scaled = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long"))
-    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < float(2**62)))
+
+    def whole(v: Column) -> Column:
+        x = v.cast("double") * scale
+        return F.when(F.abs(x) < float(2**63), F.floor(x).cast("long")).otherwise(F.raise_error(F.lit("a scaled component doesn't fit a long")).cast("long"))
+
+    scaled = F.transform("embedding", whole)
+    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = embeddings.filter(F.col("vec_id").isNotNull() & sound).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("vec")).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     rows = cut(rows.withColumn("asks", F.coalesce(is_query, F.lit(False))))
     sample = rows.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(pivots).select("vec").collect()

@@ -48,3 +48,10 @@ def test_cells_are_pruned():
     centres = np.array([[1000.0, 0], [-1000, 0], [0, 1000]])
     near = {j: [1.0] * 3 for j in range(3)}
     assert knn.needed_cells(centres, {0: 2.0}, {0: 5.0, 1: 5.0, 2: 5.0}, near, 2) == [(0, 0)]
+
+
+@pytest.mark.parametrize("values", [[1e30, 1.0], [1e12, 1e12]])
+def test_what_fits_no_long_is_an_error(spark, values):
+    df = spark.createDataFrame([(1, values), (2, values)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):
+        knn.top_k(df, F.col("vec_id") == 1).collect()
