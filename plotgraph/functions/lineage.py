@@ -1,18 +1,35 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs, and numbering rows without ordering a group in one task."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` reliably in the folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only on one machine, where the session names none, a temporary folder is set.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, key: str, order: list[Column], name: str = "i") -> DataFrame:
+    """``df`` with ``name``: each row's place (from 0) among the rows of its ``key``, in ``order``.
+
+    Rows are range-sorted by key and order, so a key of many rows has many
+    ranges; a range's first place is the sum of its key's ranges before it.
+    """
+    ranges = cut(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy(key, "_part").agg(F.count("*").alias("_n")).select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1
+    return ranges.withColumn("_place", place).join(starts, [key, "_part"]).select(*df.columns, (F.col("_place") + F.col("_start")).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import digests
+from .lots import lot_roots
 from .resolve import resolve_batch
 
 
@@ -115,8 +115,8 @@ def associations(claims: DataFrame, aliases: DataFrame, plots: DataFrame) -> Dat
 
 def field_lists(mapped: DataFrame) -> DataFrame:
     """``source_key, list_id, n_plots``: a list per profile, named by the Merkle root over its distinct plots."""
-    lists = mapped.filter("status = 'mapped'").groupBy("source_key").agg(F.collect_set("geo_id").alias("m"))
-    return lists.select("source_key", digests.merkle_root(F.col("m")).alias("list_id"), F.size("m").cast("long").alias("n_plots"))
+    lists = lot_roots(mapped.filter("status = 'mapped'").select(F.col("source_key").alias("lot"), F.col("geo_id").alias("member")))
+    return lists.select(F.col("lot").alias("source_key"), "list_id", F.col("n_members").alias("n_plots"))
 
 
 def exit_code(outcomes: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -6,23 +6,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, digests
+from ..functions.lineage import cut, numbered
 
 
-def lot_roots(members: DataFrame) -> DataFrame:
-    """``lot, n_members, list_id``: the Merkle root over each lot's distinct members.
+def _levels(members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The leaves ``lot, member, i, node, n`` of each lot's tree, and its levels from the leaves' parents up.
 
-    ``members(lot, member)``.  A lot's members come together in one row: a lot
-    is one tree, and its root needs all leaves.
+    A level has a row for each node: ``lot, i, node, n`` (nodes of the lot at
+    that level), ``left`` and ``right`` (its children; an odd node moves up
+    unchanged and has no right one).  A level is a grouping of the one below by
+    lot and half of the index, so no row or task holds a tree.
     """
-    lots = members.filter("member is not null").groupBy("lot").agg(F.collect_set("member").alias("m"))
-    return lots.select("lot", F.size("m").cast("long").alias("n_members"), digests.merkle_root(F.col("m")).alias("list_id"))
+    distinct = members.filter("member is not null").select("lot", "member").distinct()
+    placed = numbered(distinct, "lot", [F.col("member")])
+    n = placed.groupBy("lot").agg(F.count("*").alias("n"))
+    leaves = cut(placed.join(n, "lot").withColumn("node", digests.sha256_raw(F.col("member").cast("binary"))))
+    levels, below = [], leaves.filter("n > 1")
+    while below.head(1):
+        pair = F.array_sort(F.collect_list(F.struct("i", "node")))
+        up = below.groupBy("lot", F.floor(F.col("i") / 2).alias("i"), F.ceil(F.col("n") / 2).alias("n")).agg(pair.alias("p"))
+        up = up.select("lot", "i", "n", F.col("p")[0]["node"].alias("left"), F.get("p", F.lit(1))["node"].alias("right"))
+        up = cut(up.withColumn("node", F.when(F.col("right").isNull(), F.col("left")).otherwise(digests.sha256_raw(F.concat("left", "right")))))
+        levels.append(up)
+        below = up.filter("n > 1")
+    return leaves, levels
+
+
+def _roots(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``lot, list_id`` from the rows that are alone at their level."""
+    roots = leaves.filter("n = 1").select("lot", "node")
+    for level in levels:
+        roots = roots.unionByName(level.filter("n = 1").select("lot", "node"))
+    return roots.select("lot", F.lower(F.hex("node")).alias("list_id"))
+
+
+def lot_roots(members: DataFrame) -> DataFrame:
+    """``lot, n_members, list_id``: the Merkle root over each lot's distinct members ``(lot, member)``, hashed level by level."""
+    leaves, levels = _levels(members)
+    return leaves.filter("i = 0").select("lot", F.col("n").alias("n_members")).join(_roots(leaves, levels), "lot")
 
 
 def lot_proofs(members: DataFrame) -> DataFrame:
-    """``lot, member, list_id, proof, verified`` for every member of every lot."""
-    lots = members.filter("member is not null").groupBy("lot").agg(F.collect_set("member").alias("m")).withColumn("list_id", digests.merkle_root(F.col("m")))
-    rows = lots.select("lot", "list_id", "m", F.explode("m").alias("member"))
-    rows = rows.withColumn("proof", digests.inclusion_proof(F.col("m"), F.col("member")))
+    """``lot, member, list_id, proof, verified`` for every member of every lot.
+
+    Proofs are handed down from the roots: a node's proof is its sibling and
+    its parent's proof, so each level is one join on a node's own place.
+    """
+    leaves, levels = _levels(members)
+    nothing = F.array().cast("array<struct<sibling:string,position:string>>")
+    paths = None
+    for at in range(len(levels) - 1, -1, -1):
+        level = levels[at]
+        top = level.filter("n = 1").withColumn("proof", nothing)
+        if paths is not None:
+            top = top.unionByName(level.filter("n > 1").join(paths, ["lot", "i"]))
+        step = lambda node, position: F.array(F.struct(F.lower(F.hex(node)).alias("sibling"), F.lit(position).alias("position")))
+        alone = F.col("right").isNull()
+        left = F.struct((F.col("i") * 2).alias("i"), F.when(alone, F.col("proof")).otherwise(F.concat(step("right", "right"), "proof")).alias("proof"))
+        right = F.struct((F.col("i") * 2 + 1).alias("i"), F.concat(step("left", "left"), "proof").alias("proof"))
+        paths = cut(top.select("lot", F.explode(F.when(alone, F.array(left)).otherwise(F.array(left, right))).alias("c")).select("lot", "c.i", "c.proof"))
+    single = leaves.filter("n = 1").select("lot", "member", nothing.alias("proof"))
+    rows = single if paths is None else single.unionByName(leaves.filter("n > 1").join(paths, ["lot", "i"]).select("lot", "member", "proof"))
+    rows = rows.join(_roots(leaves, levels), "lot")
     return rows.select("lot", "member", "list_id", "proof", digests.verify_inclusion(F.col("member"), F.col("proof"), F.col("list_id")).alias("verified"))
 
 

@@ -94,15 +94,17 @@ def country_of(points: DataFrame, countries: DataFrame, tile: float = 1.0) -> Da
     """``geo_id, country``: the first country (by ``position``) whose polygon holds the point, '' if none does.
 
     ``points(geo_id, lng, lat)``, ``countries(position, country, shape)``.
-    Countries are listed under the tiles of their bounding boxes, so points
-    meet them by equality of tiles.
+    Positions of countries are listed under the tiles of their bounding boxes,
+    so points meet them by equality of tiles; a shape is fetched once for each
+    candidate, not copied to the tiles.
     """
     corner = F.flatten(F.flatten("shape"))
     low = lambda k, f: F.floor(f(F.transform(corner, lambda p: p[k])) / tile)
     span = lambda k: F.sequence(low(k, F.array_min), low(k, F.array_max))
-    tiles = countries.withColumn("tx", F.explode(span(0))).withColumn("ty", F.explode(span(1)))
+    boxes = countries.select("position", span(0).alias("xs"), span(1).alias("ys"))
+    tiles = boxes.select("position", "ys", F.explode("xs").alias("tx")).select("position", "tx", F.explode("ys").alias("ty"))
     p = points.withColumn("tx", F.floor(F.col("lng") / tile)).withColumn("ty", F.floor(F.col("lat") / tile))
-    hit = p.join(tiles, ["tx", "ty"]).filter(geometry.contains(F.col("shape"), F.col("lng"), F.col("lat")))
+    hit = p.join(tiles, ["tx", "ty"]).join(countries.select("position", "country", "shape"), "position").filter(geometry.contains(F.col("shape"), F.col("lng"), F.col("lat")))
     first = hit.groupBy("geo_id").agg(F.min(F.struct("position", "country")).alias("f"))
     return points.select("geo_id").join(first, "geo_id", "left").select("geo_id", F.coalesce("f.country", F.lit("")).alias("country"))
 
