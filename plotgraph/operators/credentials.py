@@ -45,15 +45,23 @@ def disclosed_fields(disclosures: Column) -> Column:
     return F.transform(F.filter(read, lambda x: F.get(x, F.lit(1)).startswith("fields.")), lambda x: F.get(x, F.lit(2)))
 
 
+#: Bytes that a status list may unpack to; the lists come from outside.
+UNPACKED = 16 * 1024 * 1024
+
+
 @F.pandas_udf(T.BinaryType())
 def inflate(packed: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """zlib streams unpacked; null where one can't be."""
+    """zlib streams unpacked; null where one can't be, or would be larger than ``UNPACKED`` bytes."""
 
     def one(x):
+        if x is None:
+            return None
+        stream = zlib.decompressobj()
         try:
-            return None if x is None else zlib.decompress(x)
+            out = stream.decompress(x, UNPACKED)
         except zlib.error:
             return None
+        return out if stream.eof else None
 
     for part in packed:
         yield part.map(one)
@@ -127,6 +135,35 @@ def gate_forward(requests: DataFrame) -> DataFrame:
     return requests.select("id", status.alias("status"), F.when(status == 200, F.when(has, 3).otherwise(1)).alias("tier"))
 
 
+def authorise(requests: DataFrame, issuer: bool = True, authority: bool = True) -> DataFrame:
+    """``id, status, used_authority`` of read ``requests(id, internal, authority, grant, conceal)``.
+
+    ``authority`` and ``grant`` are decisions (see ``check_authorities``,
+    ``check_grants``) or null; ``internal`` requests proved the shared secret
+    and pass.  Without an ``issuer`` key all others are refused (401), and
+    without an ``authority`` key those that show an authority.  An authority
+    decides first; one that fails is an error (401) only where existence isn't
+    concealed, else the grant may still open.  What nothing opens is 404 where
+    existence is concealed, 403 elsewhere.  Null flags count as false but
+    ``conceal``, which counts as true.
+    """
+    conceal = F.coalesce("conceal", F.lit(True))
+    shown, granted = F.col("authority").isNotNull(), F.coalesce(F.col("grant") == "ok", F.lit(False))
+    by_authority = F.coalesce(F.col("authority") == "ok", F.lit(False)) & F.lit(authority)
+    status = (
+        F.when(F.coalesce("internal", F.lit(False)), 200).when(~F.lit(issuer) | (shown & ~F.lit(authority)), 401).when(by_authority, 200)
+        .when(shown & ~conceal, 401).when(granted, 200).when(conceal, 404).otherwise(403)
+    )
+    return requests.select("id", status.alias("status"), ((status == 200) & by_authority & ~F.coalesce("internal", F.lit(False))).alias("used_authority"))
+
+
+def with_failures(matches: DataFrame, failed: DataFrame) -> DataFrame:
+    """``matches(request, tier, holder, ...)`` with ``status``: 502 for a tier 3 request whose look-up of holders ``failed(request)``; none of its rows shows a holder."""
+    rows = matches.join(failed.select("request").distinct().withColumn("_f", F.lit(True)), "request", "left")
+    status = F.when((F.col("tier") == 3) & F.coalesce("_f", F.lit(False)), 502).otherwise(200)
+    return rows.withColumn("status", status).withColumn("holder", F.when(F.col("status") == 200, F.col("holder"))).select(*matches.columns, "status")
+
+
 def with_holders(matches: DataFrame, holders: DataFrame) -> DataFrame:
     """Matches with ``holder, holder_status`` in tier 3; in tier 1 both are null for every row."""
     joined = matches.join(holders.select("list_id", F.col("account").alias("_h")), "list_id", "left")

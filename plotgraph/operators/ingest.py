@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .lots import lot_roots
 from .resolve import resolve_batch
 
@@ -14,9 +15,12 @@ def reason_of(error: Column) -> Column:
     return F.substring(F.trim(F.substring_index(error, ":", 1)), 1, 60)
 
 
-def import_fields(fields: DataFrame, aliases: DataFrame, links: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame:
+def import_fields(fields: DataFrame, aliases: DataFrame, links: DataFrame, known_hashes: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
     """``v1_geo_id, outcome, target, parent``: what becomes of every field of an import.
 
+    In a ``dry_run`` no field is registered, so none meets an earlier one of the
+    same run: all that aren't known yet are ``new``.
+
     ``fields(v1_geo_id, position, error, content_hash, geo_id, kind)``;
     ``aliases(v1_geo_id, geo_id)`` is what earlier runs wrote; ``links(a, b,
     relation, score)`` are verdicts between fields.  In order:
@@ -31,7 +35,8 @@ def import_fields(fields: DataFrame, aliases: DataFrame, links: DataFrame, known
     open_rows = rows.filter("done is null and error is null")
     first = F.first("geo_id").over(Window.partitionBy("content_hash").orderBy("position", "v1_geo_id"))
     rank = F.row_number().over(Window.partitionBy("content_hash").orderBy("position", "v1_geo_id"))
-    open_rows = open_rows.withColumn("first", first).withColumn("rank", rank)
+    open_rows = open_rows.withColumn("first", first).withColumn("rank", F.lit(1) if dry_run else rank)
+    links = links.limit(0) if dry_run else links
     if known_hashes is not None:
         open_rows = open_rows.join(known_hashes.select("content_hash", F.col("geo_id").alias("registered")), "content_hash", "left")
     else:
@@ -67,6 +72,14 @@ def new_aliases(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter("outcome in ('same_as', 'new')").select("v1_geo_id", F.col("target").alias("geo_id"))
 
 
+def run(fields: DataFrame, aliases: DataFrame, links: DataFrame, path: str, known_hashes: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
+    """``report`` of an import that appends its aliases to ``path``; a ``dry_run`` goes the same way and writes nothing."""
+    outcomes = cut(import_fields(fields, aliases, links, known_hashes, dry_run))
+    if not dry_run:
+        new_aliases(outcomes).write.mode("append").parquet(path)
+    return report(outcomes)
+
+
 def alias_upsert(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """``v1_geo_id, geo_id, outcome`` of writing aliases: ``inserted``, ``unchanged``, or ``refused`` where another target is recorded."""
     known = existing.select("v1_geo_id", F.col("geo_id").alias("recorded"))

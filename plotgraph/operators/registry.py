@@ -82,8 +82,39 @@ def disclosed(plots: DataFrame) -> DataFrame:
     return plots.select("geo_id", F.when(F.col("granted"), "L1").otherwise("L0").alias("tier"), F.when(F.col("granted"), wkt).alias("wkt"), seen("lat", "lat").alias("lat"), seen("lng", "lng").alias("lng"), cells.id_to_token(cell).alias("cell"))
 
 
-def at_coordinate(coordinates: DataFrame, plots: DataFrame) -> DataFrame:
-    """``probe, geo_id``: plots ``(geo_id, cell)`` that list both the level-13 and the level-20 cell of ``coordinates(probe, lat, lng)``."""
+def full_view(plots: DataFrame, requested: list[int] | None = None, accounts: bool = False) -> DataFrame:
+    """``geo_id, tier, geo_json, levels`` of ``plots(geo_id, wkt, levels, granted, account)``: the exact geometry for those who may see it.
+
+    Tier ``L1`` needs a grant, or an account where the legacy switch
+    ``accounts`` is on; all others are ``L0`` and get neither column.
+    ``levels`` are the ``requested`` ones without the WKT; null if no known
+    level is asked for.  Geometry that can't be parsed is null.
+    """
+    no = F.lit(False)
+    may = F.coalesce("granted", no) | (F.coalesce("account", no) & F.lit(accounts))
+    shape = geometry.from_wkt(F.col("wkt"))
+    single = F.to_json(F.struct(F.lit("Polygon").alias("type"), shape[0].alias("coordinates")))
+    several = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), shape.alias("coordinates")))
+    exact = F.when(F.size(shape) == 1, single).when(F.size(shape) > 1, several)
+    asked = bool(set(LEVELS) & set(requested or []))
+    levels = F.when(may, project_levels(F.col("levels"), requested or [])) if asked else F.lit(None)
+    return plots.select("geo_id", F.when(may, "L1").otherwise("L0").alias("tier"), F.when(may, exact).alias("geo_json"), levels.cast("map<string,string>").alias("levels"))
+
+
+def flat_tokens(indices: Column) -> Column:
+    """The distinct cell tokens of an index, JSON by level: only lists are taken, a bare text (such as the regime's name) isn't one."""
+    values = F.map_values(F.from_json(indices, "map<string,string>"))
+    lists = F.transform(F.filter(values, lambda v: v.startswith("[")), lambda v: F.from_json(v, "array<string>"))
+    return F.array_distinct(F.flatten(F.filter(lists, lambda x: x.isNotNull())))
+
+
+def at_coordinate(coordinates: DataFrame, plots: DataFrame, boundary_type: str | None = None) -> DataFrame:
+    """``probe, geo_id``: plots ``(geo_id, cell)`` that list both the level-13 and the level-20 cell of ``coordinates(probe, lat, lng)``.
+
+    With ``boundary_type`` only plots of that type (a column of theirs) count.
+    """
+    if boundary_type is not None:
+        plots = plots.filter(F.col("boundary_type") == boundary_type)
     leaf = cells.from_lat_lng(F.col("lat"), F.col("lng"))
     keys = coordinates.select("probe", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), cells.parent(leaf, n).alias("cell")) for n in (13, 20)])).alias("k")).select("probe", "k.*")
     hits = keys.join(plots.select("geo_id", "cell").distinct(), "cell")

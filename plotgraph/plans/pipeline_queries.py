@@ -126,11 +126,16 @@ def fieldlist_roots(spark: SparkSession, d: str) -> DataFrame:
     return ingest.field_lists(ingest.associations(claims(spark, d), a, plots))
 
 
-def _import(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def import_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as fields to import, and the aliases that an earlier run wrote."""
     k = F.col("p_partkey")
     error = F.when(k % 19 == 0, "no_geometry").when(k % 23 == 0, "unusable: polygon is empty: 12")
     rows = read(spark, d, "part").select(named("P", k).alias("v1_geo_id"), k.alias("position"), error.alias("error"), F.sha2((k - k % 2).cast("string"), 256).alias("content_hash"), F.concat(F.lit("v2-"), k.cast("string")).alias("geo_id"))
-    done = rows.filter("position % 10 = 7").select("v1_geo_id", F.concat(F.lit("done-"), F.col("position").cast("string")).alias("geo_id"))
+    return rows, rows.filter("position % 10 = 7").select("v1_geo_id", F.concat(F.lit("done-"), F.col("position").cast("string")).alias("geo_id"))
+
+
+def _import(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows, done = import_rows(spark, d)
     return ingest.import_fields(rows, done, resolve.verdicts(_scored(spark, d))), done
 
 

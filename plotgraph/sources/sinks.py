@@ -31,3 +31,13 @@ def progress(outcomes: DataFrame, total: int) -> DataFrame:
     """
     done = F.col("row") + 1
     return outcomes.select(F.to_json(F.struct(F.lit("processing").alias("status"), done.alias("processed"), F.lit(total).alias("total"), F.round(100.0 * done / total, 2).alias("percentage"), "outcome")).alias("line"))
+
+
+def progress_lines(outcomes: DataFrame, total: int, seconds: float = 0.0) -> DataFrame:
+    """``seq, line``: ``progress`` between a started line (0) and a completed one, which counts each outcome; rows are numbered from 1."""
+    session = outcomes.sparkSession
+    started = session.range(1).select(F.lit(0).cast("long").alias("seq"), F.to_json(F.struct(F.lit("started").alias("status"), F.lit(total).alias("total"), F.lit(0).alias("processed"))).alias("line"))
+    rows = progress(outcomes, total).select((F.get_json_object("line", "$.processed").cast("long")).alias("seq"), "line")
+    counts = outcomes.groupBy("outcome").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n")))).alias("results"))
+    completed = F.to_json(F.struct(F.lit("completed").alias("status"), F.lit(total).alias("total"), F.round(F.lit(float(seconds)), 2).alias("seconds"), "results"))
+    return started.unionByName(rows).unionByName(counts.select(F.lit(total + 1).cast("long").alias("seq"), completed.alias("line")))
