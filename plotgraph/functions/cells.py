@@ -115,6 +115,14 @@ def project(face: Column, x: Column, y: Column, z: Column) -> tuple[Column, Colu
     return u, v
 
 
+def onto(face: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """(a, b, h) of a direction seen from a face: its height over the face's horizon, and (u, v) times that height; defined behind the face too."""
+    a = F.when((face == 0) | (face == 5), y).when((face == 1) | (face == 2), -x).otherwise(-z)
+    b = F.when(face <= 1, z).when(face <= 3, -y).otherwise(x)
+    h = F.when(face == 0, x).when(face == 1, y).when(face == 2, z).when(face == 3, -x).when(face == 4, -y).otherwise(-z)
+    return a, b, h
+
+
 def unproject(face: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
     one = F.lit(1.0)
     x = F.when(face == 0, one).when(face == 1, -u).when(face == 2, -u).when(face == 3, -one).when(face == 4, v).otherwise(v)

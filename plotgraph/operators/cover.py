@@ -15,21 +15,51 @@ from ..functions import cells, geometry
 from ..functions.lineage import cut
 
 
+#: Least height over the plane through the sphere's middle at which a ring is cut; what lies beyond is far outside the face.
+HORIZON = 1e-3
+
+
 def _edges(shape: Column, face: Column) -> Column:
-    """The rings' edges on a face's plane: ``x0, y0, x1, y1``."""
+    """The rings' edges on a face's plane: ``x0, y0, x1, y1``; of a ring that goes behind the face, the part before it, closed far outside the face."""
 
     def flat(p: Column) -> Column:
         lam, phi = F.radians(p[0]), F.radians(p[1])
-        u, v = cells.project(face, F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))
-        return F.struct(u.alias("x"), v.alias("y"))
+        a, b, h = cells.onto(face, F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))
+        return F.struct(a.alias("a"), b.alias("b"), h.alias("h"))
+
+    def before(p: Column, q: Column) -> Column:
+        """The start of the edge if it lies before the face, and where the edge crosses the horizon."""
+        t = (HORIZON - p["h"]) / (q["h"] - p["h"])
+        cut_at = F.struct((p["a"] + t * (q["a"] - p["a"])).alias("a"), (p["b"] + t * (q["b"] - p["b"])).alias("b"), F.lit(HORIZON).alias("h"))
+        seen = lambda x: x["h"] >= HORIZON
+        none = F.array().cast("array<struct<a:double,b:double,h:double>>")
+        return F.concat(F.when(seen(p), F.array(p)).otherwise(none), F.when(seen(p) != seen(q), F.array(cut_at)).otherwise(none))
 
     def ring(r: Column) -> Column:
         on = F.transform(r, flat)
-        return cells.let(on, lambda o: F.zip_with(F.slice(o, 1, F.size(o) - 1), F.slice(o, 2, F.size(o) - 1), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"))))
+        clipped = cells.let(on, lambda o: F.flatten(F.zip_with(F.slice(o, 1, F.size(o) - 1), F.slice(o, 2, F.size(o) - 1), before)))
+        at = lambda p: F.struct((p["a"] / p["h"]).alias("x"), (p["b"] / p["h"]).alias("y"))
+        closed = cells.let(clipped, lambda c: F.when(F.size(c) > 0, F.transform(F.concat(c, F.slice(c, 1, 1)), at)).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
+        return cells.let(closed, lambda o: F.when(F.size(o) > 1, F.zip_with(F.slice(o, 1, F.size(o) - 1), F.slice(o, 2, F.size(o) - 1), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))).otherwise(F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")))
 
     return F.flatten(F.transform(F.flatten(shape), ring))
 
 
+def _turns(edges: Column, x: Column, y: Column, u: Column, v: Column) -> Column:
+    """Whether one of two points is inside and the other isn't, if all edges that the way between them meets are among ``edges``: first along x, then along y."""
+    across = lambda e: ((e["y0"] > y) != (e["y1"] > y)) & ((x < _at_y(e, y)) != (u < _at_y(e, y)))
+    up = lambda e: ((e["x0"] > u) != (e["x1"] > u)) & ((y < _at_x(e, u)) != (v < _at_x(e, u)))
+    return (F.size(F.filter(edges, across)) + F.size(F.filter(edges, up))) % 2 == 1
+
+
+def _at_y(e: Column, y: Column) -> Column:
+    return (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]
+
+
+def _at_x(e: Column, x: Column) -> Column:
+    return (e["y1"] - e["y0"]) * (x - e["x0"]) / (e["x1"] - e["x0"]) + e["y0"]
+
+
 def _inside(edges: Column, x: Column, y: Column) -> Column:
     hit = lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])
     return F.size(F.filter(edges, hit)) % 2 == 1
@@ -56,28 +86,35 @@ def polygon_cover(plots: DataFrame, finest: int = 20) -> DataFrame:
 
     ``shape`` is canonical (see ``geometry.canonical``).  A cell is kept where
     the polygon contains it, or at level ``finest`` where it touches it; holes
-    and all parts count, crossing rings by the even-odd rule.  A polygon is seen
-    on every face that a vertex lies on.  Null or empty shapes have no cells.
+    and all parts count, crossing rings by the even-odd rule.  Rings are cut at
+    each face's horizon, so a polygon is seen on every face that it touches, if
+    it is smaller than half the sphere.  A cell on the way down carries only the
+    edges that cross it and whether its middle is inside.  Null or empty shapes
+    have no cells.
     """
-    corners = plots.filter(F.size("shape") > 0).select("owner", "shape", F.explode(F.flatten(F.flatten("shape"))).alias("p"))
-    lam, phi = F.radians(F.col("p")[0]), F.radians(F.col("p")[1])
-    faces = corners.select("owner", "shape", cells.face_of(F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)).alias("face")).distinct()
-    # Begin at the smallest cell of the face that holds all its vertices' boxes: found on the way down.
-    face_cell = F.call_function("shiftleft", F.col("face").cast("long"), F.lit(61)).bitwiseOR(F.lit(1 << 60))
-    edges = cut(faces.select("owner", "face", _edges(F.col("shape"), F.col("face")).alias("edges")))
-    open_cells = edges.select("owner", "face", face_cell.alias("cell"))
+
+    def whole(face: Column) -> Column:
+        cell = F.call_function("shiftleft", face.cast("long"), F.lit(61)).bitwiseOR(F.lit(1 << 60))
+        return F.struct(cell.alias("cell"), cells.bounds(cell).alias("b"), _edges(F.col("shape"), face).alias("edges"))
+
+    def quarter(cell: Column) -> Column:
+        return F.struct(cell.alias("cell"), cells.bounds(cell).alias("b"))
+
+    middle = lambda b: ((b["u0"] + b["u1"]) / 2, (b["v0"] + b["v1"]) / 2)
+    # What explode makes is computed once, however often it is named.
+    faces = plots.filter(F.size("shape") > 0).select("owner", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), whole)).alias("c"))
+    rows = faces.select("owner", "c.cell", "c.b", "c.edges", _inside(F.col("c.edges"), *middle(F.col("c.b"))).alias("inside"))
     done: list[DataFrame] = []
     for at in range(finest + 1):
-        seen = open_cells.withColumn("b", cells.bounds(F.col("cell"))).join(edges, ["owner", "face"])
-        crossed = F.exists("edges", lambda e: _crosses(F.col("b"), e))
-        middle = _inside(F.col("edges"), (F.col("b.u0") + F.col("b.u1")) / 2, (F.col("b.v0") + F.col("b.v1")) / 2)
-        state = seen.select("owner", "face", "cell", F.when(crossed, "edge").when(middle, "inside").alias("state")).filter("state is not null")
-        state = cut(state)
+        crossing = rows.withColumn("edges", F.filter("edges", lambda e: _crosses(F.col("b"), e)))
+        state = cut(crossing.filter((F.size("edges") > 0) | F.col("inside")))
         if at == finest:
             done.append(state.select("owner", "cell"))
             break
-        done.append(state.filter("state = 'inside'").select("owner", "cell"))
-        open_cells = state.filter("state = 'edge'").select("owner", "face", F.explode(cells.children(F.col("cell"))).alias("cell"))
+        done.append(state.filter(F.size("edges") == 0).select("owner", "cell"))
+        below = state.filter(F.size("edges") > 0).select("owner", "edges", "inside", F.col("b").alias("above"), F.explode(F.transform(cells.children(F.col("cell")), quarter)).alias("c"))
+        turns = _turns(F.col("edges"), *middle(F.col("above")), *middle(F.col("c.b")))
+        rows = below.select("owner", "c.cell", "c.b", "edges", (F.col("inside") != turns).alias("inside"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

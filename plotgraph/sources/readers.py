@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,23 +72,22 @@ def sampled(fields: DataFrame, profiles: DataFrame, chosen: DataFrame, keys: Dat
     return fields.join(chosen.select("v1_geo_id").distinct(), "v1_geo_id", "left_semi"), profiles.join(keys.select("source_key").distinct(), "source_key", "left_semi")
 
 
-def fixture_fields(spark: SparkSession, filler: int = 60) -> DataFrame:
-    """Deterministic fields with every hazard, and ``filler`` plain squares: ``v1_geo_id, wkt, owner``."""
+def hexagon(lng: float, lat: float, radius: float) -> str:
+    """WKT of a regular hexagon, ``radius`` in metres near the equator."""
+    corners = [(lng + radius / 111_000 * math.cos(math.pi * k / 3), lat + radius / 111_000 * math.sin(math.pi * k / 3)) for k in range(7)]
+    return "POLYGON ((" + ", ".join(f"{x:.7f} {y:.7f}" for x, y in corners) + "))"
 
-    def square(lng: float, lat: float, metres: float, east: float = 0.0) -> str:
-        m = 1 / 111320
-        x, s = lng + east * m, metres * m
-        return f"POLYGON(({x:.9f} {lat:.9f}, {x + s:.9f} {lat:.9f}, {x + s:.9f} {lat + s:.9f}, {x:.9f} {lat + s:.9f}, {x:.9f} {lat:.9f}))"
 
+def fixture_fields(spark: SparkSession, filler: int = 60) -> DataFrame:
+    """Hexagonal fields with what an import has to cope with, and ``filler`` plain ones: ``v1_geo_id, wkt, owner``.
+
+    A pair of twins, a pair drawn twice, a garden within an estate, four texts
+    that give no polygon, and a field that nobody claims.
+    """
     hazards = [
-        ("near_dup_a", square(1, 1, 2000), "tp-1"), ("near_dup_b", square(1, 1, 2000, 40), "tp-2"), ("exact_dup_a", square(2, 2, 150), "tp-3"), ("exact_dup_b", square(2, 2, 150), "tp-4"),
-        ("big_field", square(3, 3, 500), "tp-5"), ("small_plot", square(3.0005, 3.0005, 80), "tp-5"), ("no_geom", None, "tp-7"), ("bad_geom", "LINESTRING (0 0, 0.001 0.001)", "tp-5"),
-        ("unparseable", "NOT WKT AT ALL", "tp-5"), ("pin_as_ring", "POLYGON((36.8 -1.29, 36.8 -1.29, 36.8 -1.29, 36.8 -1.29))", "tp-5"), ("unclaimed", square(5, 5, 300), None),
+        ("twin_1", hexagon(-60, -3, 120), "coop-a"), ("twin_2", hexagon(-60, -3, 120), "coop-b"), ("drawn_1", hexagon(-61, -4, 1500), "coop-a"), ("drawn_2", hexagon(-61 + 30 / 111_000, -4, 1500), "coop-c"),
+        ("estate", hexagon(-62, -5, 600), "coop-d"), ("garden", hexagon(-62, -5, 70), "coop-d"), ("blank", " ", "coop-e"), ("track", "LINESTRING (-60.5 -3.5, -60.4 -3.4, -60.3 -3.5)", "coop-e"),
+        ("note", "twelve hectares by the river", "coop-e"), ("stake", "POLYGON ((-63.25 -6.5, -63.25 -6.5, -63.25 -6.5, -63.25 -6.5))", "coop-f"), ("nobodys", hexagon(-64, -7, 250), None),
     ]
-    base = spark.createDataFrame(hazards, "v1_geo_id string, wkt string, owner string")
-    side = F.element_at(F.array(*map(F.lit, (40.0, 90.0, 150.0, 400.0, 900.0, 1800.0))), (F.col("id") % 6 + 1).cast("int")) / 111320
-    lat, n = F.lit(10.0) + 0.05 * F.col("id"), lambda x: F.format_string("%.9f", x)
-    at = lambda x, y: F.concat_ws(" ", n(x), n(y))
-    ring = F.concat_ws(", ", at(F.lit(30.0), lat), at(30 + side, lat), at(30 + side, lat + side), at(F.lit(30.0), lat + side), at(F.lit(30.0), lat))
-    more = spark.range(filler).select(F.concat(F.lit("filler-"), F.col("id").cast("string")).alias("v1_geo_id"), F.concat(F.lit("POLYGON(("), ring, F.lit("))")).alias("wkt"), F.concat(F.lit("tp-"), (F.col("id") % 12).cast("string")).alias("owner"))
-    return base.unionByName(more)
+    plain = [(f"plain-{k}", hexagon(-50 - 0.1 * k, 2, 30 * (k % 9 + 1)), f"coop-{'abcdefgh'[k % 8]}") for k in range(filler)]
+    return spark.createDataFrame(hazards + plain, "v1_geo_id string, wkt string, owner string")

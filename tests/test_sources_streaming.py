@@ -46,14 +46,14 @@ def test_legacy(spark):
 def test_fixture_pairs_merge_and_nest(spark):
     f = readers.wkt_table(readers.fixture_fields(spark, 4).withColumnRenamed("v1_geo_id", "geo_id"))
     refused = {r["geo_id"]: r["refused"] for r in f.filter("refused is not null").collect()}
-    assert refused == {"no_geom": "no_geometry", "bad_geom": "not_polygonal", "unparseable": "unparseable", "pin_as_ring": "zero_area"}
-    plots = f.filter("geo_id in ('near_dup_a', 'near_dup_b', 'exact_dup_a', 'exact_dup_b', 'big_field', 'small_plot')").select(F.col("geo_id").alias("owner"), geometry.canonical(F.col("shape")).alias("shape"))
+    assert refused == {"blank": "no_geometry", "track": "not_polygonal", "note": "unparseable", "stake": "zero_area"}
+    plots = f.filter("geo_id in ('drawn_1', 'drawn_2', 'twin_1', 'twin_2', 'estate', 'garden')").select(F.col("geo_id").alias("owner"), geometry.canonical(F.col("shape")).alias("shape"))
     c = cover.polygon_cover(plots, 18).cache()
     pairs = resolve.candidates(c, c).filter("b < a")
     scored = overlap.cover_overlap(pairs, c).cache()
     outcome = lambda t: {(r["a"], r["relation"]) for r in resolve.best(resolve.verdicts(scored, t)).collect()}
-    assert outcome(90.0) == {("near_dup_b", "same_as"), ("exact_dup_b", "same_as"), ("small_plot", "child_of")}
-    assert ("near_dup_b", "same_as") not in outcome(99.9)
+    assert outcome(90.0) == {("drawn_2", "same_as"), ("twin_2", "same_as"), ("garden", "child_of")}
+    assert ("drawn_2", "same_as") not in outcome(99.9)
 
 
 def test_audit_fails_closed(spark, tmp_path):
