@@ -90,3 +90,10 @@ def rename_clashes(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop the columns of ``df`` whose names an operator is about to add."""
     lowered = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in lowered])
+
+
+def set_aside(df: DataFrame, names: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the columns that begin with an underscore or are called one of ``names`` under other names, and what selects all of its columns as they were."""
+    lowered = {n.lower() for n in names}
+    away = {c: f"aside {i}" for i, c in enumerate(df.columns) if c.startswith("_") or c.lower() in lowered}
+    return df.withColumnsRenamed(away), [F.col(f"`{away.get(c, c)}`").alias(c) for c in df.columns]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .common import cut, let, rename_clashes
+from .common import cut, let, set_aside
 from .components import connected_components, local_roots
 from .groups import by_groups, deal_pairs, spread_join
 
@@ -254,13 +254,14 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     shared = cut(banded.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_shared, "band long, key long"))
     shared = cut(different_sets(shared))
     named = line.select(content(F.col("line")).alias("line")).filter("line <> ''").select(F.xxhash64("line").alias("key"), "line")
-    texts = named.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
+    place = F.struct("doc_id", "text_hash", "line_no")
+    each = cut(lines.filter("key is not null").groupBy("key").agg(F.count("*").alias("_n"), F.min(place).alias("first")))
+    # A line that stands in very many documents is fetched by several tasks.
+    texts = spread_join(named, shared.select("key").distinct(), ["key"], each, nulls=False).groupBy("key").agg(F.min("line").alias("line"))
     dealt = deal_pairs(shared, ["band"], "key", texts, PART)
     linked = connected_components(dealt.mapInArrow(_verify(threshold), "a long, b long")).withColumnRenamed("node", "key")
 
-    # The first place of each line, of each component, and of each line's component; only lines that occur again or are linked can go.
-    place = F.struct("doc_id", "text_hash", "line_no")
-    each = lines.filter("key is not null").groupBy("key").agg(F.count("*").alias("_n"), F.min(place).alias("first"))
+    # From the first place of each line that of each component; only lines that occur again or are linked can go.
     kept = linked.join(each, "key").groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("_n"))
     linked = spread_join(linked, kept.drop("_n"), ["component"], kept, ["key"]).select("key", "kept")
     again = each.join(linked, "key", "left").filter("_n > 1 or kept is not null")
@@ -278,10 +279,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Documents that had lines with content and lost all of them are left out:
     all they held is elsewhere.  Null and blank texts stay as they are.  See
     ``duplicate_lines`` for null and repeated ids, repeated rows and empty tables.
+    Columns of any name stay.
     """
     found = cut(duplicate_lines(docs, threshold).filter(F.size("removed") > 0))
     found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed").alias("_removed"), F.col("n_rows").alias("_n"))
-    rows = rename_clashes(docs, ["_d", "_h", "_removed", "_lines"])
+    rows, back = set_aside(docs)
     rows = rows.withColumns({"_d": F.col("doc_id").cast("long"), "_h": text_hash(F.col("text").cast("string"))})
     rows = spread_join(rows, found.drop("_n"), ["_d", "_h"], found, how="left")
 
@@ -291,4 +293,4 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     rows = rows.withColumn("_lines", F.when(F.col("_removed").isNotNull(), let(split_lines(F.col("text")), stay)))
     rows = rows.filter(F.col("_lines").isNull() | F.exists("_lines", lambda x: content(x) != ""))
-    return rows.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join("_lines", "\n"))).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join("_lines", "\n"))).select(*back)

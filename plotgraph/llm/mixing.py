@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, partitions, rename_clashes
+from .common import WORD, cut, partitions, set_aside
 from .groups import spread_join
 
 #: Rows that one window task orders, about.
@@ -112,12 +112,13 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     Rows equal in id, text and source share what the mix takes of them: each is
     given as often as the others, and some of them once more where that doesn't
     come out even.  Null and repeated ids, empty texts and tables: see ``mix``.
+    Columns of any name stay.
     """
     seed = parameters.get("seed", 42)
     keys = ["_d", "_r", "_s"]
     plan = mix(docs, **parameters).groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("source").alias("_s"))
     plan = cut(plan.agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n")).filter("_sum > 0"))
-    rows = rename_clashes(docs, [*keys, "_sum", "_n", "_one", "_id", "_k"])
+    rows, back = set_aside(docs)
     rows = rows.withColumns({"_d": F.col("doc_id"), "_r": F.xxhash64(F.lit(seed), "doc_id", "text"), "_s": F.col("source")})
     even, odd = F.floor(F.col("_sum") / F.col("_n")), F.col("_sum") % F.col("_n")
     given = spread_join(rows, plan.filter(odd == 0), keys, plan).withColumn("_k", even)
@@ -128,4 +129,4 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
         shared = spread_join(rows, uneven, keys, uneven).withColumns({"_one": F.lit(1).cast("long"), "_id": F.monotonically_increasing_id()})
         shared = _running(shared, n, keys, [F.col("_id")], {"_k": "_one"}).drop("_one", "_id")
         given = given.unionByName(shared.withColumn("_k", even + (F.col("_k") <= odd).cast("long")))
-    return given.filter("_k > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*docs.columns)
+    return given.filter("_k > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*back)

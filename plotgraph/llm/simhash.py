@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import pieces
-from .common import cut, rename_clashes
+from .common import cut, rename_clashes, set_aside
 from .components import connected_components, local_roots
 from .groups import by_groups, deal_pairs, spread_join
 
@@ -228,7 +228,7 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     texts is a document for each.  Rows with a null id have no rank among the
     others: of those of a component the first stays too.  Texts are told apart
     by two 64-bit hashes.  Empty texts are copies of each other; an empty table
-    gives no rows.
+    gives no rows.  Columns of any name stay.
     """
     own = F.struct(F.xxhash64(F.col("text").cast("string")).alias("a"), F.xxhash64(F.lit(1), F.col("text").cast("string")).alias("b"))
     fps, rooted = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own.alias("_text")), **parameters)
@@ -236,7 +236,8 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     each = fps.groupBy("fp", F.col("doc_id").isNull().alias("_null")).agg(F.min(F.struct("doc_id", "_text")).alias("k"))
     first = each.join(rooted.select("fp", "root"), "fp").groupBy("root", "_null").agg(F.min("k").alias("k"))
     first = cut(first.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_own")))
-    rest = rename_clashes(docs, ["_own", "_id"]).withColumns({"_own": own, "_id": F.col("doc_id").cast("long")})
+    rest, back = set_aside(docs)
+    rest = rest.withColumns({"_own": own, "_id": F.col("doc_id").cast("long")})
     counts = fps.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_own")).agg(F.count("*").alias("_n")).filter("_n > 1")
     kept = spread_join(rest, first, ["_id", "_own"], counts)
-    return kept.dropDuplicates(["_id", "_own"]).select(*docs.columns)
+    return kept.dropDuplicates(["_id", "_own"]).select(*back)
