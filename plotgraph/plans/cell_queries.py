@@ -83,14 +83,13 @@ def cover_containment_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def token_overlap_pct(spark: SparkSession, d: str) -> DataFrame:
     tokens = lenses.covers(spark, d).groupBy("owner").agg(F.collect_list(_token()).alias("tokens"))
-    p = read(spark, d, "part").filter("p_partkey % 5 in (1, 2, 3)")
-    pairs = p.select(named("P", F.col("p_partkey")).alias("a"), named("P", F.col("p_partkey") - F.col("p_partkey") % 5).alias("b"))
+    pairs = read(spark, d, "part").select(named("P", F.col("p_partkey")).alias("a"), named("P", F.col("p_partkey") - F.col("p_partkey") % 5).alias("b"))
     return overlap.token_overlap_percent(pairs, tokens)
 
 
 def overlap_two_plots(spark: SparkSession, d: str) -> DataFrame:
-    """Two named plots, one of them unknown in the second row."""
-    pairs = spark.createDataFrame([("P0000000011", "P0000000012"), ("P0000000011", "P-none")], "a string, b string")
+    """Every plot and the one with the next number; the last one's is unknown."""
+    pairs = read(spark, d, "part").select(named("P", F.col("p_partkey")).alias("a"), named("P", F.col("p_partkey") + 1).alias("b"))
     return overlap.cover_overlap(pairs, lenses.covers(spark, d)).select("a", "b", "iou", "containment")
 
 
@@ -164,10 +163,11 @@ ORACLE_SQL = {
     "cover_iou_pairs": sql(_SCORED_VIEWS, f"{_SCORED} SELECT a, b, shared, leaves_a, leaves_b, iou FROM scored WHERE iou > 0"),
     "cover_containment_pairs": sql(_SCORED_VIEWS, f"{_SCORED} SELECT a, b, containment FROM scored WHERE containment >= 0.95"),
     "token_overlap_pct": sql(_COVERS, f"""t AS (SELECT owner, list(DISTINCT {_TOKEN}) AS t FROM covers GROUP BY owner),
-        p AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS a, 'P' || lpad(CAST(p_partkey - p_partkey % 5 AS VARCHAR), 10, '0') AS b FROM part WHERE p_partkey % 5 IN (1, 2, 3))
+        p AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS a, 'P' || lpad(CAST(p_partkey - p_partkey % 5 AS VARCHAR), 10, '0') AS b FROM part)
         SELECT a, b, CASE WHEN len(x.t) > 0 AND len(y.t) > 0 THEN round(100.0::DOUBLE * len(list_intersect(x.t, y.t)) / greatest(len(x.t), len(y.t)), 2) ELSE 0.0 END AS percent
         FROM p LEFT JOIN t x ON x.owner = a LEFT JOIN t y ON y.owner = b"""),
-    "overlap_two_plots": sql(_SCORED_VIEWS, f"{_SCORED} SELECT 'P0000000011' AS a, 'P0000000012' AS b, iou, containment FROM scored WHERE a = 'P0000000012' AND b = 'P0000000011' UNION ALL SELECT 'P0000000011', 'P-none', 0.0, 0.0"),
+    "overlap_two_plots": sql(_SCORED_VIEWS, f"""{_SCORED}, two AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS a, 'P' || lpad(CAST(p_partkey + 1 AS VARCHAR), 10, '0') AS b FROM part)
+        SELECT two.a, two.b, coalesce(iou, 0.0::DOUBLE) AS iou, coalesce(containment, 0.0::DOUBLE) AS containment FROM two LEFT JOIN scored ON scored.a = two.b AND scored.b = two.a"""),
     "resolve_best": sql(_SCORED_VIEWS, f"{_SCORED} SELECT a, b, relation, score FROM passed QUALIFY row_number() OVER (PARTITION BY a ORDER BY relation <> 'same_as', score DESC, b) = 1"),
     "resolve_earliest": sql(_SCORED_VIEWS, f"{_SCORED} SELECT a, b, relation, score FROM passed QUALIFY row_number() OVER (PARTITION BY a ORDER BY relation <> 'same_as', b DESC) = 1"),
     "point_distance_join": sql("points", """p AS (SELECT geo_id, lat + 0.00002 AS lat, lng FROM points),
