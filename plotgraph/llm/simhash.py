@@ -235,9 +235,15 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     # The first of each fingerprint, then of each component.
     each = fps.groupBy("fp", F.col("doc_id").isNull().alias("_null")).agg(F.min(F.struct("doc_id", "_text")).alias("k"))
     first = each.join(rooted.select("fp", "root"), "fp").groupBy("root", "_null").agg(F.min("k").alias("k"))
-    first = cut(first.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_own")))
+    first = first.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_own"))
+    again = cut(fps.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_own")).agg(F.count("*").alias("_n")).filter("_n > 1"))
     rest, back = set_aside(docs)
     rest = rest.withColumns({"_own": own, "_id": F.col("doc_id").cast("long")})
-    counts = fps.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_own")).agg(F.count("*").alias("_n")).filter("_n > 1")
-    kept = spread_join(rest, first, ["_id", "_own"], counts)
-    return kept.dropDuplicates(["_id", "_own"]).select(*back)
+    if not again.head(1):
+        return spread_join(rest, first, ["_id", "_own"], again).select(*back)
+    # Only rows that are repeated, if there are any, are grouped once more.
+    repeated = again.select(F.col("_id").alias("_i"), F.col("_own").alias("_o"), F.lit(True).alias("_again"))
+    first = cut(first.join(repeated, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_own") == F.col("_o")), "left").select("_id", "_own", F.coalesce("_again", F.lit(False)).alias("_again")))
+    once = spread_join(rest, first.filter("not _again"), ["_id", "_own"], again)
+    several = spread_join(rest, first.filter("_again"), ["_id", "_own"], again).dropDuplicates(["_id", "_own"])
+    return once.unionByName(several).select(*back)
