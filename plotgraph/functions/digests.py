@@ -36,6 +36,11 @@ def leaves(members: Column) -> Column:
     return F.transform(canonical_members(members), lambda m: sha256_raw(m.cast("binary")))
 
 
+def fold(nodes: Column) -> Column:
+    """The node above up to 1,024 nodes of one level, ten levels up; a level that is left over changes nothing."""
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), F.lit(10)), nodes, lambda level, _: F.when(F.size(level) > 1, _up(level)).otherwise(level)), 1)
+
+
 def merkle_root(members: Column) -> Column:
     """Hex root over the distinct, sorted members; null for none."""
     root = F.aggregate(_heights(canonical_members(members)), leaves(members), lambda nodes, _: _up(nodes))
@@ -59,6 +64,23 @@ def inclusion_proof(members: Column, member: Column) -> Column:
     return F.when(index >= 0, F.filter(steps, lambda s: s.isNotNull()))
 
 
+def inclusion_proofs(members: Column) -> Column:
+    """``[{member, proof}]`` of all distinct members; the tree is hashed once."""
+    ordered = canonical_members(members)
+    levels = F.aggregate(_heights(ordered), F.array(leaves(members)), lambda done, _: F.concat(done, F.array(_up(F.element_at(done, -1)))))
+
+    def proof(tree: Column, index: Column) -> Column:
+        def step(nodes: Column, k: Column) -> Column:
+            at = F.call_function("shiftright", index, k)
+            other = at.bitwiseXOR(1)
+            position = F.when(other < at, "left").otherwise("right")
+            return F.when((other < F.size(nodes)) & (k < F.size(tree) - 1), F.struct(F.lower(F.hex(F.element_at(nodes, other + 1))).alias("sibling"), position.alias("position")))
+
+        return F.array_compact(F.transform(tree, step))
+
+    return F.element_at(F.transform(F.array(levels), lambda tree: F.transform(ordered, lambda m, i: F.struct(m.alias("member"), proof(tree, i).alias("proof")))), 1)
+
+
 def verify_inclusion(member: Column, proof: Column, root: Column) -> Column:
     """Whether the proof leads from the member to the root; an unknown position fails."""
 

@@ -15,46 +15,63 @@ def reason_of(error: Column) -> Column:
     return F.substring(F.trim(F.substring_index(error, ":", 1)), 1, 60)
 
 
-def import_fields(fields: DataFrame, aliases: DataFrame, links: DataFrame, known_hashes: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
+def import_fields(fields: DataFrame, aliases: DataFrame, links: DataFrame, known_hashes: DataFrame | None = None, dry_run: bool = False, registered: DataFrame | None = None) -> DataFrame:
     """``v1_geo_id, outcome, target, parent``: what becomes of every field of an import.
 
     In a ``dry_run`` no field is registered, so none meets an earlier one of the
-    same run: all that aren't known yet are ``new``.
+    same run: what no earlier run registered is ``new``.
 
-    ``fields(v1_geo_id, position, error, content_hash, geo_id, kind)``;
+    ``fields(v1_geo_id, position, error, content_hash, geo_id)``;
     ``aliases(v1_geo_id, geo_id)`` is what earlier runs wrote; ``links(a, b,
-    relation, score)`` are verdicts between fields.  In order:
+    relation, score)`` are verdicts between fields, ``registered(a, geo_id,
+    relation, score)`` those between fields and plots of earlier runs, whose
+    hashes are ``known_hashes(content_hash, geo_id)``.  In order:
 
     * ``skipped_already_done``: aliased before, so a second run changes nothing
     * ``quarantined:<reason>``: no geometry, or one that can't be used
-    * ``same_as``: equal content hash (an earlier row's too), or the same plot
+    * ``same_as``: the content hash of a plot or of an earlier row, whose target it takes, or the same plot by its cover
     * ``new``, with ``parent`` if nested in an earlier plot
+
+    A field that an earlier run registered under its own plot is a plot that
+    later fields meet.  Hashes that are null equal nothing.
     """
     done = aliases.select("v1_geo_id", F.col("geo_id").alias("done")).dropDuplicates(["v1_geo_id"])
     rows = fields.join(done, "v1_geo_id", "left")
     open_rows = rows.filter("done is null and error is null")
-    first = F.first("geo_id").over(Window.partitionBy("content_hash").orderBy("position", "v1_geo_id"))
-    rank = F.row_number().over(Window.partitionBy("content_hash").orderBy("position", "v1_geo_id"))
-    open_rows = open_rows.withColumn("first", first).withColumn("rank", F.lit(1) if dry_run else rank)
-    links = links.limit(0) if dry_run else links
+    # A row without a hash is a group of its own.
+    same_hash = Window.partitionBy(F.coalesce("content_hash", F.concat(F.lit("none:"), F.col("v1_geo_id")))).orderBy("position", "v1_geo_id")
+    lead = F.first("v1_geo_id").over(same_hash)
+    open_rows = open_rows.withColumn("lead", F.col("v1_geo_id") if dry_run else lead)
+    plots = rows.filter("done = geo_id and content_hash is not null").select("content_hash", "geo_id")
     if known_hashes is not None:
-        open_rows = open_rows.join(known_hashes.select("content_hash", F.col("geo_id").alias("registered")), "content_hash", "left")
-    else:
-        open_rows = open_rows.withColumn("registered", F.lit(None).cast("string"))
-    again = open_rows.filter("registered is not null or rank > 1").select("v1_geo_id", F.coalesce("registered", "first").alias("target"))
-    fresh = open_rows.filter("registered is null and rank = 1")
-    ids = fresh.select(F.col("v1_geo_id").alias("id"), F.col("position").alias("at"))
-    mine = links.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
-    decided = resolve_batch(ids, mine)
-    geo = fresh.select(F.col("v1_geo_id").alias("t"), F.col("geo_id").alias("target_id"))
-    decided = decided.join(geo, F.col("target") == F.col("t"), "left").join(fresh.select(F.col("v1_geo_id").alias("id"), "geo_id"), "id")
+        plots = plots.unionByName(known_hashes.filter("content_hash is not null").select("content_hash", "geo_id"))
+    open_rows = open_rows.join(plots.groupBy("content_hash").agg(F.min("geo_id").alias("held")), "content_hash", "left")
+    fresh = open_rows.filter("held is null and v1_geo_id = lead")
+    field, plot = lambda c: F.concat(F.lit("field:"), F.col(c)), lambda c: F.concat(F.lit("plot:"), F.col(c))
+    # The fields of earlier runs are known by their plots.
+    nodes = fresh.select("v1_geo_id", field("v1_geo_id").alias("node")).unionByName(rows.filter("done = geo_id").select("v1_geo_id", plot("done").alias("node")))
+    ends = lambda x: nodes.select(F.col("v1_geo_id").alias(x), F.col("node").alias(f"node_{x}"))
+    linked = links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "relation", "score")
+    if dry_run:
+        linked = linked.filter("a like 'plot:%' or b like 'plot:%'")
+    if registered is not None:
+        linked = linked.unionByName(registered.select(field("a").alias("a"), plot("geo_id").alias("b"), "relation", "score"))
+    linked = cut(linked)
+    ids = fresh.select(field("v1_geo_id").alias("id"), F.col("position").alias("at"), F.col("geo_id").alias("name"), F.lit(False).alias("registered"))
+    held = linked.select(F.explode(F.array("a", "b")).alias("id")).filter("id like 'plot:%'").distinct().select("id", F.lit(None).cast("long").alias("at"), F.expr("substr(id, 6)").alias("name"), F.lit(True).alias("registered"))
+    decided = resolve_batch(ids.unionByName(held), linked)
+    names = ids.unionByName(held).select(F.col("id").alias("target"), F.col("name").alias("target_id"))
+    decided = decided.join(names, "target", "left").join(fresh.select(field("v1_geo_id").alias("id"), "v1_geo_id", "geo_id"), "id")
     same = F.col("outcome") == "same_as"
     none = F.lit(None).cast("string")
+    decided = cut(decided.select("v1_geo_id", F.when(same, "same_as").otherwise("new").alias("outcome"), F.when(same, F.col("target_id")).otherwise(F.col("geo_id")).alias("target"), F.when(F.col("outcome") == "child_of", F.col("target_id")).alias("parent")))
+    again = open_rows.filter("held is not null or v1_geo_id <> lead").select("v1_geo_id", "lead", "held")
+    again = again.join(decided.select(F.col("v1_geo_id").alias("lead"), F.col("target").alias("led")), "lead", "left")
     parts = [
         rows.filter("done is not null").select("v1_geo_id", F.lit("skipped_already_done").alias("outcome"), F.col("done").alias("target"), none.alias("parent")),
         rows.filter("done is null and error is not null").select("v1_geo_id", F.concat(F.lit("quarantined:"), reason_of(F.col("error"))).alias("outcome"), none.alias("target"), none.alias("parent")),
-        again.select("v1_geo_id", F.lit("same_as").alias("outcome"), "target", none.alias("parent")),
-        decided.select(F.col("id").alias("v1_geo_id"), F.when(same, "same_as").otherwise("new").alias("outcome"), F.when(same, F.col("target_id")).otherwise(F.col("geo_id")).alias("target"), F.when(F.col("outcome") == "child_of", F.col("target_id")).alias("parent")),
+        again.select("v1_geo_id", F.lit("same_as").alias("outcome"), F.coalesce("held", "led").alias("target"), none.alias("parent")),
+        decided,
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -81,10 +98,22 @@ def run(fields: DataFrame, aliases: DataFrame, links: DataFrame, path: str, know
 
 
 def alias_upsert(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """``v1_geo_id, geo_id, outcome`` of writing aliases: ``inserted``, ``unchanged``, or ``refused`` where another target is recorded."""
-    known = existing.select("v1_geo_id", F.col("geo_id").alias("recorded"))
-    outcome = F.when(F.col("recorded").isNull(), "inserted").when(F.col("recorded") == F.col("geo_id"), "unchanged").otherwise("refused")
-    return wanted.join(known, "v1_geo_id", "left").select("v1_geo_id", "geo_id", outcome.alias("outcome"))
+    """``v1_geo_id, geo_id, outcome`` of writing aliases: ``inserted``, ``unchanged``, or ``refused`` where another target is recorded.
+
+    What one batch wants is decided in its order: the first row by ``position``
+    (a column that may be there), then ``geo_id``, records the target; rows that
+    repeat it are ``unchanged``, rows with another one ``refused``.  Null ids
+    are ``refused``.
+    """
+    at = F.col("position") if "position" in wanted.columns else F.lit(0)
+    first = wanted.filter("v1_geo_id is not null and geo_id is not null").groupBy("v1_geo_id").agg(F.min(F.struct(at.alias("at"), "geo_id")).alias("first"))
+    known = existing.filter("v1_geo_id is not null").groupBy("v1_geo_id").agg(F.min("geo_id").alias("recorded"))
+    held = first.join(known, "v1_geo_id", "left")
+    # One row of those that bring the target is the one that is written.
+    rows = wanted.withColumn("_row", F.row_number().over(Window.partitionBy("v1_geo_id", "geo_id").orderBy(at)))
+    target = F.coalesce("recorded", "first.geo_id")
+    outcome = F.when(F.col("geo_id") != target, "refused").when(F.col("recorded").isNotNull() | (F.col("_row") > 1), "unchanged").otherwise("inserted")
+    return rows.join(held, "v1_geo_id", "left").select("v1_geo_id", "geo_id", F.when(F.col("first").isNull() | F.col("geo_id").isNull(), "refused").otherwise(outcome).alias("outcome"))
 
 
 def parent_edges(edges: DataFrame, existing: DataFrame) -> DataFrame:

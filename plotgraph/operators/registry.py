@@ -88,14 +88,15 @@ def full_view(plots: DataFrame, requested: list[int] | None = None, accounts: bo
     Tier ``L1`` needs a grant, or an account where the legacy switch
     ``accounts`` is on; all others are ``L0`` and get neither column.
     ``levels`` are the ``requested`` ones without the WKT; null if no known
-    level is asked for.  Geometry that can't be parsed is null.
+    level is asked for.  Geometry is of the kind that the WKT names (points,
+    lines, polygons and several polygons); what can't be parsed is null.
     """
     no = F.lit(False)
     may = F.coalesce("granted", no) | (F.coalesce("account", no) & F.lit(accounts))
     shape = geometry.from_wkt(F.col("wkt"))
-    single = F.to_json(F.struct(F.lit("Polygon").alias("type"), shape[0].alias("coordinates")))
-    several = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), shape.alias("coordinates")))
-    exact = F.when(F.size(shape) == 1, single).when(F.size(shape) > 1, several)
+    kind = geometry.wkt_kind(F.col("wkt"))
+    as_json = lambda name, coordinates: F.when(kind == name.upper(), F.to_json(F.struct(F.lit(name).alias("type"), coordinates.alias("coordinates"))))
+    exact = F.when(F.size(shape) > 0, F.coalesce(as_json("Point", shape[0][0][0]), as_json("LineString", shape[0][0]), as_json("Polygon", shape[0]), as_json("MultiPolygon", shape)))
     asked = bool(set(LEVELS) & set(requested or []))
     levels = F.when(may, project_levels(F.col("levels"), requested or [])) if asked else F.lit(None)
     return plots.select("geo_id", F.when(may, "L1").otherwise("L0").alias("tier"), F.when(may, exact).alias("geo_json"), levels.cast("map<string,string>").alias("levels"))

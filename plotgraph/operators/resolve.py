@@ -82,18 +82,25 @@ def resolve_batch(plots: DataFrame, links: DataFrame) -> DataFrame:
     Each round decides every plot whose earlier neighbours are decided, so the
     rounds are bounded by the longest chain of neighbours, not by the plots.
     An alias goes to its canonical neighbour of highest score (ties: smallest
-    id).  A canonical plot may be nested in an earlier canonical one.
+    ``name``, a column of ``plots`` that may be there, then id).  A canonical
+    plot may be nested in an earlier canonical one.  Plots whose column
+    ``registered`` is true were decided before: they are canonical, stay as
+    they are, and are not among the rows.
 
     Returns ``id, outcome, target, score``.
     """
-    order = plots.select("id", "at")
+    name = F.col("name") if "name" in plots.columns else F.lit(None).cast("string")
+    before = F.coalesce("registered", F.lit(False)) if "registered" in plots.columns else F.lit(False)
+    every = plots.select("id", "at", name.alias("name"), before.alias("registered"))
+    order = every.filter("not registered").select("id", "at")
     both = links.select("a", "b", "relation", "score").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "relation", "score")).distinct()
-    placed = both.join(order.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(order.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
-    earlier = cut(placed.filter("at_b < at_a or (at_b = at_a and b < a)").select("a", "b", "relation", "score"))
+    placed = both.join(order.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(every.select(F.col("id").alias("b"), F.col("at").alias("at_b"), "name", "registered"), "b")
+    earlier = cut(placed.filter("registered or at_b < at_a or (at_b = at_a and b < a)").select("a", "b", "relation", "score", "name", "registered"))
     same = earlier.filter("relation = 'same_as'").select("a", "b")
     state = cut(order.select("id").join(same.select(F.col("a").alias("id")).distinct(), "id", "left_semi").withColumn("canonical", F.lit(None).cast("boolean")))
     free = order.select("id").join(same.select(F.col("a").alias("id")).distinct(), "id", "left_anti").withColumn("canonical", F.lit(True))
-    state = cut(free.unionByName(state))
+    held = earlier.filter("registered").select(F.col("b").alias("id"), F.lit(True).alias("canonical")).distinct()
+    state = cut(free.unionByName(state).unionByName(held))
     while not state.filter("canonical is null").isEmpty():
         seen = same.join(state.select(F.col("id").alias("b"), "canonical"), "b").groupBy("a").agg(F.max(F.coalesce("canonical", F.lit(False))).alias("hit"), F.count(F.when(F.col("canonical").isNull(), 1)).alias("open"))
         now = state.join(seen.withColumnRenamed("a", "id"), "id", "left")
@@ -101,6 +108,6 @@ def resolve_batch(plots: DataFrame, links: DataFrame) -> DataFrame:
         state = cut(now.select("id", decided.alias("canonical")))
     mine = earlier.join(state.select(F.col("id").alias("a"), F.col("canonical").alias("mine")), "a").join(state.filter("canonical").select(F.col("id").alias("b")), "b")
     fits = mine.filter("relation = if(mine, 'child_of', 'same_as')")
-    top = best(fits.select("a", "b", "relation", "score"))
-    out = state.join(top.withColumnRenamed("a", "id"), "id", "left")
-    return out.select("id", F.coalesce("relation", F.lit("new")).alias("outcome"), F.col("b").alias("target"), "score")
+    top = best(fits.select("a", F.struct("name", "b").alias("b"), "relation", "score"))
+    out = state.join(order.select("id"), "id").join(top.withColumnRenamed("a", "id"), "id", "left")
+    return out.select("id", F.coalesce("relation", F.lit("new")).alias("outcome"), F.col("b.b").alias("target"), "score")

@@ -27,12 +27,16 @@ def full_view(spark: SparkSession, d: str) -> DataFrame:
     x, y = (k % 100).cast("double"), (k % 50).cast("double")
     pairs = ((x, y), (x + 0.5, y), (x + 0.5, y + 0.5), (x, y))
     ring = F.concat_ws(", ", *[F.concat_ws(" ", a.cast("string"), b.cast("string")) for a, b in pairs])
-    wkt = F.when(k % 4 == 0, F.concat(F.lit("MULTIPOLYGON((("), ring, F.lit(")), (("), ring, F.lit(")))"))).otherwise(F.concat(F.lit("POLYGON(("), ring, F.lit("))")))
+    wkt = F.when(k % 4 == 0, F.concat(F.lit("MULTIPOLYGON((("), ring, F.lit(")), (("), ring, F.lit(")))"))).when(k % 4 == 1, F.concat(F.lit("POLYGON(("), ring, F.lit("))")))
+    wkt = wkt.when(k % 4 == 2, F.concat(F.lit("LINESTRING("), ring, F.lit(")"))).otherwise(F.concat(F.lit("POINT ("), F.concat_ws(" ", (x + 0.5).cast("string"), (y + 0.5).cast("string")), F.lit(")")))
     levels = F.create_map(F.lit("8"), F.lit("a"), F.lit("13"), k.cast("string"), F.lit("wkt"), wkt, F.lit("regime"), F.lit("v2"))
     plots = read(spark, d, "part").select(named("P", k).alias("geo_id"), wkt.alias("wkt"), levels.alias("levels"), F.when(k % 5 != 4, k % 5 < 2).alias("granted"), (k % 3 == 0).alias("account"))
     seen = registry.full_view(plots, [13, 20], accounts=True)
-    ring = F.from_json(F.when(F.get_json_object("geo_json", "$.type") == "Polygon", F.get_json_object("geo_json", "$.coordinates[0]")).otherwise(F.get_json_object("geo_json", "$.coordinates[0][0]")), "array<array<double>>")
-    return seen.select("geo_id", "tier", F.get_json_object("geo_json", "$.type").alias("kind"), ring[2][0].alias("lng"), ring[2][1].alias("lat"), F.array_join(F.array_sort(F.map_keys("levels")), ",").alias("keys"), F.col("levels")["13"].alias("l13"))
+    kind = F.get_json_object("geo_json", "$.type")
+    # The third corner, or the point itself.
+    third = F.when(kind == "Polygon", F.get_json_object("geo_json", "$.coordinates[0][2]")).when(kind == "MultiPolygon", F.get_json_object("geo_json", "$.coordinates[0][0][2]")).when(kind == "LineString", F.get_json_object("geo_json", "$.coordinates[2]")).otherwise(F.get_json_object("geo_json", "$.coordinates"))
+    at = F.from_json(third, "array<double>")
+    return seen.select("geo_id", "tier", kind.alias("kind"), at[0].alias("lng"), at[1].alias("lat"), F.array_join(F.array_sort(F.map_keys("levels")), ",").alias("keys"), F.col("levels")["13"].alias("l13"))
 
 
 def boundary_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +98,7 @@ ORACLE_SQL = {
             event_id % 6 = 5 OR event_id % 2 = 0 AS hidden FROM events)
         SELECT k AS id, CASE WHEN internal OR good THEN 200 WHEN shown AND NOT hidden THEN 401 WHEN granted THEN 200 WHEN hidden THEN 404 ELSE 403 END AS status, good AND NOT internal AS used_authority FROM r""",
     "full_view": f"""WITH r AS (SELECT p_partkey AS k, {_P} AS geo_id, p_partkey % 5 < 2 OR p_partkey % 3 = 0 AS may FROM part)
-        SELECT geo_id, CASE WHEN may THEN 'L1' ELSE 'L0' END AS tier, CASE WHEN may THEN CASE WHEN k % 4 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END END AS kind,
+        SELECT geo_id, CASE WHEN may THEN 'L1' ELSE 'L0' END AS tier, CASE WHEN may THEN CASE k % 4 WHEN 0 THEN 'MultiPolygon' WHEN 1 THEN 'Polygon' WHEN 2 THEN 'LineString' ELSE 'Point' END END AS kind,
             CASE WHEN may THEN k % 100 + 0.5::DOUBLE END AS lng, CASE WHEN may THEN k % 50 + 0.5::DOUBLE END AS lat, CASE WHEN may THEN '13,regime' END AS keys, CASE WHEN may THEN CAST(k AS VARCHAR) END AS l13 FROM r""",
     "boundary_filter": f"SELECT 'any' AS asked, {_C} AS geo_id FROM customer UNION ALL SELECT 'manual', {_C} FROM customer WHERE c_custkey % 3 = 0",
     "token_flattening": f"SELECT {_P} AS geo_id, CASE WHEN p_partkey % 3 = 2 THEN 'a' || p_partkey || ',b' || p_partkey || ',c' ELSE 'a' || p_partkey || ',b' || p_partkey END AS tokens FROM part",
