@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables in between: what ``spark.checkpoint.dir`` names, or what was set with ``setCheckpointDir``.
 
     Only on one machine, where the session names none, a temporary folder is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        named = spark.conf.get("spark.checkpoint.dir", "")
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` reliably, see ``shared_folder``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import credentials, ingest, inventory, resolve
-from .cell_queries import _scored
-from .lenses import named, read
+from ..functions.lineage import shared_folder
+from ..operators import credentials, ingest, inventory, resolve, standing
+from . import lenses
+from .cell_queries import _SCORED, _SCORED_VIEWS, _scored
+from .lenses import named, read, sql
 
 
 def fields(spark: SparkSession, d: str) -> DataFrame:
@@ -37,9 +40,9 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
-    """Every customer claims the parts of its orders whose key divides by three; some claim a field that isn't there."""
+    """Every line claims, for its customer, the field that begins its part's group of three (so fields inside groups are unclaimed); some customers claim a field that isn't there."""
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
-    pairs = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).filter("l_partkey % 3 = 0").select(F.col("o_custkey").alias("c"), F.col("l_partkey").alias("k")).distinct()
+    pairs = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), (F.col("l_partkey") - F.col("l_partkey") % 3).alias("k")).distinct()
     f = fields(spark, d).select("k", "v1_geo_id")
     known = pairs.join(f, "k").select("c", "k", "v1_geo_id")
     stray = read(spark, d, "customer").filter("c_custkey % 37 = 0").select(F.col("c_custkey").alias("c"), F.lit(1 << 40).cast("long").alias("k"), F.concat(F.lit("orphan-"), F.col("c_custkey").cast("string")).alias("v1_geo_id"))
@@ -91,17 +94,17 @@ def sample_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_strata(spark: SparkSession, d: str) -> DataFrame:
-    return inventory.strata(fields(spark, d), claims(spark, d), 50)
+    return inventory.strata(fields(spark, d), claims(spark, d))
 
 
 def sample_budget(spark: SparkSession, d: str) -> DataFrame:
-    """The sample's figures under a tight budget, with what each stratum took."""
-    taken, figures = inventory.budgeted_sample(fields(spark, d), claims(spark, d), 300, 50)
+    """The sample's figures, with what each stratum took."""
+    taken, figures = inventory.budgeted_sample(fields(spark, d), claims(spark, d))
     return taken.groupBy("stratum").agg(F.count("*").alias("taken")).crossJoin(figures)  # figures: one row
 
 
 def sample_profiles(spark: SparkSession, d: str) -> DataFrame:
-    taken, _ = inventory.budgeted_sample(fields(spark, d), claims(spark, d), 300, 50)
+    taken, _ = inventory.budgeted_sample(fields(spark, d), claims(spark, d))
     return inventory.sampled_profiles(profiles(spark, d), claims(spark, d), fields(spark, d), taken)
 
 
@@ -159,9 +162,33 @@ def import_rerun(spark: SparkSession, d: str) -> DataFrame:
     return ingest.report(ingest.import_fields(rows, written, none)).select("outcome", "fields")
 
 
+def resumable_fields(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as fields with their covers; fields of one cover have one hash, some hashes are missing, some fields are broken."""
+    k = F.col("p_partkey")
+    error = F.when(k % 19 == 0, "no_geometry").when(k % 23 == 0, "unusable: polygon is empty: 12")
+    form = F.when(k % 5 == 4, "inner").otherwise((F.col("p_size") % 4).cast("string"))
+    digest = F.when(k % 7 != 3, F.sha2(F.concat_ws("/", (k - k % 5).cast("string"), form), 256))
+    geo = lambda c: F.concat(F.lit("v2-"), c)
+    rows = read(spark, d, "part").select(named("P", k).alias("v1_geo_id"), k.alias("position"), error.alias("error"), digest.alias("content_hash"), geo(named("P", k)).alias("geo_id"))
+    return rows, lenses.covers(spark, d).select(geo(F.col("owner")).alias("geo_id"), "cell")
+
+
+def import_resume(spark: SparkSession, d: str) -> DataFrame:
+    """An import into an empty registry that breaks off in the middle and is resumed: every field's outcome is that of an uninterrupted one."""
+    rows, covers = resumable_fields(spark, d)
+    half = rows.agg(F.floor(F.max("position") / 2)).first()[0] or 0
+    held = standing.registry(spark, f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}")
+    standing.import_batch(held, "first", rows.filter(F.col("position") <= half), covers)
+    standing.import_batch(held, "second", rows, covers)
+    # The broken fields of the first half are refused twice.
+    return held.read("outcomes").filter("outcome <> 'skipped_already_done'").select("v1_geo_id", "outcome", "target", "parent").distinct()
+
+
 def alias_upsert(spark: SparkSession, d: str) -> DataFrame:
     existing, _ = _aliases(spark, d)
-    wanted = fields(spark, d).select("v1_geo_id", F.when(F.col("k") % 7 == 0, "elsewhere").otherwise(F.concat(F.lit("v2-"), F.col("k").cast("string"))).alias("geo_id"))
+    wanted = fields(spark, d).select("v1_geo_id", F.when(F.col("k") % 7 == 0, "elsewhere").otherwise(F.concat(F.lit("v2-"), F.col("k").cast("string"))).alias("geo_id"), F.col("k").alias("position"))
+    # Every fifth field is wanted under a second target in the same batch.
+    wanted = wanted.unionByName(wanted.filter("position % 5 = 0").select("v1_geo_id", F.lit("second").alias("geo_id"), (F.col("position") + 1).alias("position")))
     return ingest.alias_upsert(wanted, existing).groupBy("outcome").agg(F.count("*").alias("aliases"))
 
 
@@ -246,7 +273,7 @@ def tier_disclosure(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     id_kinds, kind_counts, area_bands, inventory_fields, inventory_profiles, inventory_join_health, orphan_refs, unclaimed_fields, multi_owner, sample_clusters, sample_strata, sample_budget,
-    sample_profiles, account_constraints, assoc_join_report, fieldlist_roots, import_outcomes, import_decision, import_rerun, alias_upsert, uniqueness_checks, quarantine_reasons, legacy_json_decode,
+    sample_profiles, account_constraints, assoc_join_report, fieldlist_roots, import_outcomes, import_decision, import_rerun, import_resume, alias_upsert, uniqueness_checks, quarantine_reasons, legacy_json_decode,
     grant_checks, authority_checks, status_bits, forward_gates, tier_disclosure,
 )}
 
@@ -257,7 +284,7 @@ _FIELDS = """f AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 1 THEN substr(
 _PROFILES = """t AS (SELECT 'T' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS source_key, c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'shared@example.com' ELSE 'u' || c_custkey || '@example.com' END AS email,
     CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '+1' || (c_custkey - c_custkey % 3) END AS phone FROM customer)"""
 _CLAIMS = """cl AS (SELECT 'T' || lpad(CAST(c AS VARCHAR), 10, '0') AS source_key, c, row_number() OVER (PARTITION BY c ORDER BY k) - 1 AS item, v1_geo_id, known FROM (
-    SELECT DISTINCT o_custkey AS c, l_partkey AS k, v1_geo_id, true AS known FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN f ON f.k = l_partkey WHERE l_partkey % 3 = 0
+    SELECT DISTINCT o_custkey AS c, l_partkey - l_partkey % 3 AS k, v1_geo_id, true AS known FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN f ON f.k = l_partkey - l_partkey % 3
     UNION ALL SELECT c_custkey, 1::BIGINT << 40, 'orphan-' || c_custkey, false FROM customer WHERE c_custkey % 37 = 0))"""
 _BAND = "CASE WHEN area IS NULL THEN 'unknown' WHEN area <= 0 THEN 'zero' WHEN area < 1 THEN '<1' WHEN area < 5 THEN '1-5' WHEN area < 50 THEN '5-50' WHEN area < 500 THEN '50-500' ELSE '>500' END"
 _BASE = f"WITH RECURSIVE {_FIELDS}, {_PROFILES}, {_CLAIMS}"
@@ -271,13 +298,30 @@ _STRATA = f"""{_CLUSTERS}, every_one AS (
         UNION ALL SELECT 'zero_or_missing_area', v1_geo_id, k, 0 FROM f WHERE area IS NULL OR area <= 0
         UNION ALL SELECT 'profile_with_orphan_ref', v1_geo_id, c, item FROM cl WHERE known AND c IN (SELECT c FROM cl WHERE NOT known)
         UNION ALL SELECT 'unclaimed_field', v1_geo_id, k, 0 FROM f WHERE v1_geo_id NOT IN (SELECT v1_geo_id FROM cl)
-        UNION ALL SELECT 'profile_with_many_fields', v1_geo_id, c, item FROM cl WHERE known AND item < 50 AND c IN (SELECT c FROM cl GROUP BY c HAVING count(*) >= 10)
+        UNION ALL SELECT 'profile_with_many_fields', v1_geo_id, c, item FROM cl WHERE known AND item < 200 AND c IN (SELECT c FROM cl GROUP BY c HAVING count(*) >= 10)
         UNION ALL SELECT 'area_' || {_BAND}, v1_geo_id, k, 0 FROM f),
     once AS (SELECT stratum, v1_geo_id, min((x, y)) AS spot FROM every_one GROUP BY 1, 2),
-    placed AS (SELECT stratum, v1_geo_id, CAST(row_number() OVER (PARTITION BY stratum ORDER BY spot, v1_geo_id) AS INTEGER) AS place FROM once QUALIFY place <= 50)"""
+    placed AS (SELECT stratum, v1_geo_id, CAST(row_number() OVER (PARTITION BY stratum ORDER BY spot, v1_geo_id) AS INTEGER) AS place FROM once QUALIFY place <= 200)"""
 _ALIASES = "al AS (SELECT v1_geo_id, 'v2-' || k AS geo_id FROM f WHERE k % 6 <> 0), pl AS (SELECT 'v2-' || k AS geo_id FROM f WHERE k % 9 <> 0), assoc AS (SELECT source_key, v1_geo_id, al.geo_id, CASE WHEN al.geo_id IS NULL THEN 'v1_not_in_alias_table' WHEN pl.geo_id IS NULL THEN 'alias_points_at_missing_geoid' ELSE 'mapped' END AS status FROM cl LEFT JOIN al USING (v1_geo_id) LEFT JOIN pl ON pl.geo_id = al.geo_id)"
 from .graph_queries import TREES  # noqa: E402
 
+
+
+def _resume_sql() -> str:
+    """The uninterrupted import, place by place: all links are inside groups of five fields, so five steps decide all."""
+    text = """f AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS id, p_partkey - p_partkey % 5 AS g, p_partkey % 5 AS j, CASE WHEN p_partkey % 19 = 0 THEN 'no_geometry' WHEN p_partkey % 23 = 0 THEN 'unusable' END AS error,
+            CASE WHEN p_partkey % 7 <> 3 THEN sha256((p_partkey - p_partkey % 5) || '/' || CASE WHEN p_partkey % 5 = 4 THEN 'inner' ELSE CAST(p_size % 4 AS VARCHAR) END) END AS h FROM part),
+        done0 AS (SELECT id, g, h, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS parent FROM f WHERE false)"""
+    for j in range(5):
+        text += f""", hash{j} AS (SELECT f.id, min(d.target) AS target FROM f JOIN done{j} d ON d.h = f.h AND d.target IS NOT NULL WHERE f.j = {j} GROUP BY f.id),
+        pick{j} AS (SELECT p.a AS id, p.relation, p.b FROM passed p JOIN f ON f.id = p.a AND f.j = {j} JOIN done{j} d ON d.id = p.b AND d.outcome = 'new' QUALIFY row_number() OVER (PARTITION BY p.a ORDER BY p.relation <> 'same_as', p.score DESC, p.b) = 1),
+        done{j + 1} AS (SELECT * FROM done{j} UNION ALL SELECT f.id, f.g, f.h, CASE WHEN error IS NOT NULL THEN 'quarantined:' || error WHEN s.target IS NOT NULL OR p.relation = 'same_as' THEN 'same_as' ELSE 'new' END,
+            CASE WHEN error IS NOT NULL THEN NULL WHEN s.target IS NOT NULL THEN s.target WHEN p.relation = 'same_as' THEN 'v2-' || p.b ELSE 'v2-' || f.id END,
+            CASE WHEN error IS NULL AND s.target IS NULL AND p.relation = 'child_of' THEN 'v2-' || p.b END
+            FROM f LEFT JOIN hash{j} s USING (id) LEFT JOIN pick{j} p USING (id) WHERE f.j = {j})"""
+    return sql(_SCORED_VIEWS, f"{_SCORED}, {text} SELECT id AS v1_geo_id, outcome, target, parent FROM done5")
+
+
 _SPARK_BITS = "((i // 8 * 37 + n) % 256 >> (i % 8)) & 1"
 
 ORACLE_SQL = {
@@ -299,7 +343,8 @@ ORACLE_SQL = {
     "fieldlist_roots": f"{_BASE}, {_ALIASES}, n0 AS (SELECT lot, m, list_transform(m, lambda x: sha256(x)) AS n FROM (SELECT source_key AS lot, list_sort(list(DISTINCT geo_id)) AS m FROM assoc WHERE status = 'mapped' GROUP BY 1)), {TREES} SELECT lot AS source_key, n[1] AS list_id, CAST(len(m) AS BIGINT) AS n_plots FROM tree WHERE len(n) = 1",
     "import_decision": f"""{_BASE}, {_ALIASES} SELECT (SELECT count(*) FROM part WHERE p_partkey % 10 = 7 OR (p_partkey % 19 <> 0 AND p_partkey % 23 <> 0)) AS fine,
         (SELECT count(*) FROM part WHERE p_partkey % 10 <> 7 AND (p_partkey % 19 = 0 OR p_partkey % 23 = 0)) AS quarantined, (SELECT count(*) FROM assoc WHERE status <> 'mapped') AS failed, 1 AS code""",
-    "alias_upsert": f"{_BASE} SELECT CASE WHEN k % 6 = 0 THEN 'inserted' WHEN k % 7 = 0 THEN 'refused' ELSE 'unchanged' END AS outcome, count(*) AS aliases FROM f GROUP BY 1",
+    "alias_upsert": f"{_BASE} SELECT outcome, count(*) AS aliases FROM (SELECT CASE WHEN k % 6 = 0 THEN 'inserted' WHEN k % 7 = 0 THEN 'refused' ELSE 'unchanged' END AS outcome FROM f UNION ALL SELECT 'refused' FROM f WHERE k % 5 = 0) GROUP BY 1",
+    "import_resume": _resume_sql(),
     "uniqueness_checks": "SELECT p_partkey AS row, CASE WHEN p_partkey % 10 = 3 AND EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = part.p_partkey - 1) THEN 'geo_id' WHEN p_partkey % 10 = 5 AND EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = part.p_partkey - 1) THEN 'geo_id_short' WHEN EXISTS (SELECT 1 FROM part b WHERE b.p_partkey < part.p_partkey AND b.p_partkey // 10 = part.p_partkey // 10) THEN 'content_hash' END AS violation FROM part",
     "quarantine_reasons": "SELECT trim(substr(CASE p_partkey % 3 WHEN 0 THEN 'bad ring' WHEN 1 THEN rtrim(repeat('long ', 20)) ELSE 'zero area' END, 1, 60), '') AS reason, count(*) AS fields FROM part GROUP BY 1",
     "legacy_json_decode": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, geometry
-from ..operators import analytics, cover, registry
+from ..operators import analytics, cover, registry, validity
 from . import lenses
 from .lenses import named, read, sql
 
@@ -162,10 +162,35 @@ def canonical_altered(spark: SparkSession, d: str) -> DataFrame:
     return s.select("geo_id", geometry.altered(off).alias("altered"))
 
 
+def _crossed(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as shapes whose rings cross: bow ties, boxes that overlap, boxes side by side, boxes with a spike, and plain boxes."""
+    s = read(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    x, y, side = (F.pmod(k * 7919, F.lit(1000)) / 1000.0), (F.pmod(k * 104729, F.lit(1000)) / 1000.0), (1 + k % 9) * 2 / 1000.0
+    at = lambda a, b: F.array(x + side * a, y + side * b)
+    ring = lambda *points: F.array(*[at(a, b) for a, b in (*points, points[0])])
+    box, one = lambda a, b: ring((a, b), (a + 1, b), (a + 1, b + 1), (a, b + 1)), lambda r: F.array(F.array(r))
+    shape = (
+        F.when(k % 5 == 0, one(ring((0, 0), (1, 1), (1, 0), (0, 1))))
+        .when(k % 5 == 1, F.array(F.array(box(0, 0)), F.array(box(0.5, 0.5))))
+        .when(k % 5 == 2, F.array(F.array(box(0, 0)), F.array(box(1, 0))))
+        .when(k % 5 == 3, one(ring((0, 0), (1, 0), (1, 1), (1, 2), (1, 1), (0, 1))))
+        .otherwise(one(box(0, 0)))
+    )
+    return s.select(named("S", k).alias("owner"), shape.alias("shape"))
+
+
+def crossing_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes made valid: whether they were repaired, their parts and area, and the content hash of bow ties."""
+    valid = validity.make_valid(_crossed(spark, d))
+    bow = F.expr("cast(substr(owner, 2) as long) % 5 = 0")
+    return valid.select("owner", "repaired", F.size("shape").alias("parts"), F.round(geometry.total_area(F.col("shape")), 9).alias("square_degrees"), F.when(bow, geometry.content_hash(F.array_sort("shape"))).alias("content_hash"))
+
+
 def polygon_covers(spark: SparkSession, d: str) -> DataFrame:
-    """Covers of the squares down to level 14, by number of cells and the share of leaves in cells of the finest level."""
+    """Covers of the squares by number of cells, leaves and first cell."""
     s = _squares(spark, d).withColumn("shape", geometry.from_wkt(F.col("wkt"))).filter(geometry.usable(F.col("wkt"), F.col("shape")).isNull())
-    covers = cover.polygon_cover(s.select(F.col("geo_id").alias("owner"), geometry.canonical(F.col("shape")).alias("shape")), 14)
+    covers = cover.polygon_cover(s.select(F.col("geo_id").alias("owner"), geometry.canonical(F.col("shape")).alias("shape")))
     return covers.groupBy("owner").agg(F.count("*").alias("n_cells"), F.sum(cells.leaf_count(F.col("cell"))).alias("leaves"), F.min(cells.id_to_token(F.col("cell"))).alias("first_cell"))
 
 
@@ -203,7 +228,7 @@ def bulk_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     id_lookup_fallback, id_translate, count_total, count_by_country, count_by_month, mask_l0, wkt_gate, centroid_gate, published_area, geometry_kind, level_projection,
-    cover_fallback, fields_for_point, country_join, country_back_fill, regulatory_export, geometry_parse, canonical_altered, polygon_covers, geometry_centroid, area_regimes, geojson_features, bulk_outcomes,
+    cover_fallback, fields_for_point, country_join, country_back_fill, regulatory_export, geometry_parse, canonical_altered, crossing_rings, polygon_covers, geometry_centroid, area_regimes, geojson_features, bulk_outcomes,
 )}
 
 _PLOTS = """keyed AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS key, p_partkey AS k FROM part),
@@ -240,6 +265,10 @@ ORACLE_SQL = {
     "regulatory_export": sql("points", "SELECT geo_id, CASE WHEN k % 4 <> 0 THEN 401 WHEN declared_area <= 0 OR declared_area > 4 THEN 422 ELSE 200 END AS status, CASE WHEN k % 4 = 0 AND declared_area > 0 AND declared_area <= 4 THEN 'Point' END AS geometry, CASE WHEN k % 4 = 0 AND declared_area > 0 AND declared_area <= 4 THEN round(declared_area, 4) END AS area, CASE WHEN k % 4 = 0 AND declared_area > 0 AND declared_area <= 4 THEN 'C' || c_nationkey END AS country FROM points"),
     "geometry_parse": f"WITH {_SQUARES} SELECT geo_id, CASE WHEN k % 7 = 0 THEN 'NOT' WHEN k % 5 = 0 THEN 'POINT' ELSE 'POLYGON' END AS kind, CASE WHEN k % 7 = 0 THEN 'unparseable' WHEN k % 5 = 0 THEN 'not_polygonal' END AS refused, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 5 = 0 THEN 0.0 ELSE round(side * side, 9) END AS square_degrees FROM sq",
     "canonical_altered": f"WITH {_SQUARES} SELECT geo_id, k % 7 = 0 OR k % 3 = 0 AS altered FROM sq WHERE k % 7 = 0 OR k % 5 <> 0",
+    "crossing_rings": r"""WITH sq AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS owner, s_suppkey % 5 AS kind, ((s_suppkey * 7919) % 1000) * 1000 AS x, ((s_suppkey * 104729) % 1000) * 1000 AS y, (1 + s_suppkey % 9) * 2000 AS s FROM supplier),
+            c AS (SELECT *, x / 1e6::DOUBLE AS x0, y / 1e6::DOUBLE AS y0, (x + s // 2) / 1e6::DOUBLE AS xm, (y + s // 2) / 1e6::DOUBLE AS ym, (x + s) / 1e6::DOUBLE AS x1, (y + s) / 1e6::DOUBLE AS y1, s / 1e6::DOUBLE AS side FROM sq)
+        SELECT owner, kind <> 4 AS repaired, CAST(CASE WHEN kind IN (0, 1) THEN 2 ELSE 1 END AS INTEGER) AS parts, round(CASE kind WHEN 0 THEN side * side / 2 WHEN 1 THEN 1.5 * side * side WHEN 2 THEN 2 * side * side ELSE side * side END, 9) AS square_degrees,
+            CASE WHEN kind = 0 THEN sha256(format('MULTIPOLYGON ((({:.6f} {:.6f}, {:.6f} {:.6f}, {:.6f} {:.6f}, {:.6f} {:.6f})), (({:.6f} {:.6f}, {:.6f} {:.6f}, {:.6f} {:.6f}, {:.6f} {:.6f})))', x0, y0, xm, ym, x0, y1, x0, y0, xm, ym, x1, y0, x1, y1, xm, ym)) END AS content_hash FROM c""",
     "geometry_centroid": f"WITH {_SQUARES} SELECT geo_id, round(CASE WHEN k % 5 = 0 THEN x ELSE round(x + side / 2, 7) END, 5) AS lng, round(CASE WHEN k % 5 = 0 THEN y ELSE round(y + side / 2, 7) END, 5) AS lat FROM sq WHERE k % 7 <> 0",
     "area_regimes": f"WITH {_SQUARES}, h AS (SELECT geo_id, 6371010.0 * 6371010.0 / 10000 * 2 * (atan(tan(radians(side) / 2) * (2 * tan(radians(y + side) / 2)) / (1 + pow(tan(radians(y + side) / 2), 2))) - atan(tan(radians(side) / 2) * (2 * tan(radians(y) / 2)) / (1 + pow(tan(radians(y) / 2), 2)))) AS ha FROM sq WHERE k % 7 <> 0 AND k % 5 <> 0) SELECT geo_id, round(ha, 1) AS hectares, true AS agree, ha / 0.404686 > 1000 AS too_large FROM h",
     "geojson_features": sql("points", "SELECT geo_id, round(lng, 5) AS lng, round(lat, 5) AS lat, true AS pin FROM points"),
