@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import string
+from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
@@ -20,8 +20,23 @@ LEAF = 8192
 #: Bytes up to which one match of the pattern is merged in one go.
 PIECE_LEAF = 256
 
-_SPACES = frozenset(" \t\n\r")
-_MARKS = frozenset(string.punctuation)
+#: Matches at a part's end that it remembers, and blanks behind a match that are looked through for its end.
+TAIL, BLANKS = 6, 4096
+
+
+@dataclass
+class Part:
+    """The ids of ``begin`` to ``end`` of a text, with its first match of the pattern and its last ones: start, end and number of ids.
+
+    ``whole``: ``tail`` has all matches.
+    """
+
+    ids: list[int]
+    begin: int
+    end: int
+    head: tuple[int, int, int]
+    tail: list[tuple[int, int, int]]
+    whole: bool
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,44 +87,79 @@ class Codec:
         """Ids of the text: of its halves, joined."""
         if len(text) <= self.leaf:
             return self.encoding.encode_ordinary(text)
-        middle = len(text) // 2
-        return self.join(text, middle, self.encode(text[:middle]), self.encode(text[middle:]))
-
-    @staticmethod
-    def _sure(text: str, at: int) -> bool:
-        """Whether every pattern match ends or begins at ``at``: no match goes on from a visible character to a space, and none looks back."""
-        return text[at] in _SPACES and (text[at - 1].isalnum() or text[at - 1] in _MARKS)
-
-    def join(self, text: str, middle: int, left: list[int], right: list[int]) -> list[int]:
-        """Encode a window around the seam anew; it grows on both sides to a place where matches surely begin, so the rest is final."""
-        start, end = middle, middle
-        while start > 0 and not (start < len(text) and self._sure(text, start)):
-            start -= 1
-        while end < len(text) and not (end > 0 and self._sure(text, end)):
-            end += 1
-        if start == end:
-            return left + right
-        i = self._tokens_of(left, len(text[start:middle].encode()), -1)
-        j = self._tokens_of(right, len(text[middle:end].encode()), 1)
-        return left[: len(left) - i] + self._window(text[start:end]) + right[j:]
-
-    def _tokens_of(self, ids: list[int], size: int, step: int) -> int:
-        """How many tokens from one end make up ``size`` bytes."""
-        k = 0
-        while size > 0:
-            size -= len(self.bytes[ids[k if step > 0 else -1 - k]])
-            k += 1
-        if size < 0:
-            raise AssertionError("a token crosses a place where matches begin")
-        return k
-
-    def _window(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            out += self.encode_piece(piece.encode())
-        return out
+        return self._part(text, 0, len(text)).ids
+
+    def _part(self, text: str, begin: int, end: int) -> Part:
+        if end - begin > self.leaf:
+            middle = (begin + end) // 2
+            return self.join(text, self._part(text, begin, middle), self._part(text, middle, end))
+        spans = [m.span() for m in self.pattern.finditer(text, begin, end)]
+        ids = self.encoding.encode_ordinary(text[begin:end])
+        tail = self._counted(text, spans[-TAIL:], ids) if len(spans) > 1 else [(begin, end, len(ids))]
+        return Part(ids, begin, end, tail[0] if len(spans) <= TAIL else self._counted(text, spans[:1], ids, False)[0], tail, len(spans) <= TAIL)
+
+    def _counted(self, text: str, spans: list[tuple[int, int]], ids: list[int], last: bool = True) -> list[tuple[int, int, int]]:
+        """The last matches of a part (or its first ones), with how many of its ids each has."""
+        out, k = [], 0
+        for a, b in reversed(spans) if last else spans:
+            size, began = len(text[a:b].encode()), k
+            while size > 0:
+                size -= len(self.bytes[ids[-1 - k if last else k]])
+                k += 1
+            out.append((a, b, k - began))
+        return out[::-1] if last else out
+
+    def join(self, text: str, left: Part, right: Part) -> Part:
+        """Match the pattern anew around the seam, from the first match of ``left`` that what follows may change to the first end of a match that is one in ``right`` too.
+
+        A match is final if the pattern saw its end: it looks at most one
+        character beyond, or to the end of the blanks behind.  From a common
+        end on all matches are those of ``right``, as no match looks back.
+        """
+        seam, end = left.end, right.end
+        sure = len(text[max(left.begin, seam - BLANKS) : seam].rstrip()) + max(left.begin, seam - BLANKS) - 1
+        open_at = next((k for k, (_, to, _) in enumerate(left.tail) if to >= sure), None)
+        if open_at is None or (open_at == 0 and not left.whole):
+            # More matches are open than are remembered: all of the left half is matched anew.
+            spans = [m.span() for m in self.pattern.finditer(text, left.begin, seam)]
+            left = Part(left.ids, left.begin, seam, left.head, self._counted(text, spans, left.ids), True)
+            open_at = next((k for k, (_, to, _) in enumerate(left.tail) if to >= sure and not text[to:seam].strip()), 0)
+        opened = left.tail[open_at:]
+        start = opened[0][0]
+        theirs = self.pattern.finditer(text, seam, end)
+        passed: list[tuple[int, int, int]] = []  # matches of the right half that are matched anew
+        reach, made = seam, []
+        for m in self.pattern.finditer(text, start, end):
+            made.append(m.span())
+            while reach < m.end():
+                a, reach = next(theirs).span()
+                passed.append((a, reach, right.head[2] if a == seam else -1))
+            if m.end() >= seam and reach == m.end():
+                break
+        passed = [p if p[2] >= 0 else (p[0], p[1], len(self.encode_piece(text[p[0] : p[1]].encode()))) for p in passed]
+        gone, came = sum(n for *_, n in opened), sum(n for *_, n in passed)
+        old = left.ids[len(left.ids) - gone :] + right.ids[:came]
+        known = [*opened, *passed]
+        new, spans, at, k = [], [], 0, 0
+        for a, b in made:
+            # The matches of the halves that begin within this one, and their ids.
+            inside, here = [], at
+            while k < len(known) and known[k][0] < b:
+                inside.append((known[k], old[here : here + known[k][2]]))
+                here += known[k][2]
+                k += 1
+            at = here
+            if b - a > self.piece_leaf and inside and inside[0][0][0] == a and inside[-1][0][1] == b:
+                ids = functools.reduce(self.join_piece, [x for _, x in inside])
+            else:
+                ids = self.encode_piece(text[a:b].encode())
+            new += ids
+            spans.append((a, b, len(ids)))
+        rest = [t for t in right.tail if t[0] >= reach]
+        covered = right.whole or right.tail[0][0] <= reach
+        tail = [*left.tail[:open_at], *spans, *rest] if covered else rest
+        head = spans[0] if start == left.begin else left.head
+        return Part(left.ids[: len(left.ids) - gone] + new + right.ids[came:], left.begin, end, head, tail[-TAIL:], covered and left.whole and len(tail) <= TAIL)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids: of their halves, concatenated."""
@@ -127,9 +177,11 @@ def codec(path: str, pattern: str, leaf: int = LEAF) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids", leaf: int = LEAF) -> DataFrame:
     """``docs`` with ``name``: the token ids of every whole text (null: of an empty text, so none).
 
-    Texts of up to ``leaf`` characters are leaves; longer ones are halved and
-    the halves joined (see ``Codec.join``).  Empty texts give an empty array.
-    A column called ``name`` is replaced, all others pass through.
+    Texts of up to ``leaf`` characters are leaves; longer ones, however long,
+    are halved and the halves joined (see ``Codec.join``).  Empty texts give an
+    empty array.  Null and repeated ids are rows like others, equal texts have
+    equal ids, and no rows give none.  A column called ``name`` is replaced,
+    all others pass through.
     """
     docs = rename_clashes(docs, [name])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])

@@ -22,41 +22,37 @@ SMALL = 48
 WIDE = 1 << 16
 
 
-def choose_pivots(vectors: DataFrame, pivots: int = 256, apart: float = 0.9) -> np.ndarray:
-    """Up to ``pivots`` unit vectors of the data as reference points.
+def choose_pivots(vectors: DataFrame, pivots: int = 256, apart: float = 0.9) -> dict[int, np.ndarray]:
+    """Up to ``pivots`` unit vectors of the data as reference points, for each width that has some.
 
     They come from a sample of eight times as many rows, chosen by a hash: a
     bounded, documented sample for fitting.  One closer than cosine ``apart``
     to an earlier one is left out, so a large group of near copies gets one.
     """
     rows = vectors.orderBy(F.xxhash64(F.lit(3), "rep"), "rep").limit(8 * pivots).select("vec").collect()
-    chosen: list[np.ndarray] = []
-    width = len(rows[0][0]) if rows else 0
+    chosen: dict[int, list[np.ndarray]] = {}
     for (v,) in rows:
         u = np.array(v, dtype="f8")
-        if len(u) != width:
-            continue
         u /= np.linalg.norm(u)
-        if not chosen or (np.array(chosen) @ u).max() < apart:
-            chosen.append(u)
-            if len(chosen) == pivots:
-                break
-    return np.array(chosen).reshape(len(chosen), width)
+        mine = chosen.setdefault(len(u), [])
+        if len(mine) < pivots and (not mine or (np.array(mine) @ u).max() < apart):
+            mine.append(u)
+    return {width: np.array(found) for width, found in chosen.items()}
 
 
-def _describe(pivots: np.ndarray, nearest: int):
-    """For mapInArrow: vectors with ``near``, the numbers of their nearest pivots in ascending order; none for a vector of another length than the pivots'."""
-    n = min(nearest, len(pivots))
+def _describe(pivots: dict[int, np.ndarray], nearest: int):
+    """For mapInArrow: vectors with ``near``, the numbers of their width's nearest pivots in ascending order; none for a vector whose width has no pivots."""
 
     def run(batches):
         for batch in pieces(batches, "vec", 2_000_000):
             vec = batch.column("vec").to_pylist()
             near: list[list[int]] = [[] for _ in vec]
-            fit = [i for i, v in enumerate(vec) if len(v) == pivots.shape[1]]
-            if fit:
-                order = np.argsort(-(np.array([vec[i] for i in fit], "f8") @ pivots.T), axis=1, kind="stable")[:, :n]
-                for i, row in zip(fit, np.sort(order, axis=1).tolist(), strict=True):
-                    near[i] = row
+            for width, points in pivots.items():
+                fit = [i for i, v in enumerate(vec) if len(v) == width]
+                if fit:
+                    order = np.argsort(-(np.array([vec[i] for i in fit], "f8") @ points.T), axis=1, kind="stable")[:, :nearest]
+                    for i, row in zip(fit, np.sort(order, axis=1).tolist(), strict=True):
+                        near[i] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
 
     return run
@@ -71,7 +67,7 @@ def _stacked(lists: np.ndarray, fill: float, kind: str) -> np.ndarray:
     return out
 
 
-def links(vectors: DataFrame, pivots: np.ndarray, threshold: float = 0.98, nearest: int = 7, shared: int = 3, listed: int = 2) -> DataFrame:
+def links(vectors: DataFrame, pivots: dict[int, np.ndarray], threshold: float = 0.98, nearest: int = 7, shared: int = 3, listed: int = 2) -> DataFrame:
     """Verified links of ``vectors(rep, label, vec, n)``: rows ``node, root, links``.
 
     A vector is described by its ``nearest`` pivots and stands in an inverted
@@ -82,18 +78,21 @@ def links(vectors: DataFrame, pivots: np.ndarray, threshold: float = 0.98, neare
     (double precision) is a link.  ``links`` adds up the ``n`` of a node's
     linked vectors; ``node - root`` edges connect all that are linked.
     """
-    if not listed <= shared or listed > 3 or len(pivots) > WIDE:
+    if not listed <= shared or listed > 3 or max(map(len, pivots.values()), default=0) > WIDE:
         raise ValueError("listed is 3 at most and not above shared; pivots are 65536 at most")
+    # Fewer pivots than have to be shared tell nothing apart.
+    pivots = {width: points for width, points in pivots.items() if len(points) >= shared}
     described = cut(vectors.mapInArrow(_describe(pivots, nearest), T.StructType([*vectors.schema.fields, T.StructField("near", T.ArrayType(T.IntegerType()))])))
-    n = min(nearest, len(pivots))
-    listed = min(listed, n)
-    shared = min(shared, n)
+    # Vectors of different widths link with nothing: each width has labels of its own.
+    described = described.withColumn("label", F.concat_ws("/", F.size("vec").cast("string"), "label"))
 
     def number(chosen: tuple[int, ...]) -> Column:
         return functools.reduce(lambda key, i: key * WIDE + F.col("near")[i], chosen, F.lit(0).cast("long"))
 
-    # Vectors of another length than the pivots' have one list for each length.
-    keys = F.when(F.size("near") > 0, F.array(*map(number, itertools.combinations(range(n), listed)))).otherwise(F.array((-1 - F.size("vec")).cast("long")))
+    # Vectors of a width without pivots have one list.
+    keys = F.array((-1 - F.size("vec")).cast("long"))
+    for n in sorted({min(nearest, len(points)) for points in pivots.values()}):
+        keys = F.when(F.size("near") == n, F.array(*map(number, itertools.combinations(range(n), listed)))).otherwise(keys)
     lists = cut(described.select("label", F.explode(keys).alias("key"), "rep"))
     dealt = deal_pairs(lists, ["label", "key"], "rep", described.select("rep", "vec", "n", "near"))
 
@@ -186,8 +185,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, pivots: int
 
     ``vec_id`` names a vector: of rows that repeat an id one stays (a usable
     one first, then the smallest label and components); null ids are left out.
-    Vectors of other lengths than the pivots' are compared among each other in
-    full.  Other columns are left out.
+    Vectors of different widths don't link; each width has pivots of its own,
+    from the rows of the sample that have it, and vectors of a width that has
+    fewer than ``shared`` of them are compared among each other in full.  Other
+    columns are left out.
     """
     single = isinstance(embeddings.schema["embedding"].dataType.elementType, T.FloatType)
     value = F.col("embedding").cast("array<double>")

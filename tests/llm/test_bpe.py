@@ -48,6 +48,30 @@ def test_long_single_run_and_edges(small):
         assert small.encode(text) == small.encoding.encode_ordinary(text)
 
 
+def test_blanks_and_marks_around_every_seam(small):
+    """Texts whose halves part inside blanks, contractions, line ends and marks."""
+    for middle in ("\n   \n", " \n \n x", "   's", "'re", "\r\n\r\n", "1234 56", "...\n\n", "\u3000\u3000a", " " * 9000 + "\n", "\n" * 50 + " " * 50 + "b"):
+        for pad in range(12):
+            text = "a" * pad + middle + "bc d" * 3
+            assert small.encode(text) == small.encoding.encode_ordinary(text), text
+
+
+def test_a_million_characters_without_a_space():
+    """One match of the pattern, or many without blanks between, in a time near the library's."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    codec = bpe.codec(PATH, PATTERN)
+    for text in ("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(1_000_000)), "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))):
+        began = time.process_time()
+        want = codec.encoding.encode_ordinary(text)
+        plain = time.process_time() - began
+        began = time.process_time()
+        assert codec.encode(text) == want
+        assert time.process_time() - began < 3 * plain + 2
+
+
 def test_encode_decode_rows(spark):
     rows = [(1, "The cat's  hat.\n", "x"), (2, None, "x"), (3, "", None), (None, "word " * 9000, "x"), (1, "The cat's  hat.\n", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")

@@ -83,3 +83,35 @@ def test_vectors_of_other_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: tuple(r)[1:] for r in embed_dedup.near_duplicates(df, pivots=10).collect()}
     assert got == brute(rows)
+
+
+def test_a_stray_width_costs_the_others_nothing(spark):
+    """Two common widths and strays of others: every width has pivots of its own, however the sample begins."""
+    rng = np.random.default_rng(5)
+    rows, i = [], 0
+    for width, groups_ in ((16, 60), (24, 40), (3, 1), (5, 1)):
+        for _ in range(groups_):
+            base = rng.normal(size=width)
+            for _ in range(3):
+                rows.append((i := i + 1, [float(x) for x in base + rng.normal(size=width) * 0.08], 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    vectors = df.selectExpr("vec_id as rep", "embedding as vec")
+    chosen = embed_dedup.choose_pivots(vectors, 64)
+    assert {w for w, p in chosen.items() if len(p) >= 3} == {16, 24} and all(p.shape[1] == w for w, p in chosen.items())
+    got = {r["vec_id"]: tuple(r)[1:] for r in embed_dedup.near_duplicates(df, pivots=64).collect()}
+    assert got == brute(rows)
+
+
+def test_recall_in_a_narrow_cone(spark):
+    """All vectors near one direction: few pivots are apart, nearly all links are found and none is invented."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=32) * 3.4
+    x = np.concatenate([centre + rng.normal(size=(700, 32)), (centre + rng.normal(size=(100, 32))).repeat(4, axis=0) + rng.normal(size=(400, 32)) * 0.2])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cosine = unit @ unit.T
+    assert 0.88 < cosine.mean() < 0.96
+    want = (cosine >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df).collect()}
+    assert all(got[i] <= want[i] for i in range(len(x)))
+    assert sum(got.values()) >= 0.95 * want.sum() > 500
