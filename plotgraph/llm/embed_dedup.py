@@ -105,12 +105,14 @@ def links(vectors: DataFrame, pivots: dict[int, np.ndarray], threshold: float =
 
         def first_here(a, b):
             """Pairs that share enough pivots, the first of them being this list's."""
+            if not near.shape[1]:
+                return key[a] < 0
             common = ((near[a][:, :, None] == near[b][:, None, :]) & (near[b] >= 0)[:, None, :]).any(2)
             upto = common.cumsum(1)
             own = np.zeros(len(a), "i8")
             for k in range(1, listed + 1):
                 own = own * WIDE + near[a, (upto == k).argmax(1)]
-            return (key[a] < 0) | ((upto[:, -1] >= shared) & (own == key[a])) if near.shape[1] else key[a] < 0
+            return (key[a] < 0) | ((upto[:, -1] >= shared) & (own == key[a]))
 
         def verify(a, b):
             for at in range(0, len(a), 50_000):
