@@ -1,9 +1,9 @@
 """Whether a credential opens a plot or a list, decided in columns.
 
 Credentials are selective-disclosure tokens: three base64url parts joined by
-dots, then disclosures behind tildes.  All checks but the signature's are made
-here; no Ed25519 is at hand, so a caller passes whether the signature holds
-(``signed``) and a credential without it is refused.
+dots, then disclosures behind tildes.  ``with_signatures`` checks the
+signatures (Ed25519); ``signed`` says whether one holds, and a credential
+without it is refused.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ed25519
+
 #: Fixed value: seconds that clocks may differ by.
 SKEW = 300
 CLAIMS = "exp long, iat long, vct string, sub string, scope string, scopes array<string>, jti string, _sd array<string>, status_list string, status_index long"
@@ -80,6 +82,31 @@ def bit_of(bits: Column, index: Column) -> Column:
     return F.when((index >= 0) & (index < F.length(bits) * 8), F.call_function("shiftright", byte, (index % 8).cast("int")).bitwiseAND(F.lit(1)))
 
 
+@F.pandas_udf(T.BooleanType())
+def verified(public: pd.Series, message: pd.Series, signature: pd.Series) -> pd.Series:
+    """Whether each signature is its key's; keys are decoded once a worker."""
+    return pd.Series([ed25519.verify(*row) for row in zip(public, message, signature)], dtype=bool)
+
+
+def with_signatures(credentials: DataFrame, keys: DataFrame, algorithm: str = "EdDSA") -> DataFrame:
+    """``credentials`` with ``signed``: whether the token in ``credential`` is signed by the key that its header names.
+
+    ``keys(kid, public)`` has raw public keys of 32 bytes; a key is found by
+    ``kid``.  The header has to name the algorithm, so that none is chosen by
+    the sender.  Unknown keys, broken tokens and nulls aren't signed.  Of a key
+    that is listed twice with different bytes none is trusted.
+    """
+    token = F.split(F.get(F.split("credential", "~"), F.lit(0)), r"\.")
+    header = F.from_json(from_base64url(F.get(token, F.lit(0))).cast("string"), "alg string, kid string")
+    once = keys.groupBy(F.col("kid").alias("_kid")).agg(F.min("public").alias("_public"), F.countDistinct("public").alias("_n")).filter("_n = 1").select("_kid", "_public")
+    rows = credentials.drop("signed").withColumn("_token", token).withColumn("_header", header)
+    rows = rows.join(once, F.col("_header.kid") == F.col("_kid"), "left")
+    whole = (F.size("_token") == 3) & (F.col("_header.alg") == algorithm) & F.col("_public").isNotNull()
+    message = F.concat_ws(".", F.get("_token", F.lit(0)), F.get("_token", F.lit(1))).cast("binary")
+    holds = verified(F.col("_public"), message, from_base64url(F.get("_token", F.lit(2))))
+    return rows.withColumn("signed", F.coalesce(F.when(whole, holds), F.lit(False))).drop("_token", "_header", "_kid", "_public")
+
+
 def check_grants(credentials: DataFrame, lists: DataFrame, vct: str, now: int) -> DataFrame:
     """``id, decision`` of ``credentials(id, credential, signed, geo_id, list_id)``: ``ok`` or the first check that fails.
 

@@ -44,6 +44,22 @@ def cover_overlap(pairs: DataFrame, covers: DataFrame) -> DataFrame:
     return out.select("*", ratio(union).alias("iou"), ratio(least).alias("containment"))
 
 
+def shared_cells(pairs: DataFrame, covers: DataFrame) -> DataFrame:
+    """``a, b, cell``: the normalised cover of what the covers of each pair ``pairs(a, b)`` share; none if nothing.
+
+    Of two nested cells the finer one is shared, so no cell is cut.
+    """
+    wanted = pairs.select("a", "b").distinct().withColumn("owner", F.struct("a", "b"))
+    each = covers.select("owner", "cell").distinct()
+    lies = []
+    for x, y in (("a", "b"), ("b", "a")):
+        mine = wanted.join(each.withColumnRenamed("owner", x), x).select("owner", y, F.col("cell").alias("fine"))
+        up = mine.select("owner", y, "fine", F.explode(cells.ancestors(F.col("fine"))).alias("cell"))
+        lies.append(up.join(each.withColumnRenamed("owner", y), [y, "cell"]).select("owner", F.col("fine").alias("cell")))
+    whole = cells.normalise(lies[0].unionByName(lies[1]).distinct())
+    return whole.select("owner.a", "owner.b", "cell")
+
+
 def token_overlap_percent(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """``a, b, percent``: shared tokens by the larger of two token sets, in percent to two places; 0 if either is empty.
 

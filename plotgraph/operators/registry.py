@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, geometry
+from ..functions.lineage import cut
 
 #: The levels a record keeps covers at.
 LEVELS = (8, 13, 15, 18, 19, 20)
@@ -122,21 +123,98 @@ def at_coordinate(coordinates: DataFrame, plots: DataFrame, boundary_type: str |
     return hits.groupBy("probe", "geo_id").agg(F.countDistinct("level").alias("n")).filter("n = 2").select("probe", "geo_id")
 
 
-def country_of(points: DataFrame, countries: DataFrame, tile: float = 1.0) -> DataFrame:
+#: Side of the tile that holds all coordinates, in degrees; edges with which a tile isn't split any more; and the tiles' finest level (an eighth of a degree).
+WORLD, FEW_EDGES, FINEST = 512.0, 16, 12
+#: Where in a tile its anchor is, in parts of its side: no place where borders like to run.
+ANCHOR = (0.4871, 0.5139)
+
+EDGES = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+
+
+def _flips(edges: Column, x: Column, y: Column, to_x: Column, to_y: Column) -> Column:
+    """Whether an odd number of edges lies between two points, going level to the other's longitude and then straight to it.
+
+    An edge is passed as in ``geometry.contains``: what lies on it counts as
+    east and north of it.
+    """
+
+    def passed(along: Column, across: Column, to: Column, a: tuple[str, str], b: tuple[str, str]) -> Column:
+        def hit(e: Column) -> Column:
+            at = e[a[0]] + (e[a[1]] - e[a[0]]) * ((across - e[b[0]]) / (e[b[1]] - e[b[0]]))
+            return ((e[b[0]] > across) != (e[b[1]] > across)) & (at > F.least(along, to)) & (at <= F.greatest(along, to))
+
+        return F.size(F.filter(edges, hit))
+
+    level = passed(x, y, to_x, ("x0", "x1"), ("y0", "y1"))
+    straight = passed(y, to_x, to_y, ("y0", "y1"), ("x0", "x1"))
+    return (level + straight) % 2 == 1
+
+
+def country_index(countries: DataFrame, few: int = FEW_EDGES, finest: int = FINEST) -> DataFrame:
+    """``position, country, level, tx, ty, inside, edges``: tiles over ``countries(position, country, shape)``.
+
+    All countries are split together, level by level.  A tile carries only the
+    edges that touch it and whether its anchor is inside.  One without edges is
+    done (kept if it is inside), one with up to ``few`` edges, or of the finest
+    level, is kept with them.
+    """
+    point = lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y"))
+    rings = F.filter(F.transform(F.flatten("shape"), lambda r: F.transform(r, point)), lambda r: F.size(r) > 1)
+    leg = lambda p, q: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1"))
+    edges = F.flatten(F.transform(rings, lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1)), leg)))
+    low = F.lit(-WORLD / 2)
+    # East of the world nothing is inside; from there the anchor of level 0 is found.
+    rows = countries.filter(F.size("shape") > 0).select("position", "country", F.lit(0).alias("level"), F.lit(0).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"), edges.cast(EDGES).alias("edges"))
+    anchor = lambda t, side, k: low + (t + ANCHOR[k]) * side
+    start = _flips(F.col("edges"), anchor(F.lit(0), F.lit(WORLD), 0), anchor(F.lit(0), F.lit(WORLD), 1), F.lit(WORLD), anchor(F.lit(0), F.lit(WORLD), 1))
+    rows = rows.withColumn("inside", start)
+    done: list[DataFrame] = []
+    for at in range(finest + 1):
+        side = WORLD / 2**at
+        west, south = low + F.col("tx") * side, low + F.col("ty") * side
+        # Edges whose box meets the tile, and that don't leave all its corners on one side.
+        span = lambda e, a, b, lo: (F.least(e[a], e[b]) <= lo + side) & (F.greatest(e[a], e[b]) >= lo)  # noqa: B023, E731
+
+        def apart(e: Column) -> Column:
+            sides = [F.signum((e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"])) for x in (west, west + side) for y in (south, south + side)]  # noqa: B023
+            return F.abs(sides[0] + sides[1] + sides[2] + sides[3]) == 4
+
+        near = F.filter("edges", lambda e: span(e, "x0", "x1", west) & span(e, "y0", "y1", south) & ~apart(e))  # noqa: B023
+        state = cut(rows.withColumn("edges", near).filter((F.size("edges") > 0) | F.col("inside")))
+        last = F.lit(at == finest) | (F.size("edges") <= few)
+        done.append(state.filter(last))
+        state = state.filter(~last)
+        if at == finest or state.isEmpty():
+            break
+        quarters = F.array(*[F.struct((F.col("tx") * 2 + i).alias("tx"), (F.col("ty") * 2 + j).alias("ty")) for i in (0, 1) for j in (0, 1)])
+        below = state.select("position", "country", (F.col("level") + 1).alias("level"), "edges", F.col("inside").alias("above"), *[anchor(F.col(t), F.lit(side), k).alias(f"a{t}") for k, t in enumerate(("tx", "ty"))], F.explode(quarters).alias("q"))
+        mine = [anchor(F.col(f"q.{t}"), F.lit(side / 2), k) for k, t in enumerate(("tx", "ty"))]
+        rows = below.select("position", "country", "level", F.col("q.tx").alias("tx"), F.col("q.ty").alias("ty"), "edges", (F.col("above") != _flips(F.col("edges"), *mine, F.col("atx"), F.col("aty"))).alias("inside"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("position", "country", "level", "tx", "ty", "inside", "edges")
+
+
+def country_of(points: DataFrame, countries: DataFrame, few: int = FEW_EDGES, finest: int = FINEST) -> DataFrame:
     """``geo_id, country``: the first country (by ``position``) whose polygon holds the point, '' if none does.
 
-    ``points(geo_id, lng, lat)``, ``countries(position, country, shape)``.
-    Positions of countries are listed under the tiles of their bounding boxes,
-    so points meet them by equality of tiles; a shape is fetched once for each
-    candidate, not copied to the tiles.
+    ``points(geo_id, lng, lat)``, ``countries(position, country, shape)``.  A
+    point meets the tiles of ``country_index`` by equality: one that lies
+    inside answers by itself, one on a border with the few edges that it has.
+    No row carries a whole shape, and a large country is as many keys as tiles.
+    Points without coordinates are in no country.
     """
-    corner = F.flatten(F.flatten("shape"))
-    low = lambda k, f: F.floor(f(F.transform(corner, lambda p: p[k])) / tile)
-    span = lambda k: F.sequence(low(k, F.array_min), low(k, F.array_max))
-    boxes = countries.select("position", span(0).alias("xs"), span(1).alias("ys"))
-    tiles = boxes.select("position", "ys", F.explode("xs").alias("tx")).select("position", "tx", F.explode("ys").alias("ty"))
-    p = points.withColumn("tx", F.floor(F.col("lng") / tile)).withColumn("ty", F.floor(F.col("lat") / tile))
-    hit = p.join(tiles, ["tx", "ty"]).join(countries.select("position", "country", "shape"), "position").filter(geometry.contains(F.col("shape"), F.col("lng"), F.col("lat")))
+    index = cut(country_index(countries, few, finest))
+    levels = sorted(r["level"] for r in index.select("level").distinct().collect())  # 13 at most
+    low = -WORLD / 2
+    tile = lambda n: F.struct(F.lit(n).alias("level"), F.floor((F.col("lng") - low) / (WORLD / 2**n)).alias("tx"), F.floor((F.col("lat") - low) / (WORLD / 2**n)).alias("ty"))
+    if not levels:
+        return points.select("geo_id", F.lit("").alias("country"))
+    keys = points.filter("lng is not null and lat is not null").select("geo_id", "lng", "lat", F.explode(F.array(*map(tile, levels))).alias("k")).select("geo_id", "lng", "lat", "k.*")
+    side = F.lit(WORLD) / F.pow(F.lit(2.0), F.col("level"))
+    anchor = [low + (F.col(t) + ANCHOR[k]) * side for k, t in enumerate(("tx", "ty"))]
+    hit = keys.join(index, ["level", "tx", "ty"]).filter(F.col("inside") != _flips(F.col("edges"), F.col("lng"), F.col("lat"), *anchor))
     first = hit.groupBy("geo_id").agg(F.min(F.struct("position", "country")).alias("f"))
     return points.select("geo_id").join(first, "geo_id", "left").select("geo_id", F.coalesce("f.country", F.lit("")).alias("country"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ed25519
 from ..operators import credentials, ingest, registry, resolve
 from ..sources import readers, sinks
 from . import lenses, pipeline_queries
@@ -39,6 +41,32 @@ def full_view(spark: SparkSession, d: str) -> DataFrame:
     return seen.select("geo_id", "tier", kind.alias("kind"), at[0].alias("lng"), at[1].alias("lat"), F.array_join(F.array_sort(F.map_keys("levels")), ",").alias("keys"), F.col("levels")["13"].alias("l13"))
 
 
+SEEDS = [bytes([n]) * 32 for n in range(4)]
+
+
+@F.pandas_udf("binary")
+def _signed(key: pd.Series, message: pd.Series) -> pd.Series:
+    return pd.Series([ed25519.sign(SEEDS[k], bytes(m)) for k, m in zip(key, message)])
+
+
+def grant_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' grants, signed by four issuers; some are changed, cut short, signed by another, or name no known key or algorithm."""
+    k = F.col("c_custkey")
+    keys = spark.createDataFrame([(f"key-{n}", ed25519.public_key(seed)) for n, seed in enumerate(SEEDS)], "kid string, public binary")
+    header = F.to_json(F.struct(F.when(k % 41 == 0, "none").otherwise("EdDSA").alias("alg"), F.concat(F.lit("key-"), F.when(k % 29 == 0, 9).otherwise(k % 4).cast("string")).alias("kid")))
+    payload = F.to_json(F.struct(F.lit(2_000_000_000).alias("exp"), k.cast("string").alias("sub")))
+    part = lambda c: credentials.to_base64url(c.cast("binary"))
+    rows = read(spark, d, "customer").select(k.alias("id"), F.concat_ws(".", part(header), part(payload)).alias("message"))
+    other = F.when(F.col("id") % 31 == 0, (F.col("id") + 1) % 4).otherwise(F.col("id") % 4).cast("int")
+    rows = rows.withColumn("signature", _signed(other, F.col("message").cast("binary")))
+    # The first byte's low half changed, or the last byte gone.
+    bits = F.hex("signature")
+    flipped = F.unhex(F.concat(F.when(F.substring(bits, 2, 1) == "0", F.concat(F.substring(bits, 1, 1), F.lit("1"))).otherwise(F.concat(F.substring(bits, 1, 1), F.lit("0"))), F.substring(bits, 3, 126)))
+    signature = F.when(F.col("id") % 23 == 0, flipped).when(F.col("id") % 37 == 0, F.unhex(F.substring(bits, 1, 126))).otherwise(F.col("signature"))
+    tokens = rows.select("id", F.concat(F.col("message"), F.lit("."), credentials.to_base64url(signature), F.lit("~")).alias("credential"))
+    return credentials.with_signatures(tokens, keys).select("id", "signed")
+
+
 def boundary_filter(spark: SparkSession, d: str) -> DataFrame:
     """Plots at the customers' own coordinates, with and without a boundary type."""
     from ..functions import cells
@@ -89,7 +117,7 @@ def sampled_source(spark: SparkSession, d: str) -> DataFrame:
     return n(some, "sampled fields").unionByName(n(few, "sampled profiles")).unionByName(n(fields, "fields")).unionByName(n(profiles, "profiles"))
 
 
-QUERIES = {f.__name__: f for f in (artifact_access, full_view, boundary_filter, token_flattening, progress_lines, holder_failures, import_dry_run, sampled_source)}
+QUERIES = {f.__name__: f for f in (artifact_access, full_view, grant_signatures, boundary_filter, token_flattening, progress_lines, holder_failures, import_dry_run, sampled_source)}
 
 _ID = "lpad(CAST({} AS VARCHAR), 10, '0')"
 _P, _C, _O = "'P' || " + _ID.format("p_partkey"), "'C' || " + _ID.format("c_custkey"), "'O' || " + _ID.format("o_orderkey")
@@ -100,6 +128,7 @@ ORACLE_SQL = {
     "full_view": f"""WITH r AS (SELECT p_partkey AS k, {_P} AS geo_id, p_partkey % 5 < 2 OR p_partkey % 3 = 0 AS may FROM part)
         SELECT geo_id, CASE WHEN may THEN 'L1' ELSE 'L0' END AS tier, CASE WHEN may THEN CASE k % 4 WHEN 0 THEN 'MultiPolygon' WHEN 1 THEN 'Polygon' WHEN 2 THEN 'LineString' ELSE 'Point' END END AS kind,
             CASE WHEN may THEN k % 100 + 0.5::DOUBLE END AS lng, CASE WHEN may THEN k % 50 + 0.5::DOUBLE END AS lat, CASE WHEN may THEN '13,regime' END AS keys, CASE WHEN may THEN CAST(k AS VARCHAR) END AS l13 FROM r""",
+    "grant_signatures": "SELECT c_custkey AS id, c_custkey % 23 <> 0 AND c_custkey % 29 <> 0 AND c_custkey % 31 <> 0 AND c_custkey % 37 <> 0 AND c_custkey % 41 <> 0 AS signed FROM customer",
     "boundary_filter": f"SELECT 'any' AS asked, {_C} AS geo_id FROM customer UNION ALL SELECT 'manual', {_C} FROM customer WHERE c_custkey % 3 = 0",
     "token_flattening": f"SELECT {_P} AS geo_id, CASE WHEN p_partkey % 3 = 2 THEN 'a' || p_partkey || ',b' || p_partkey || ',c' ELSE 'a' || p_partkey || ',b' || p_partkey END AS tokens FROM part",
     "progress_lines": """WITH n AS (SELECT count(*) AS total, count(*) FILTER (p_partkey % 4 = 0) AS existing FROM part)

@@ -93,6 +93,13 @@ def overlap_two_plots(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cover_overlap(pairs, lenses.covers(spark, d)).select("a", "b", "iou", "containment")
 
 
+def cover_intersections(spark: SparkSession, d: str) -> DataFrame:
+    """Of every two plots that share some area: the cells they share, with their leaves."""
+    c = lenses.covers(spark, d)
+    shared = overlap.shared_cells(resolve.candidates(c, c).filter("b < a"), c)
+    return shared.groupBy("a", "b").agg(F.count("*").alias("n_cells"), F.sum(cells.leaf_count(F.col("cell"))).alias("leaves"), F.min(_token()).alias("first_cell"))
+
+
 def resolve_best(spark: SparkSession, d: str) -> DataFrame:
     """Importer's choice for every plot among all earlier ones."""
     return resolve.best(resolve.verdicts(_scored(spark, d)))
@@ -119,7 +126,7 @@ def point_distance_join(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cell_levels, cell_ancestors, cell_children, cover_leaf_area, blocking_keys, point_cells, point_neighbours, points_in_regions, blocking_candidates, cover_iou_pairs,
-    cover_containment_pairs, token_overlap_pct, overlap_two_plots, resolve_best, resolve_earliest, resolve_batch, point_distance_join,
+    cover_containment_pairs, token_overlap_pct, overlap_two_plots, cover_intersections, resolve_best, resolve_earliest, resolve_batch, point_distance_join,
 )}
 
 _HEX = "rtrim(lpad(format('{{:x}}', {}), 16, '0'), '0')"
@@ -168,6 +175,11 @@ ORACLE_SQL = {
         FROM p LEFT JOIN t x ON x.owner = a LEFT JOIN t y ON y.owner = b"""),
     "overlap_two_plots": sql(_SCORED_VIEWS, f"""{_SCORED}, two AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS a, 'P' || lpad(CAST(p_partkey + 1 AS VARCHAR), 10, '0') AS b FROM part)
         SELECT two.a, two.b, coalesce(iou, 0.0::DOUBLE) AS iou, coalesce(containment, 0.0::DOUBLE) AS containment FROM two LEFT JOIN scored ON scored.a = two.b AND scored.b = two.a"""),
+    "cover_intersections": sql(_SCORED_VIEWS, f"""{_SCORED}, fine AS (SELECT DISTINCT h.a, h.b, h.cell FROM hits h JOIN pairs p ON p.a = h.a AND p.b = h.b),
+        -- Four children of one cell are that cell; covers here have two levels, so one step is enough.
+        up AS (SELECT *, (cell & -((cell & -cell) << 2)) | ((cell & -cell) << 2) AS above FROM fine),
+        whole AS (SELECT DISTINCT a, b, CASE WHEN count(*) OVER (PARTITION BY a, b, above) = 4 THEN above ELSE cell END AS cell FROM up)
+        SELECT a, b, count(*) AS n_cells, CAST(sum(cell & -cell) AS BIGINT) AS leaves, min({_TOKEN}) AS first_cell FROM whole GROUP BY a, b"""),
     "resolve_best": sql(_SCORED_VIEWS, f"{_SCORED} SELECT a, b, relation, score FROM passed QUALIFY row_number() OVER (PARTITION BY a ORDER BY relation <> 'same_as', score DESC, b) = 1"),
     "resolve_earliest": sql(_SCORED_VIEWS, f"{_SCORED} SELECT a, b, relation, score FROM passed QUALIFY row_number() OVER (PARTITION BY a ORDER BY relation <> 'same_as', b DESC) = 1"),
     "point_distance_join": sql("points", """p AS (SELECT geo_id, lat + 0.00002 AS lat, lng FROM points),

@@ -98,3 +98,19 @@ def test_normalise(spark):
     df = spark.createDataFrame([(o, signed(c)) for o, c in rows], "owner string, cell long")
     got = sorted((r[0], r[1]) for r in cells.normalise(df).select("owner", "cell").collect())
     assert got == sorted([("a", signed(base)), ("b", signed(kids[0])), ("c", signed(grand[0])), ("c", signed(kids[2]))])
+
+
+def test_shared_cells_are_what_two_covers_have_in_common(spark):
+    from pyspark.sql import functions as F
+
+    from plotgraph.operators import overlap
+
+    base = spark.range(1).select(cells.parent(F.lit(2654435761 * 2 + 1).cast("long"), 12).alias("c")).first()["c"]
+    kids = spark.range(1).select(cells.children(F.lit(base)).alias("k")).first()["k"]
+    grand = spark.range(1).select(cells.children(F.lit(kids[0])).alias("k")).first()["k"]
+    covers = spark.createDataFrame([("whole", base), *[("two", c) for c in kids[:2]], *[("fine", c) for c in (*grand[:3], kids[1])], ("last", kids[3]), *[("all", c) for c in kids]], "owner string, cell long")
+    pairs = spark.createDataFrame([("whole", "two"), ("two", "fine"), ("two", "last"), ("whole", "all"), ("fine", "unknown")], "a string, b string")
+    got = {}
+    for r in overlap.shared_cells(pairs, covers).collect():
+        got.setdefault((r["a"], r["b"]), set()).add(r["cell"])
+    assert got == {("whole", "two"): set(kids[:2]), ("two", "fine"): {*grand[:3], kids[1]}, ("whole", "all"): {base}}
