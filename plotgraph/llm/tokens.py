@@ -222,7 +222,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, block_bytes: int
     Common pre-tokens cost one entry per block, so none makes a task hot.
 
     Null texts count as empty ones: 0 bytes, 0 tokens.  Null and repeated ids
-    are rows like others, other columns are left out.
+    are rows like others, other columns are left out, no rows give none.  Texts
+    are whole however long: one longer than ``block_bytes`` is a block.
     """
     buckets = partitions(docs.sparkSession)
     lists = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(path, buckets, block_bytes, block_docs), "block long, bucket int, payload binary")

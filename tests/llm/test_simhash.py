@@ -92,3 +92,17 @@ def test_components_of_paths_and_stars(spark):
     got = {r[0]: r[1] for r in connected_components(df).collect()}
     assert {n: got.get(n, n) for n in nodes} == want
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """300,000 words, a copy of them, one with a word changed, and an unlike text as long."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 50_000)}" for _ in range(300_000)]
+    changed = [*words[:1000], "other", *words[1001:]]
+    texts = [" ".join(words), "  ".join(words), " ".join(changed), " ".join(f"v{rng.randint(0, 50_000)}" for _ in range(300_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert [got[i]["component_id"] for i in range(3)] == [0, 0, 0] and got[3]["component_id"] == 3
+    assert all(got[i]["fp"] % 2**64 == simhash.fingerprint(t) % 2**64 for i, t in enumerate(texts))

@@ -27,3 +27,15 @@ def test_counts_equal_library(spark, name):
     want = [(i or -1, len((t or "").encode()), count(t or ""), count(t or "") > 10) for i, t in enumerate(TEXTS)]
     assert got == sorted(want)
     assert tokens.token_counts(docs.limit(0), path).count() == 0
+
+
+def test_very_long_text(spark):
+    """A text larger than a block, beside short ones."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["The cat's hat. " * 60_000, "short", "The cat's hat. "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in tokens.token_counts(docs, path, block_bytes=1000).collect()}
+    assert got == {i: (len(t), len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)}
