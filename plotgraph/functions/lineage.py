@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative jobs, and numbering rows without ordering a group in one task."""
+"""Cutting the lineage of iterative jobs, dealing rows over tasks, and numbering rows without ordering a group in one task."""
 
 from __future__ import annotations
 
@@ -28,6 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, rows: int = 10_000, counted: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt evenly over tasks of about ``rows`` rows.
+
+    A compressed file of few MB is one task's input, however many rows it has
+    and however much each costs.  ``counted`` has as many rows as ``df`` where
+    those of ``df`` are costly to count.
+    """
+    return df.repartition(max(1, -(-(df if counted is None else counted).count() // rows)))
+
+
 def numbered(df: DataFrame, key: str, order: list[Column], name: str = "i") -> DataFrame:
     """``df`` with ``name``: each row's place (from 0) among the rows of its ``key``, in ``order``.
 

@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ed25519
+from ..functions.lineage import spread
 
 #: Fixed value: seconds that clocks may differ by.
 SKEW = 300
+#: Signatures that a task makes or checks; each takes up to a millisecond.
+SIGNATURES = 4_000
 CLAIMS = "exp long, iat long, vct string, sub string, scope string, scopes array<string>, jti string, _sd array<string>, status_list string, status_index long"
 
 
@@ -94,13 +97,15 @@ def with_signatures(credentials: DataFrame, keys: DataFrame, algorithm: str = "E
     ``keys(kid, public)`` has raw public keys of 32 bytes; a key is found by
     ``kid``.  The header has to name the algorithm, so that none is chosen by
     the sender.  Unknown keys, broken tokens and nulls aren't signed.  Of a key
-    that is listed twice with different bytes none is trusted.
+    that is listed twice with different bytes none is trusted.  Credentials are
+    dealt evenly over tasks, however few files or keys they come from.
     """
     token = F.split(F.get(F.split("credential", "~"), F.lit(0)), r"\.")
     header = F.from_json(from_base64url(F.get(token, F.lit(0))).cast("string"), "alg string, kid string")
     once = keys.groupBy(F.col("kid").alias("_kid")).agg(F.min("public").alias("_public"), F.countDistinct("public").alias("_n")).filter("_n = 1").select("_kid", "_public")
     rows = credentials.drop("signed").withColumn("_token", token).withColumn("_header", header)
     rows = rows.join(once, F.col("_header.kid") == F.col("_kid"), "left")
+    rows = spread(rows, SIGNATURES, credentials)
     whole = (F.size("_token") == 3) & (F.col("_header.alg") == algorithm) & F.col("_public").isNotNull()
     message = F.concat_ws(".", F.get("_token", F.lit(0)), F.get("_token", F.lit(1))).cast("binary")
     holds = verified(F.col("_public"), message, from_base64url(F.get("_token", F.lit(2))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ed25519
+from ..functions.lineage import spread
 from ..operators import credentials, ingest, registry, resolve
 from ..sources import readers, sinks
 from . import lenses, pipeline_queries
@@ -57,7 +58,8 @@ def grant_signatures(spark: SparkSession, d: str) -> DataFrame:
     header = F.to_json(F.struct(F.when(k % 41 == 0, "none").otherwise("EdDSA").alias("alg"), F.concat(F.lit("key-"), F.when(k % 29 == 0, 9).otherwise(k % 4).cast("string")).alias("kid")))
     payload = F.to_json(F.struct(F.lit(2_000_000_000).alias("exp"), k.cast("string").alias("sub")))
     part = lambda c: credentials.to_base64url(c.cast("binary"))
-    rows = read(spark, d, "customer").select(k.alias("id"), F.concat_ws(".", part(header), part(payload)).alias("message"))
+    customers = spread(read(spark, d, "customer").select("c_custkey"), credentials.SIGNATURES)
+    rows = customers.select(k.alias("id"), F.concat_ws(".", part(header), part(payload)).alias("message"))
     other = F.when(F.col("id") % 31 == 0, (F.col("id") + 1) % 4).otherwise(F.col("id") % 4).cast("int")
     rows = rows.withColumn("signature", _signed(other, F.col("message").cast("binary")))
     # The first byte's low half changed, or the last byte gone.

@@ -46,3 +46,13 @@ def test_tokens(spark):
     got = {r["id"] for r in credentials.with_signatures(rows, keys).collect() if r["signed"]}
     assert got == {"good", "disclosed"}
     assert credentials.with_signatures(rows.limit(0), keys).count() == 0
+
+
+def test_even_tasks(spark):
+    """Credentials of one key and one task's input are checked in several tasks."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3 * credentials.SIGNATURES, numPartitions=1).select("id", F.lit("a.b.c").alias("credential"))
+    keys = spark.createDataFrame([("a", ed25519.public_key(bytes(32)))], "kid string, public binary")
+    parts = credentials.with_signatures(rows, keys).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 3 and sum(r["count"] for r in parts) == 3 * credentials.SIGNATURES
