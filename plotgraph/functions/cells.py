@@ -24,6 +24,27 @@ POSITION_TO_QUADRANT = ((0, 1, 3, 2), (0, 2, 3, 1), (3, 2, 0, 1), (3, 1, 0, 2))
 QUADRANT_TO_POSITION = tuple(tuple(row.index(q) for q in range(4)) for row in POSITION_TO_QUADRANT)
 #: How the orientation changes in the quadrant at each position.
 TURN = (1, 0, 0, 3)
+#: Levels that one step down the curve takes; the tables of such steps hold 4 * 4 ** BITS numbers.
+BITS = 5
+
+
+def _steps() -> tuple[list[int], list[int]]:
+    """BITS levels at once: by orientation and (i, j) bits the position and the new orientation, ``position * 4 + orientation``; and by orientation and position ``(i, j) bits * 4 + orientation``."""
+    to_position, to_bits = [0] * (4 << 2 * BITS), [0] * (4 << 2 * BITS)
+    for start in range(4):
+        for position in range(1 << 2 * BITS):
+            o, i, j = start, 0, 0
+            for k in range(BITS - 1, -1, -1):
+                at = position >> 2 * k & 3
+                q = POSITION_TO_QUADRANT[o][at]
+                i, j, o = i * 2 + (q >> 1), j * 2 + (q & 1), o ^ TURN[at]
+            bits = i << BITS | j
+            to_position[start << 2 * BITS | bits] = position * 4 + o
+            to_bits[start << 2 * BITS | position] = bits * 4 + o
+    return to_position, to_bits
+
+
+TO_POSITION, TO_BITS = _steps()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,8 +52,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _table(rows: tuple) -> Column:
-    return F.array(*[F.lit(x) for row in rows for x in row])
+def _table(numbers: list[int]) -> Column:
+    """A constant array, written as one text that Spark reads once."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
 
 
 # Tokens and ids.
@@ -89,8 +111,12 @@ def blocking_cells(cells: Column, at: int = 13) -> Column:
 
 def children(cell: Column) -> Column:
     """The four cells of the next level, in curve order."""
+    return F.array(*_kids(cell))
+
+
+def _kids(cell: Column) -> list[Column]:
     step = F.shiftright(lowest_bit(cell), 2)
-    return F.array(*[cell + F.lit(k) * step for k in (-3, -1, 1, 3)])
+    return [cell + F.lit(k) * step for k in (-3, -1, 1, 3)]
 
 
 # Positions on the sphere.
@@ -144,22 +170,19 @@ def _grid(u: Column) -> Column:
 
 
 def from_grid(face: Column, i: Column, j: Column) -> Column:
-    """The leaf at (i, j) of a face: a walk down the curve, two bits a step."""
+    """The leaf at (i, j) of a face: a walk down the curve, BITS levels a step."""
+    table = _table(TO_POSITION)
 
     def walk(g: Column) -> Column:
-        start = F.struct(g["face"].bitwiseAND(1).cast("int").alias("o"), g["face"].cast("long").alias("p"))
-
+        # The curve's position with the orientation in its two last bits.
         def step(s: Column, k: Column) -> Column:
-            bit = lambda a: F.call_function("shiftright", a, k).bitwiseAND(F.lit(1)).cast("int")
-            position = F.element_at(_table(QUADRANT_TO_POSITION), s["o"] * 4 + bit(g["i"]) * 2 + bit(g["j"]) + 1)
-            turned = lambda at: F.struct(
-                s["o"].bitwiseXOR(F.element_at(F.array(*map(F.lit, TURN)), at + 1)).cast("int").alias("o"),
-                F.call_function("shiftleft", s["p"], F.lit(2)).bitwiseOR(at.cast("long")).alias("p"),
-            )
-            return let(position, turned)
+            bits = lambda a: F.call_function("shiftright", a, k).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+            at = F.shiftleft(s.bitwiseAND(F.lit(3)).cast("int"), 2 * BITS) + F.shiftleft(bits(g["i"]), BITS) + bits(g["j"]) + 1
+            return F.shiftleft(s.bitwiseAND(F.lit(-4)), 2 * BITS).bitwiseOR(F.element_at(table, at).cast("long"))
 
-        walked = F.aggregate(F.sequence(F.lit(MAX_LEVEL - 1), F.lit(0), F.lit(-1)), start, step)
-        return F.call_function("shiftleft", walked["p"], F.lit(1)).bitwiseOR(F.lit(1))
+        walked = F.aggregate(F.array(*map(F.lit, range(MAX_LEVEL - BITS, -1, -BITS))), g["face"].bitwiseAND(1).cast("long"), step)
+        position = F.call_function("shiftright", walked, F.lit(2)).bitwiseOR(F.shiftleft(g["face"].cast("long"), 2 * MAX_LEVEL))
+        return F.shiftleft(position, 1).bitwiseOR(F.lit(1))
 
     return let(F.struct(face.alias("face"), i.cast("long").alias("i"), j.cast("long").alias("j")), walk)
 
@@ -180,25 +203,28 @@ def from_lat_lng(lat: Column, lng: Column) -> Column:
 
 def to_grid(cell: Column) -> Column:
     """``face, i, j, size``: a cell's lowest leaf and its width in leaves."""
+    table = _table(TO_BITS)
 
     def walk(c: Column) -> Column:
-        start = F.struct(c["face"].bitwiseAND(1).cast("int").alias("o"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-
+        # Down to the step that holds the cell's level; what lies below it is cut off.
         def step(s: Column, k: Column) -> Column:
-            at = F.call_function("shiftrightunsigned", c["id"], (2 * (MAX_LEVEL - k) + 1).cast("int")).bitwiseAND(F.lit(3)).cast("int")
-            turned = lambda at: let(
-                F.element_at(_table(POSITION_TO_QUADRANT), s["o"] * 4 + at + 1),
-                lambda q: F.struct(
-                    s["o"].bitwiseXOR(F.element_at(F.array(*map(F.lit, TURN)), at + 1)).cast("int").alias("o"),
-                    (s["i"] * 2 + F.shiftright(q, 1)).cast("long").alias("i"),
-                    (s["j"] * 2 + q.bitwiseAND(1)).cast("long").alias("j"),
-                ),
-            )
-            return let(at, turned)
-
-        walked = F.when(c["level"] > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), c["level"])), start, step)).otherwise(start)
+            at = F.call_function("shiftrightunsigned", c["id"], k).bitwiseAND(F.lit((1 << 2 * BITS) - 1)).cast("int")
+
+            def turned(q: Column) -> Column:
+                i, j = F.call_function("shiftright", q, F.lit(BITS + 2)), F.call_function("shiftright", q, F.lit(2)).bitwiseAND(F.lit((1 << BITS) - 1))
+                down = lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x.cast("long"))
+                return F.struct(q.bitwiseAND(3).alias("o"), down(s["i"], i).alias("i"), down(s["j"], j).alias("j"))
+
+            return let(F.element_at(table, F.shiftleft(s["o"], 2 * BITS) + at + 1), turned)
+
+        start = F.struct(c["face"].bitwiseAND(1).cast("int").alias("o"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+        taken = F.slice(F.array(*map(F.lit, range(2 * (MAX_LEVEL - BITS) + 1, 0, -2 * BITS))), F.lit(1), F.ceil(c["level"] / BITS).cast("int"))
+        walked = F.aggregate(taken, start, step)
         width = F.call_function("shiftleft", F.lit(1).cast("long"), (MAX_LEVEL - c["level"]).cast("int"))
-        return let(F.struct(walked.alias("w"), width.alias("size")), lambda r: F.struct(c["face"].alias("face"), (r["w"]["i"] * r["size"]).alias("i"), (r["w"]["j"] * r["size"]).alias("j"), r["size"].alias("size")))
+        # The width of what the last step reached is at most the cell's.
+        reached = F.call_function("shiftleft", F.lit(1).cast("long"), (MAX_LEVEL - BITS * F.ceil(c["level"] / BITS)).cast("int"))
+        low = lambda a, r: (a * r["reached"]).bitwiseAND(-r["size"])
+        return let(F.struct(walked.alias("w"), width.alias("size"), reached.alias("reached")), lambda r: F.struct(c["face"].alias("face"), low(r["w"]["i"], r).alias("i"), low(r["w"]["j"], r).alias("j"), r["size"].alias("size")))
 
     face = lambda c: F.call_function("shiftrightunsigned", c, F.lit(61)).cast("int")
     return let(cell, lambda c: let(F.struct(c.alias("id"), face(c).alias("face"), level(c).alias("level")), walk))
@@ -278,16 +304,30 @@ def drop_covered(df: DataFrame, owner: str = "owner", cell: str = "cell") -> Dat
     return distinct.join(inside, [owner, cell], "left_anti")
 
 
-def normalise(df: DataFrame, owner: str = "owner", cell: str = "cell") -> DataFrame:
-    """The same areas with the fewest cells: no repeated or covered cells, four siblings as their parent.
+def merge(df: DataFrame, owner: str = "owner", cell: str = "cell") -> DataFrame:
+    """Distinct cells of which none covers another of its owner, with four siblings as their parent.
 
-    Rounds of merging, one level of merges each, until nothing merges.
+    Rounds of one grouping by parent each: the four places below it are bits of
+    a number, so neither lists nor joins are needed.  A round whose cells are as
+    many as before has merged nothing.
     """
-    now = cut(drop_covered(df, owner, cell))
+    up = parent(F.col(cell), level(F.col(cell)) - 1)
+    place = F.expr("(`_at` - `_up`) div (`_at` & -`_at`) + 3").cast("int")
+    whole = F.col("_places") == 15
+    kids = F.array(*[F.when(F.col("_places").bitwiseAND(1 << k) != 0, kid) for k, kid in enumerate(_kids(F.col("_up")))])
+    faces = level(F.col(cell)) == 0
+    now = cut(df.select(owner, cell))
+    size = now.count()
     while True:
-        up = now.filter(level(F.col(cell)) > 0).withColumn("_up", parent(F.col(cell), level(F.col(cell)) - 1))
-        full = cut(up.groupBy(owner, "_up").agg(F.count("*").alias("_n")).filter("_n = 4").select(owner, "_up"))
-        if full.isEmpty():
+        placed = now.filter(~faces).select(owner, F.col(cell).alias("_at"), up.alias("_up")).select(owner, "_up", F.call_function("shiftleft", F.lit(1), F.shiftright(place, 1)).alias("_place"))
+        grouped = placed.groupBy(owner, "_up").agg(F.bit_or("_place").alias("_places"))
+        below = grouped.select(owner, F.explode(F.when(whole, F.array("_up")).otherwise(F.array_compact(kids))).alias(cell))
+        now = cut(below.unionByName(now.filter(faces).distinct()))
+        before, size = size, now.count()
+        if size == before:
             return now
-        gone = up.join(full, [owner, "_up"], "left_semi").select(owner, cell)
-        now = cut(now.join(gone, [owner, cell], "left_anti").unionByName(full.withColumnRenamed("_up", cell)))
+
+
+def normalise(df: DataFrame, owner: str = "owner", cell: str = "cell") -> DataFrame:
+    """The same areas with the fewest cells: no repeated or covered cells, four siblings as their parent."""
+    return merge(drop_covered(df, owner, cell), owner, cell)

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, geometry
-from ..functions.lineage import cut
+from ..functions.lineage import cut, spread
 
 
 #: Least height over the plane through the sphere's middle at which a ring is cut; what lies beyond is far outside the face.
 HORIZON = 1e-3
+#: Polygons that a task begins with, and cells on the way down that it goes on with; all tasks are dealt anew every DEAL levels.
+POLYGONS, CELLS, DEAL = 200, 10_000, 5
 
 
 def _edges(shape: Column, face: Column) -> Column:
@@ -89,21 +91,35 @@ def polygon_cover(plots: DataFrame, finest: int = 20) -> DataFrame:
     and all parts count, crossing rings by the even-odd rule.  Rings are cut at
     each face's horizon, so a polygon is seen on every face that it touches, if
     it is smaller than half the sphere.  A cell on the way down carries only the
-    edges that cross it and whether its middle is inside.  Null or empty shapes
-    have no cells.
+    edges that cross it, where on its face it is, and whether its middle is
+    inside.  Null or empty shapes have no cells.  Cells of one polygon are
+    disjoint as they are found; only those of owners with several rows are
+    compared.
     """
 
     def whole(face: Column) -> Column:
         cell = F.call_function("shiftleft", face.cast("long"), F.lit(61)).bitwiseOR(F.lit(1 << 60))
-        return F.struct(cell.alias("cell"), cells.bounds(cell).alias("b"), _edges(F.col("shape"), face).alias("edges"))
+        zero = F.lit(0).cast("long")
+        return F.struct(cell.alias("cell"), F.struct(F.lit(-1.0).alias("u0"), F.lit(1.0).alias("u1"), F.lit(-1.0).alias("v0"), F.lit(1.0).alias("v1")).alias("b"), face.bitwiseAND(1).cast("int").alias("o"), zero.alias("i"), zero.alias("j"), _edges(F.col("shape"), face).alias("edges"))
 
-    def quarter(cell: Column) -> Column:
-        return F.struct(cell.alias("cell"), cells.bounds(cell).alias("b"))
+    def quarters(at: int) -> Column:
+        """The four cells below, at level ``at``: a step down the curve from where the cell is."""
+        edge = lambda a: cells.st_to_uv(a.cast("double") / (1 << at))
+        step = F.array(*[F.array(*[F.struct(F.lit(q >> 1).alias("i"), F.lit(q & 1).alias("j"), F.lit(o ^ cells.TURN[k]).alias("o")) for k, q in enumerate(row)]) for o, row in enumerate(cells.POSITION_TO_QUADRANT)])
+
+        def quarter(cell: Column, s: Column) -> Column:
+            placed = F.struct((F.col("i") * 2 + s["i"]).alias("i"), (F.col("j") * 2 + s["j"]).alias("j"))
+            bound = lambda p: F.struct(edge(p["i"]).alias("u0"), edge(p["i"] + 1).alias("u1"), edge(p["j"]).alias("v0"), edge(p["j"] + 1).alias("v1"))
+            return cells.let(placed, lambda p: F.struct(cell.alias("cell"), bound(p).alias("b"), s["o"].alias("o"), p["i"].alias("i"), p["j"].alias("j")))
+
+        return F.zip_with(cells.children(F.col("cell")), F.element_at(step, F.col("o") + 1), quarter)
 
     middle = lambda b: ((b["u0"] + b["u1"]) / 2, (b["v0"] + b["v1"]) / 2)
+    plots = spread(plots.select("owner", "shape"), POLYGONS)
+    place = ["o", "i", "j"]
     # What explode makes is computed once, however often it is named.
     faces = plots.filter(F.size("shape") > 0).select("owner", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), whole)).alias("c"))
-    rows = faces.select("owner", "c.cell", "c.b", "c.edges", _inside(F.col("c.edges"), *middle(F.col("c.b"))).alias("inside"))
+    rows = faces.select("owner", "c.cell", "c.b", *[f"c.{x}" for x in place], "c.edges", _inside(F.col("c.edges"), *middle(F.col("c.b"))).alias("inside"))
     done: list[DataFrame] = []
     for at in range(finest + 1):
         crossing = rows.withColumn("edges", F.filter("edges", lambda e: _crosses(F.col("b"), e)))
@@ -112,13 +128,20 @@ def polygon_cover(plots: DataFrame, finest: int = 20) -> DataFrame:
             done.append(state.select("owner", "cell"))
             break
         done.append(state.filter(F.size("edges") == 0).select("owner", "cell"))
-        below = state.filter(F.size("edges") > 0).select("owner", "edges", "inside", F.col("b").alias("above"), F.explode(F.transform(cells.children(F.col("cell")), quarter)).alias("c"))
+        state = state.filter(F.size("edges") > 0)
+        if at and at % DEAL == 0:
+            state = spread(state, max(1, CELLS >> DEAL))
+        below = state.select("owner", "edges", "inside", F.col("b").alias("above"), F.explode(quarters(at + 1)).alias("c"))
         turns = _turns(F.col("edges"), *middle(F.col("above")), *middle(F.col("c.b")))
-        rows = below.select("owner", "c.cell", "c.b", "edges", (F.col("inside") != turns).alias("inside"))
+        rows = below.select("owner", "c.cell", "c.b", *[f"c.{x}" for x in place], "edges", (F.col("inside") != turns).alias("inside"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return cells.normalise(out)
+    several = cut(plots.groupBy("owner").agg(F.count("*").alias("n")).filter("n > 1").select("owner"))
+    if not several.isEmpty():
+        mine = several["owner"].eqNullSafe(out["owner"])
+        out = out.join(several, mine, "left_anti").unionByName(cells.drop_covered(out.join(several, mine, "left_semi")))
+    return cells.merge(out)
 
 
 def with_identity(plots: DataFrame, finest: int = 20) -> DataFrame:

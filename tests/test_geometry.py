@@ -106,3 +106,28 @@ def test_a_polygon_over_three_faces(spark):
         hit = {(x["lng"], x["lat"]) for x in rows if set(x["up"]) & got[owner]}
         sure = {(x, y) for x, y in points if inside(r, vec(x, y))}
         assert sure <= hit and len(hit - sure) <= 0.1 * len(sure) + 3
+
+
+def test_one_tasks_polygons(spark):
+    """Polygons of one task's input are dealt over tasks, and an owner of two rows has the cover of both."""
+    from plotgraph.functions.lineage import spread
+
+    n = 3 * cover.POLYGONS
+    plots = spark.range(n, numPartitions=1).select(F.col("id").cast("string").alias("owner"), geometry.from_wkt(F.lit(square(1, 1, 200))).alias("shape"))
+    assert spread(plots, cover.POLYGONS).rdd.getNumPartitions() == 3
+    one, two = (geometry.from_wkt(F.lit(square(1, 1, 200, dx))) for dx in (0, 100))
+    rows = spark.range(1).select(F.lit("one").alias("owner"), one.alias("shape")).unionByName(spark.range(1).select(F.lit("two").alias("owner"), two.alias("shape")))
+    apart = cover.polygon_cover(rows, 18)
+    both = cover.polygon_cover(rows.withColumn("owner", F.lit("both")), 18)
+    want = {r["cell"] for r in cells.normalise(apart.withColumn("owner", F.lit("both"))).collect()}
+    assert want == {r["cell"] for r in both.collect()} and want
+
+
+def test_merging(spark):
+    """Three levels of complete siblings become one cell; three siblings stay."""
+    top = 1 << 60
+    kids = lambda c: [c + k * ((c & -c) >> 2) for k in (-3, -1, 1, 3)]
+    fine = [x for a in kids(top) for b in kids(a) for x in kids(b)]
+    rows = [("a", c) for c in fine] + [("b", c) for c in kids(top)[:3]] + [("c", top)]
+    got = {(r["owner"], r["cell"]) for r in cells.merge(spark.createDataFrame(rows, "owner string, cell long")).collect()}
+    assert got == {("a", top), ("c", top)} | {("b", c) for c in kids(top)[:3]}
