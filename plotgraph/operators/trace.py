@@ -14,6 +14,8 @@ from ..functions import cells
 from ..functions.lineage import cut
 
 MAX_DEPTH = 64
+#: Parts in which the lots of a set of regions meet the seeds under it.
+PARTS = 64
 
 
 def equivalence_set(seeds: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -52,13 +54,74 @@ def walk(start: DataFrame, edges: DataFrame, depth: int | None = None) -> tuple[
 def ancestor_probe(covers: DataFrame, region_cells: DataFrame) -> DataFrame:
     """``owner, region_id``: regions with a cell that is one of the owner's cells or an ancestor of it.
 
-    All ancestors are listed, so a containment join is an equi-join.  A region
-    cell finer than the plot's own isn't matched.
+    The ancestors at all levels that regions have are listed, so a containment
+    join is an equi-join.  A region cell finer than the plot's own isn't matched.
     """
-    probes = covers.select("owner", F.explode(cells.ancestors(F.col("cell"))).alias("cell")).distinct()
+    levels = [r[0] for r in region_cells.select(cells.level(F.col("cell")).alias("level")).distinct().collect()]  # 31 at most
+    own = cells.level(F.col("cell"))
+    up = F.filter(F.array(*[F.when(own >= n, cells.parent(F.col("cell"), n)) for n in levels]), lambda c: c.isNotNull())
+    probes = covers.select("owner", F.explode(up if levels else F.array().cast("array<long>")).alias("cell"))
     return probes.join(region_cells.select("region_id", "cell"), "cell").select("owner", "region_id").distinct()
 
 
+class TraceForward:
+    """All lots that contain a seed plot, see ``trace_forward``.
+
+    A region may be in many lots and over many seeds, so the lots above it are
+    walked once a region, and put together once for each set of regions that
+    lies over some seed (``key``).  ``own(seed, node, rank, depth, key)`` is
+    what a seed reaches by itself, ``sets(key, node, depth)`` what a set of
+    regions reaches, ``keyed(seed, key)`` the seeds under regions.
+    """
+
+    def __init__(self, seeds: DataFrame, members: DataFrame, list_parents: DataFrame, aliases: DataFrame | None = None, covers: DataFrame | None = None, region_cells: DataFrame | None = None, region_parents: DataFrame | None = None):
+        up = list_parents.select(F.col("child").alias("source"), F.col("parent").alias("target"))
+        nodes = seeds.select("seed", F.col("seed").alias("node")) if aliases is None else equivalence_set(seeds, aliases)
+        start = cut(nodes.join(members, F.col("node") == F.col("geoid")).select("seed", F.col("list_id").alias("node")).distinct())
+        reached, _ = walk(start, up)
+        own = reached.join(start.withColumn("direct", F.lit(True)), ["seed", "node"], "left").select("seed", "node", F.coalesce("direct", F.lit(False)).alias("direct"), "depth")
+        self.sets = self.keyed = None
+        if covers is not None:
+            mine = nodes.join(covers, F.col("node") == F.col("owner")).select(F.col("seed").alias("owner"), "cell")
+            over = ancestor_probe(mine, region_cells).join(region_parents.select("region_id").distinct(), "region_id", "left_semi")
+            under = over.groupBy(F.col("owner").alias("seed")).agg(F.array_sort(F.collect_set("region_id")).alias("regions"))
+            self.keyed = cut(under.select("seed", "regions", F.sha2(F.to_json("regions"), 256).alias("key")))
+            each = self.keyed.dropDuplicates(["key"]).select("key", F.explode("regions").alias("region_id"))
+            above, _ = walk(region_parents.select(F.col("region_id").alias("seed"), F.col("list_id").alias("node")), up)
+            self.sets = cut(each.join(above.withColumnRenamed("seed", "region_id"), "region_id").groupBy("key", "node").agg(F.min("depth").alias("depth")))
+            own = own.join(self.keyed.select("seed", "key"), "seed", "left")
+            # What both reach is the seed's own, at the lesser depth.
+            own = own.join(self.sets.select("key", "node", F.col("depth").alias("other")), ["key", "node"], "left")
+            own = own.select("seed", "node", "direct", F.least("depth", "other").alias("depth"), "key", F.col("other").isNotNull().alias("both"))
+        self.own = cut(own)
+
+    @property
+    def lots(self) -> DataFrame:
+        """``seed, list_id, resolution, depth``: seeds meet the lots of their regions part by part, so what is sent grows with seeds and lots, not with their product."""
+        label = F.when(F.col("direct"), "match").otherwise("contained")
+        own = self.own.select("seed", F.col("node").alias("list_id"), label.alias("resolution"), "depth")
+        if self.sets is None:
+            return own
+        sets = self.sets.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+        # A seed's own lots are left out part by part; lists of a part are short.
+        taken = self.own.filter("both").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS))).groupBy("seed", "part").agg(F.collect_list("node").alias("taken"))
+        parts = self.keyed.select("seed", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part")).join(taken, ["seed", "part"], "left")
+        rest = parts.join(sets, ["key", "part"]).filter(F.col("taken").isNull() | ~F.array_contains("taken", F.col("node")))
+        return own.unionByName(rest.select("seed", F.col("node").alias("list_id"), F.lit("contained").alias("resolution"), "depth"))
+
+    @property
+    def labels(self) -> DataFrame:
+        """``seed, resolution, lots``: how many of each resolution, without the lots themselves."""
+        match = self.own.filter("direct").groupBy("seed").agg(F.count("*").alias("lots")).select("seed", F.lit("match").alias("resolution"), "lots")
+        rest = self.own.filter("not direct").select("seed", F.lit(1).cast("long").alias("n"))
+        if self.sets is not None:
+            sizes = self.keyed.select("seed", "key").join(self.sets.groupBy("key").agg(F.count("*").alias("n")), "key").select("seed", "n")
+            twice = self.own.filter("both").select("seed", F.lit(-1).cast("long").alias("n"))
+            rest = rest.unionByName(sizes).unionByName(twice)
+        rest = rest.groupBy("seed").agg(F.sum("n").alias("lots")).filter("lots > 0")
+        return match.unionByName(rest.select("seed", F.lit("contained").alias("resolution"), "lots"))
+
+
 def trace_forward(seeds: DataFrame, members: DataFrame, list_parents: DataFrame, aliases: DataFrame | None = None, covers: DataFrame | None = None, region_cells: DataFrame | None = None, region_parents: DataFrame | None = None) -> DataFrame:
     """``seed, list_id, resolution, depth``: all lots that contain a seed plot.
 
@@ -70,16 +133,7 @@ def trace_forward(seeds: DataFrame, members: DataFrame, list_parents: DataFrame,
     ``covers(owner, cell)``, ``region_cells(region_id, cell)``,
     ``region_parents(region_id, list_id)``.
     """
-    nodes = seeds.select("seed", F.col("seed").alias("node")) if aliases is None else equivalence_set(seeds, aliases)
-    start = nodes.join(members, F.col("node") == F.col("geoid")).select("seed", F.col("list_id").alias("node"), F.lit(0).alias("rank"))
-    if covers is not None:
-        mine = nodes.join(covers, F.col("node") == F.col("owner")).select(F.col("seed").alias("owner"), "cell")
-        over = ancestor_probe(mine, region_cells).join(region_parents, "region_id").select(F.col("owner").alias("seed"), F.col("list_id").alias("node"), F.lit(1).alias("rank"))
-        start = start.unionByName(over)
-    start = cut(start.groupBy("seed", "node").agg(F.min("rank").alias("rank")))
-    reached, _ = walk(start, list_parents.select(F.col("child").alias("source"), F.col("parent").alias("target")))
-    direct = start.filter("rank = 0").select("seed", "node", F.lit("match").alias("direct"))
-    return reached.join(direct, ["seed", "node"], "left").select("seed", F.col("node").alias("list_id"), F.coalesce("direct", F.lit("contained")).alias("resolution"), "depth")
+    return TraceForward(seeds, members, list_parents, aliases, covers, region_cells, region_parents).lots
 
 
 class TraceBack:

@@ -18,19 +18,23 @@ def _seeds(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     return read(spark, d, "part").filter(F.lit(True) if whole else "p_brand = 'Brand#11'").select(named("P", F.col("p_partkey")).alias("seed"))
 
 
-def trace_forward(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return trace.trace_forward(
+def _forward(spark: SparkSession, d: str, whole: bool = False) -> trace.TraceForward:
+    return trace.TraceForward(
         _seeds(spark, d, whole), lenses.members(spark, d), lenses.list_parents(spark, d), lenses.aliases(spark, d),
         lenses.covers(spark, d), lenses.region_cells(spark, d), lenses.region_parents(spark, d),
     )
 
 
+def trace_forward(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _forward(spark, d, whole).lots
+
+
 def trace_forward_direct(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     return trace.trace_forward(_seeds(spark, d, whole), lenses.members(spark, d), lenses.list_parents(spark, d))
 
 
 def trace_forward_labels(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return trace_forward(spark, d, whole).groupBy("seed", "resolution").agg(F.count("*").alias("lots"))
+    return _forward(spark, d, whole).labels
 
 
 def _back(spark: SparkSession, d: str, depth: int = 64, roots: DataFrame | None = None, whole: bool = False) -> trace.TraceBack:
@@ -74,7 +78,9 @@ def reverse_lookup(spark: SparkSession, d: str, whole: bool = False) -> DataFram
 
 def region_ancestor_probe(spark: SparkSession, d: str) -> DataFrame:
     found = trace.ancestor_probe(lenses.covers(spark, d), lenses.region_cells(spark, d))
-    return found.join(lenses.region_parents(spark, d), "region_id", "left").groupBy("owner", "region_id").agg(F.count("list_id").alias("lists"))
+    # Lists are counted before they meet the owners, whose rows each list would repeat.
+    lists = lenses.region_parents(spark, d).groupBy("region_id").agg(F.count("list_id").alias("lists"))
+    return found.join(lists, "region_id", "left").select("owner", "region_id", F.coalesce("lists", F.lit(0)).alias("lists"))
 
 
 def region_member_plots(spark: SparkSession, d: str) -> DataFrame:

@@ -165,3 +165,26 @@ def test_depth_is_clamped(spark, depth, most):
     m, up = members(spark, [("a", "g")]), edges(spark, [("a", "b"), ("b", "c"), ("c", "d")])
     back = trace.TraceBack(spark.createDataFrame([("d",)], "root string"), m, up, spark.createDataFrame([], NONE), depth=depth)
     assert back.summary.first()["max_depth"] == most
+
+
+def test_lots_of_regions_once(spark):
+    """Seeds under the same regions share one walk; what a seed reaches by itself too comes once, at its least depth, and counts agree."""
+    top = 1 << 60
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    s = rows([(f"p{i}",) for i in range(6)], "seed string")
+    covers = rows([(f"p{i}", top - 2**40 * (1 + 2 * i)) for i in range(5)], "owner string, cell long")
+    regions = rows([("g1", top), ("g2", top)], "region_id string, cell long")
+    lots = rows([("g1", "r1"), ("g2", "r2"), ("g2", "own")], "region_id string, list_id string")
+    m = rows([("own", "p0"), ("alone", "p1"), ("own", "p5")], "list_id string, geoid string")
+    up = rows([("own", "c"), ("c", "n"), ("r1", "n"), ("alone", "far")], "child string, parent string")
+    found = trace.TraceForward(s, m, up, rows([], "alias string, canonical string, relation string"), covers, regions, lots)
+    shared = {("r1", "contained", 0), ("r2", "contained", 0), ("own", "contained", 0), ("c", "contained", 1), ("n", "contained", 1)}
+    want = {(f"p{i}", *x) for i in range(5) for x in shared} - {("p0", "own", "contained", 0)} | {("p0", "own", "match", 0), ("p1", "alone", "match", 0), ("p1", "far", "contained", 1)}
+    want |= {("p5", "own", "match", 0), ("p5", "c", "contained", 1), ("p5", "n", "contained", 2)}
+    got = [(r["seed"], r["list_id"], r["resolution"], r["depth"]) for r in found.lots.collect()]
+    assert sorted(got) == sorted(want)
+    assert found.sets.count() == len(shared)
+    counts = {}
+    for seed, _, resolution, _ in want:
+        counts[seed, resolution] = counts.get((seed, resolution), 0) + 1
+    assert {(r["seed"], r["resolution"]): r["lots"] for r in found.labels.collect()} == counts
