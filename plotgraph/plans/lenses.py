@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from ..functions.lineage import spread
+
+
+#: Rows of a table that are one task's input where each makes several or costs much.
+ROWS = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +61,7 @@ def leaf(key: Column) -> Column:
 
 def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as plots of a few cells; groups of five share a place: some equal, some overlapping, some nested."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"))
+    p = spread(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n")), ROWS)
     base = cells.parent(leaf(F.col("k") - F.col("k") % 5), 14)
     kids = F.slice(cells.children(base), 1, F.col("n") % 4 + 1)
     inner = F.array(cells.parent(leaf(F.col("k") - F.col("k") % 5), 16))
@@ -71,7 +76,7 @@ def region_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as point plots."""
-    c = read(spark, sf_dir, "customer")
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), ROWS)
     k = F.col("c_custkey")
     return c.select(named("C", k).alias("geo_id"), (F.lit(14.0) + F.pmod(k * 7919, F.lit(100000)) / 100000.0).alias("lat"), (F.lit(-89.0) + F.pmod(k * 104729, F.lit(200000)) / 100000.0).alias("lng"), (F.pmod(k, F.lit(50)) / 10.0).alias("declared_area"), k.alias("k"), "c_nationkey", "c_acctbal", "c_mktsegment")
 

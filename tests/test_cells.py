@@ -114,3 +114,15 @@ def test_shared_cells_are_what_two_covers_have_in_common(spark):
     for r in overlap.shared_cells(pairs, covers).collect():
         got.setdefault((r["a"], r["b"]), set()).add(r["cell"])
     assert got == {("whole", "two"): set(kids[:2]), ("two", "fine"): {*grand[:3], kids[1]}, ("whole", "all"): {base}}
+
+
+def test_tables_of_one_small_file_are_dealt(spark, tmp_path):
+    """Points and covers of a file that is one task's input are made in several tasks."""
+    from plotgraph.plans import lenses
+
+    n = 2 * lenses.ROWS + 1
+    key = spark.range(1, n + 1)
+    key.selectExpr("id as c_custkey", "0L as c_nationkey", "0D as c_acctbal", "'x' as c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    key.selectExpr("id as p_partkey", "id % 4 as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (lenses.points, lenses.covers):
+        assert made(spark, str(tmp_path)).rdd.getNumPartitions() == 3
