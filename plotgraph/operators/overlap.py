@@ -11,32 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from ..functions.lineage import cut
 
 
 def cover_overlap(pairs: DataFrame, covers: DataFrame) -> DataFrame:
     """``a, b, leaves_a, leaves_b, shared, iou, containment`` of every pair ``pairs(a, b)``.
 
     ``covers(owner, cell)`` are normalised (see ``cells.drop_covered`` for mixed
-    levels).  ``containment`` is the shared part of the smaller cover.  A cover
+    levels), of any size, so no join is broadcast.  ``containment`` is the shared part of the smaller cover.  A cover
     without cells overlaps nothing: 0 in all.
     """
-    wanted = pairs.select("a", "b").distinct()
     each = covers.select("owner", "cell").distinct()
-    size = each.groupBy("owner").agg(F.sum(cells.leaf_count(F.col("cell"))).alias("leaves"))
+    # Of a cell only the ancestors at levels that the other cover has can be among its cells.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cells.level(F.col("cell")))
+    per = each.groupBy("owner").agg(F.sum(cells.leaf_count(F.col("cell"))).alias("leaves"), F.bit_or(bit).alias("levels"))
+    wanted = pairs.select("a", "b").distinct()
+    for x in ("a", "b"):
+        wanted = wanted.join(per.select(F.col("owner").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("leaves", "levels")]).hint("merge"), x, "left")
+    wanted = cut(wanted)
 
     def inside(x: str, y: str, proper: bool) -> DataFrame:
         """Leaves of x's cells that lie in a cell of y."""
-        mine = wanted.join(each, F.col(x) == F.col("owner")).select("a", "b", F.col("cell").alias("fine"))
-        up = mine.select("a", "b", "fine", F.explode(cells.ancestors(F.col("fine"))).alias("up"))
-        if proper:
-            up = up.filter("up <> fine")
-        hit = up.join(each, (F.col(y) == F.col("owner")) & (F.col("up") == F.col("cell")))
+        mine = wanted.join(each.withColumnRenamed("owner", x).withColumnRenamed("cell", "fine").hint("merge"), x).select("a", "b", "fine", F.col(f"levels_{y}").alias("levels"))
+        finest = cells.level(F.col("fine"))
+        held = lambda at: F.call_function("shiftright", F.col("levels"), at).bitwiseAND(F.lit(1)) == 1
+        up = F.transform(F.filter(F.sequence(F.lit(0), finest), lambda at: held(at) & ((at < finest) if proper else F.lit(True))), lambda at: cells.parent(F.col("fine"), at))
+        up = mine.select("a", "b", "fine", F.explode(up).alias("cell"))
+        hit = up.join(each.withColumnRenamed("owner", y).hint("merge"), [y, "cell"])
         return hit.groupBy("a", "b").agg(F.sum(cells.leaf_count(F.col("fine"))).alias("leaves"))
 
     shared = inside("a", "b", False).unionByName(inside("b", "a", True)).groupBy("a", "b").agg(F.sum("leaves").alias("shared"))
-    out = wanted.join(shared, ["a", "b"], "left")
-    for x in ("a", "b"):
-        out = out.join(size.select(F.col("owner").alias(x), F.col("leaves").alias(f"leaves_{x}")), x, "left")
+    out = wanted.join(shared.hint("merge"), ["a", "b"], "left")
     zero = F.lit(0).cast("long")
     out = out.select("a", "b", *[F.coalesce(c, zero).alias(c) for c in ("leaves_a", "leaves_b", "shared")])
     union, least = F.col("leaves_a") + F.col("leaves_b") - F.col("shared"), F.least("leaves_a", "leaves_b")

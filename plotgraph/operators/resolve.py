@@ -24,7 +24,7 @@ def candidates(probes: DataFrame, registered: DataFrame, level: int = 13) -> Dat
     key = F.when(cells.level(F.col("cell")) > level, cells.parent(F.col("cell"), level)).otherwise(F.col("cell")).alias("key")
     left = probes.select(F.col("owner").alias("a"), key).distinct()
     right = registered.select(F.col("owner").alias("b"), key).distinct()
-    return left.join(right, "key").filter("a <> b").select("a", "b").distinct()
+    return left.join(right.hint("merge"), "key").filter("a <> b").select("a", "b").distinct()
 
 
 def score(probes: DataFrame, registered: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -126,3 +126,14 @@ def test_tables_of_one_small_file_are_dealt(spark, tmp_path):
     key.selectExpr("id as p_partkey", "id % 4 as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for made in (lenses.points, lenses.covers):
         assert made(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_overlap_of_large_covers_is_not_sent_to_the_driver(spark):
+    from plotgraph.operators import overlap
+
+    top = 1 << 60
+    low = top - 3 * (top >> 2)
+    covers = spark.createDataFrame([("a", top), ("b", low), ("c", low), ("c", top + 3 * (top >> 2))], "owner string, cell long")
+    found = overlap.cover_overlap(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("a", "none")], "a string, b string"), covers)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    assert {(r["a"], r["b"]): (r["iou"], r["containment"]) for r in found.collect()} == {("a", "b"): (0.25, 1.0), ("b", "a"): (0.25, 1.0), ("c", "b"): (0.5, 1.0), ("a", "none"): (0.0, 0.0)}
