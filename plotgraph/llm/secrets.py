@@ -37,7 +37,7 @@ LEAST = 12  # characters that are assigned
 
 #: A candidate is a run of a credential's characters, with up to two signs of padding behind.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{16,}={0,2}")
-LONGEST = 512  # longer runs are no credential of any format
+REMEMBERED = 512  # characters of a run whose score is kept for its repeats
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_.-=")
 #: Of the candidates in ordinary text one in a hundred thousand is taken to be a secret that no pattern finds.
 ODDS = math.log(1e5)
@@ -383,7 +383,7 @@ def _spans(texts: list[str | None], model: Model, judge) -> list[list[dict]]:
             while m[0][b - a - 1] in ".-/" and b - a > 16:
                 b -= 1
             before = bisect_left(begins, b)
-            if b - a <= LONGEST and not (before and reach[before - 1] > a):
+            if not (before and reach[before - 1] > a):
                 score, name = judge(text[a:b])
                 if score >= model.threshold:
                     found.append((a, b, "format", name, score))
@@ -415,7 +415,9 @@ def scan(docs: DataFrame, per_format: int = 250, plain: int = 500) -> DataFrame:
     model = fit(per_format, plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = functools.lru_cache(100_000)(model.score)
+        kept = functools.lru_cache(100_000)(model.score)
+        # Runs are judged however long; long ones aren't kept, so the memory has a bound.
+        judge = lambda text: kept(text) if len(text) <= REMEMBERED else model.score(text)
         for batch in pieces(batches, "text"):
             spans = pa.array(_spans(batch.column("text").to_pylist(), model, judge), _SPAN_TYPE)
             yield pa.RecordBatch.from_arrays([*batch.columns, spans], names=[*batch.schema.names, "secrets"])
