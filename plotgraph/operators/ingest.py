@@ -36,7 +36,7 @@ def import_fields(fields: DataFrame, aliases: DataFrame, links: DataFrame, known
     later fields meet.  Hashes that are null equal nothing.
     """
     done = aliases.select("v1_geo_id", F.col("geo_id").alias("done")).dropDuplicates(["v1_geo_id"])
-    rows = fields.join(done, "v1_geo_id", "left")
+    rows = fields.join(done.hint("merge"), "v1_geo_id", "left")
     open_rows = rows.filter("done is null and error is null")
     # A row without a hash is a group of its own.
     same_hash = Window.partitionBy(F.coalesce("content_hash", F.concat(F.lit("none:"), F.col("v1_geo_id")))).orderBy("position", "v1_geo_id")
@@ -45,13 +45,13 @@ def import_fields(fields: DataFrame, aliases: DataFrame, links: DataFrame, known
     plots = rows.filter("done = geo_id and content_hash is not null").select("content_hash", "geo_id")
     if known_hashes is not None:
         plots = plots.unionByName(known_hashes.filter("content_hash is not null").select("content_hash", "geo_id"))
-    open_rows = open_rows.join(plots.groupBy("content_hash").agg(F.min("geo_id").alias("held")), "content_hash", "left")
+    open_rows = open_rows.join(plots.groupBy("content_hash").agg(F.min("geo_id").alias("held")).hint("merge"), "content_hash", "left")
     fresh = open_rows.filter("held is null and v1_geo_id = lead")
     field, plot = lambda c: F.concat(F.lit("field:"), F.col(c)), lambda c: F.concat(F.lit("plot:"), F.col(c))
     # The fields of earlier runs are known by their plots.
     nodes = fresh.select("v1_geo_id", field("v1_geo_id").alias("node")).unionByName(rows.filter("done = geo_id").select("v1_geo_id", plot("done").alias("node")))
     ends = lambda x: nodes.select(F.col("v1_geo_id").alias(x), F.col("node").alias(f"node_{x}"))
-    linked = links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "relation", "score")
+    linked = links.join(ends("a").hint("merge"), "a").join(ends("b").hint("merge"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "relation", "score")
     if dry_run:
         linked = linked.filter("a like 'plot:%' or b like 'plot:%'")
     if registered is not None:
@@ -61,12 +61,12 @@ def import_fields(fields: DataFrame, aliases: DataFrame, links: DataFrame, known
     held = linked.select(F.explode(F.array("a", "b")).alias("id")).filter("id like 'plot:%'").distinct().select("id", F.lit(None).cast("long").alias("at"), F.expr("substr(id, 6)").alias("name"), F.lit(True).alias("registered"))
     decided = resolve_batch(ids.unionByName(held), linked)
     names = ids.unionByName(held).select(F.col("id").alias("target"), F.col("name").alias("target_id"))
-    decided = decided.join(names, "target", "left").join(fresh.select(field("v1_geo_id").alias("id"), "v1_geo_id", "geo_id"), "id")
+    decided = decided.join(names.hint("merge"), "target", "left").join(fresh.select(field("v1_geo_id").alias("id"), "v1_geo_id", "geo_id").hint("merge"), "id")
     same = F.col("outcome") == "same_as"
     none = F.lit(None).cast("string")
     decided = cut(decided.select("v1_geo_id", F.when(same, "same_as").otherwise("new").alias("outcome"), F.when(same, F.col("target_id")).otherwise(F.col("geo_id")).alias("target"), F.when(F.col("outcome") == "child_of", F.col("target_id")).alias("parent")))
     again = open_rows.filter("held is not null or v1_geo_id <> lead").select("v1_geo_id", "lead", "held")
-    again = again.join(decided.select(F.col("v1_geo_id").alias("lead"), F.col("target").alias("led")), "lead", "left")
+    again = again.join(decided.select(F.col("v1_geo_id").alias("lead"), F.col("target").alias("led")).hint("merge"), "lead", "left")
     parts = [
         rows.filter("done is not null").select("v1_geo_id", F.lit("skipped_already_done").alias("outcome"), F.col("done").alias("target"), none.alias("parent")),
         rows.filter("done is null and error is not null").select("v1_geo_id", F.concat(F.lit("quarantined:"), reason_of(F.col("error"))).alias("outcome"), none.alias("target"), none.alias("parent")),
@@ -150,7 +150,7 @@ def associations(claims: DataFrame, aliases: DataFrame, plots: DataFrame) -> Dat
 
     ``mapped``, ``v1_not_in_alias_table`` or ``alias_points_at_missing_geoid``.
     """
-    a = claims.join(aliases.select("v1_geo_id", "geo_id"), "v1_geo_id", "left").join(plots.select("geo_id").distinct().withColumn("there", F.lit(True)), "geo_id", "left")
+    a = claims.join(aliases.select("v1_geo_id", "geo_id").hint("merge"), "v1_geo_id", "left").join(plots.select("geo_id").distinct().withColumn("there", F.lit(True)).hint("merge"), "geo_id", "left")
     status = F.when(F.col("geo_id").isNull(), "v1_not_in_alias_table").when(F.col("there").isNull(), "alias_points_at_missing_geoid").otherwise("mapped")
     return a.select("source_key", "v1_geo_id", "geo_id", status.alias("status"))
 

@@ -78,7 +78,7 @@ def join_health(fields: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def orphan_refs(fields: DataFrame, claims: DataFrame) -> DataFrame:
-    return claims.join(fields.select("v1_geo_id").distinct(), "v1_geo_id", "left_anti").select("source_key", "v1_geo_id")
+    return claims.join(fields.select("v1_geo_id").distinct().hint("merge"), "v1_geo_id", "left_anti").select("source_key", "v1_geo_id")
 
 
 def unclaimed_fields(fields: DataFrame, claims: DataFrame) -> DataFrame:
@@ -95,8 +95,8 @@ def clusters(fields: DataFrame, claims: DataFrame) -> DataFrame:
     """``key, members, owners, stratum``: level-13 keys shared by fields, and whether several profiles claim among them."""
     keyed = fields.select(F.coalesce("l13", "v1_geo_id").alias("key"), "v1_geo_id")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members >= 2")
-    owned = keyed.join(claims, "v1_geo_id").groupBy("key").agg(F.countDistinct("source_key").alias("owners"))
-    out = sizes.join(owned, "key", "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
+    owned = keyed.join(claims.hint("merge"), "v1_geo_id").groupBy("key").agg(F.countDistinct("source_key").alias("owners"))
+    out = sizes.join(owned.hint("merge"), "key", "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
     return out.withColumn("stratum", F.when(F.col("owners") > 1, PRIORITY[0]).otherwise(PRIORITY[1]))
 
 
@@ -107,21 +107,21 @@ def strata(fields: DataFrame, claims: DataFrame, cap: int = 200) -> DataFrame:
     profile) and ``item`` (of the claim in it).
     """
     f = fields.select("v1_geo_id", "position", "kind", "wkt", "area", F.coalesce("l13", "v1_geo_id").alias("key"))
-    first = clusters(fields, claims).join(f, "key").groupBy("key").agg(F.min("position").alias("start"))
-    clustered = clusters(fields, claims).join(first, "key").join(f, "key").select("stratum", "v1_geo_id", F.col("start").alias("x"), F.col("position").alias("y"))
+    first = f.groupBy("key").agg(F.min("position").alias("start"))
+    clustered = clusters(fields, claims).join(first.hint("merge"), "key").join(f.hint("merge"), "key").select("stratum", "v1_geo_id", F.col("start").alias("x"), F.col("position").alias("y"))
     zero = F.lit(0).cast("long")
 
     def of(name: str, condition: Column) -> DataFrame:
         return f.filter(condition).select(F.lit(name).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), zero.alias("y"))
 
-    known = claims.join(f.select("v1_geo_id").distinct().withColumn("known", F.lit(True)), "v1_geo_id", "left")
+    known = claims.join(f.select("v1_geo_id").distinct().withColumn("known", F.lit(True)).hint("merge"), "v1_geo_id", "left")
     per = known.groupBy("source_key").agg(F.count_if(F.col("known").isNull()).alias("missing"), F.count("*").alias("n"))
-    claimed = known.filter("known").join(per, "source_key")
+    claimed = known.filter("known").join(per.hint("merge"), "source_key")
     by_claim = lambda name, condition: claimed.filter(condition).select(F.lit(name).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), F.col("item").alias("y"))
     parts = [
         clustered, of(PRIORITY[2], F.col("kind") == "uuid"), of(PRIORITY[3], F.col("kind") == "l20_hash"), of(PRIORITY[4], ~has_geometry(F.col("wkt"))),
         of(PRIORITY[5], has_geometry(F.col("wkt")) & ~parseable(F.col("wkt"))), of(PRIORITY[6], F.coalesce(F.col("area") <= 0, F.lit(True))), by_claim(PRIORITY[7], F.col("missing") > 0),
-        f.join(claims.select("v1_geo_id").distinct(), "v1_geo_id", "left_anti").select(F.lit(PRIORITY[8]).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), zero.alias("y")),
+        f.join(claims.select("v1_geo_id").distinct().hint("merge"), "v1_geo_id", "left_anti").select(F.lit(PRIORITY[8]).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), zero.alias("y")),
         by_claim(PRIORITY[9], (F.col("n") >= MANY_FIELDS) & (F.col("item") < cap)),
         f.select(F.concat(F.lit("area_"), area_band(F.col("area"))).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), zero.alias("y")),
     ]
@@ -167,5 +167,5 @@ def budgeted_sample(fields: DataFrame, claims: DataFrame, budget: int = 3000, ca
 def sampled_profiles(profiles: DataFrame, claims: DataFrame, fields: DataFrame, chosen: DataFrame) -> DataFrame:
     """``source_key`` of profiles that own a chosen field, have none, or hold a reference to an unknown field."""
     owning = claims.join(chosen.select("v1_geo_id").distinct(), "v1_geo_id", "left_semi").select("source_key")
-    without = profiles.select("source_key").join(claims.select("source_key").distinct(), "source_key", "left_anti")
-    return owning.unionByName(without).unionByName(orphan_refs(fields, claims).select("source_key")).distinct().join(profiles.select("source_key"), "source_key", "left_semi")
+    without = profiles.select("source_key").join(claims.select("source_key").distinct().hint("merge"), "source_key", "left_anti")
+    return owning.unionByName(without).unionByName(orphan_refs(fields, claims).select("source_key")).distinct().join(profiles.select("source_key").hint("merge"), "source_key", "left_semi")

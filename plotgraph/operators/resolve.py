@@ -94,20 +94,20 @@ def resolve_batch(plots: DataFrame, links: DataFrame) -> DataFrame:
     every = plots.select("id", "at", name.alias("name"), before.alias("registered"))
     order = every.filter("not registered").select("id", "at")
     both = links.select("a", "b", "relation", "score").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "relation", "score")).distinct()
-    placed = both.join(order.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(every.select(F.col("id").alias("b"), F.col("at").alias("at_b"), "name", "registered"), "b")
+    placed = both.join(order.select(F.col("id").alias("a"), F.col("at").alias("at_a")).hint("merge"), "a").join(every.select(F.col("id").alias("b"), F.col("at").alias("at_b"), "name", "registered").hint("merge"), "b")
     earlier = cut(placed.filter("registered or at_b < at_a or (at_b = at_a and b < a)").select("a", "b", "relation", "score", "name", "registered"))
     same = earlier.filter("relation = 'same_as'").select("a", "b")
-    state = cut(order.select("id").join(same.select(F.col("a").alias("id")).distinct(), "id", "left_semi").withColumn("canonical", F.lit(None).cast("boolean")))
-    free = order.select("id").join(same.select(F.col("a").alias("id")).distinct(), "id", "left_anti").withColumn("canonical", F.lit(True))
+    state = cut(order.select("id").join(same.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_semi").withColumn("canonical", F.lit(None).cast("boolean")))
+    free = order.select("id").join(same.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_anti").withColumn("canonical", F.lit(True))
     held = earlier.filter("registered").select(F.col("b").alias("id"), F.lit(True).alias("canonical")).distinct()
     state = cut(free.unionByName(state).unionByName(held))
     while not state.filter("canonical is null").isEmpty():
-        seen = same.join(state.select(F.col("id").alias("b"), "canonical"), "b").groupBy("a").agg(F.max(F.coalesce("canonical", F.lit(False))).alias("hit"), F.count(F.when(F.col("canonical").isNull(), 1)).alias("open"))
-        now = state.join(seen.withColumnRenamed("a", "id"), "id", "left")
+        seen = same.join(state.select(F.col("id").alias("b"), "canonical").hint("merge"), "b").groupBy("a").agg(F.max(F.coalesce("canonical", F.lit(False))).alias("hit"), F.count(F.when(F.col("canonical").isNull(), 1)).alias("open"))
+        now = state.join(seen.withColumnRenamed("a", "id").hint("merge"), "id", "left")
         decided = F.coalesce("canonical", F.when(F.col("hit"), F.lit(False)).when(F.col("open") == 0, F.lit(True)))
         state = cut(now.select("id", decided.alias("canonical")))
-    mine = earlier.join(state.select(F.col("id").alias("a"), F.col("canonical").alias("mine")), "a").join(state.filter("canonical").select(F.col("id").alias("b")), "b")
+    mine = earlier.join(state.select(F.col("id").alias("a"), F.col("canonical").alias("mine")).hint("merge"), "a").join(state.filter("canonical").select(F.col("id").alias("b")).hint("merge"), "b")
     fits = mine.filter("relation = if(mine, 'child_of', 'same_as')")
     top = best(fits.select("a", F.struct("name", "b").alias("b"), "relation", "score"))
-    out = state.join(order.select("id"), "id").join(top.withColumnRenamed("a", "id"), "id", "left")
+    out = state.join(order.select("id").hint("merge"), "id").join(top.withColumnRenamed("a", "id").hint("merge"), "id", "left")
     return out.select("id", F.coalesce("relation", F.lit("new")).alias("outcome"), F.col("b.b").alias("target"), "score")

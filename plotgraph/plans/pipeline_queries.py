@@ -42,9 +42,9 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
 def claims(spark: SparkSession, d: str) -> DataFrame:
     """Every line claims, for its customer, the field that begins its part's group of three (so fields inside groups are unclaimed); some customers claim a field that isn't there."""
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
-    pairs = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), (F.col("l_partkey") - F.col("l_partkey") % 3).alias("k")).distinct()
+    pairs = o.join(li.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), (F.col("l_partkey") - F.col("l_partkey") % 3).alias("k")).distinct()
     f = fields(spark, d).select("k", "v1_geo_id")
-    known = pairs.join(f, "k").select("c", "k", "v1_geo_id")
+    known = pairs.join(f.hint("merge"), "k").select("c", "k", "v1_geo_id")
     stray = read(spark, d, "customer").filter("c_custkey % 37 = 0").select(F.col("c_custkey").alias("c"), F.lit(1 << 40).cast("long").alias("k"), F.concat(F.lit("orphan-"), F.col("c_custkey").cast("string")).alias("v1_geo_id"))
     from pyspark.sql import Window
 

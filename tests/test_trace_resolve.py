@@ -188,3 +188,17 @@ def test_lots_of_regions_once(spark):
     for seed, _, resolution, _ in want:
         counts[seed, resolution] = counts.get((seed, resolution), 0) + 1
     assert {(r["seed"], r["resolution"]): r["lots"] for r in found.labels.collect()} == counts
+
+
+def test_import_sends_no_table_to_the_driver(spark):
+    """Joins of imports and inventories are never broadcast, whatever their sizes seem to be."""
+    from plotgraph.operators import ingest, inventory
+
+    claims = spark.createDataFrame([("s", "a")], "source_key string, v1_geo_id string")
+    aliases = spark.createDataFrame([("a", "g")], "v1_geo_id string, geo_id string")
+    found = ingest.associations(claims, aliases, aliases.select("geo_id"))
+    fields = spark.createDataFrame([("a", "k"), ("b", "k")], "v1_geo_id string, l13 string")
+    clusters = inventory.clusters(fields, claims)
+    for df in (found, clusters):
+        assert "Broadcast" not in df._jdf.queryExecution().toString()
+    assert [tuple(r) for r in clusters.collect()] == [("k", 2, 1, "l13_collision_cluster")]
