@@ -323,19 +323,13 @@ def longest_statement() -> int:
     return max(len(re.findall(r"[^\W_]+", t)) for texts in TEMPLATES.values() for t in texts)
 
 
-#: Words one of which every statement over several lines has, beside the long ones of the families' names.
-MARKS = ("license", "licence", "licensed", "licenced", "cc", "gpl")
-#: Letters from which on a word of a name stands for itself; shorter ones ("mit", "isc") stand with one of MARKS, or in a line.
-LONG = 5
-
-
 def name_words() -> list[str]:
     """Of every name of a family its longest word that isn't common: a passage that names the family has it."""
     return sorted({max((w for w in name.split(" ") if w not in COMMON), key=len) for names in NAMES.values() for name in names})
 
 
-def passages(docs: DataFrame, anchors: list[str], reach: int | None = None, named: list[str] | None = None, marks: list[str] | None = None) -> DataFrame:
-    """``doc_id, paragraph, lines, words``: each line with an anchor, and windows over joined lines that have a word of ``named``, of texts with one of ``marks`` (both are the anchors if they aren't given).
+def passages(docs: DataFrame, anchors: list[str], reach: int | None = None, named: list[str] | None = None) -> DataFrame:
+    """``doc_id, paragraph, lines, words``: each line with an anchor, and windows over joined lines that have a word of ``named`` (the anchors if it isn't given).
 
     A run of lines that aren't blank (a line without letters and digits is) is
     read as one text, however it was wrapped.  Windows of twice ``reach`` words
@@ -346,7 +340,7 @@ def passages(docs: DataFrame, anchors: list[str], reach: int | None = None, name
     than a window is read in windows only.
     """
     reach = reach or longest_statement()
-    known, naming, marking = (F.array(*map(F.lit, x)) for x in (anchors, named or anchors, marks or anchors))
+    known, naming = (F.array(*map(F.lit, x)) for x in (anchors, named or anchors))
     kind = "array<struct<paragraph:int,lines:int,words:array<string>>>"
 
     def line(text: Column, i: Column) -> Column:
@@ -366,8 +360,7 @@ def passages(docs: DataFrame, anchors: list[str], reach: int | None = None, name
     def found(lines: Column) -> Column:
         short = F.filter(lines, lambda x: x["hit"] & (F.size(x["w"]) <= 2 * reach))
         alone = F.transform(short, lambda x: F.struct(x["i"].alias("paragraph"), F.lit(1).alias("lines"), x["w"].alias("words"))).cast(kind)
-        # Marks are words of the vocabulary, so a line without an anchor has none.
-        several = F.exists(lines, lambda x: x["hit"] & F.arrays_overlap(x["w"], marking))
+        several = F.exists(lines, lambda x: F.arrays_overlap(x["w"], naming))
         return F.concat(alone, F.when(several, windows(lines)).otherwise(F.array().cast(kind)))
 
     every = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), line)
@@ -396,9 +389,8 @@ def licence_paragraphs(docs: DataFrame, model: dict, probability: float = 0.5, o
     """
     spark = docs.sparkSession
     families, k = model["families"], len(model["families"])
-    # A family that several lines state together is confirmed by its name only.
-    marks = sorted({*MARKS, *[w for w in name_words() if len(w) >= LONG]} & set(model["anchors"]))
-    line = passages(docs, model["anchors"], named=name_words(), marks=marks)
+    # A family that several lines state together is confirmed by its name only, so windows without a word of a name have nothing to report.
+    line = passages(docs, model["anchors"], named=name_words())
     grams = line.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "paragraph", "lines", F.explode_outer(ngrams(F.col("words"))).alias("gram"))
     weights = spark.createDataFrame(model["grams"], "gram string, w array<double>")
     hits = grams.join(F.broadcast(weights), "gram")  # weights: the templates' n-grams, a fixed number

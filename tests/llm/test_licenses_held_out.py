@@ -120,3 +120,12 @@ def test_very_long_text_of_short_lines(spark, model):
     got = {r["doc_id"]: r["licences"] for r in licenses.scan(docs, model).collect()}
     assert "mit" in got[1] and "agpl" in got[2]
     assert time.time() - began < 60
+
+
+def test_short_names_over_several_lines(spark):
+    """A name without any other word of licences, wrapped over lines, is in a window."""
+    docs = spark.createDataFrame([(1, "distributed under the\nMIT\nterms")], "doc_id long, text string")
+    model = licenses.fit(spark)
+    found = licenses.passages(docs, model["anchors"], named=licenses.name_words()).filter("lines is null").collect()
+    assert [r["words"] for r in found] == [["distributed", "under", "the", "mit", "terms"]]
+    assert licenses.scan(docs, model).first()["licences"] == ["mit"]
