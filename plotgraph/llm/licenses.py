@@ -244,7 +244,7 @@ PART = 10
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def ngrams(found: Column) -> Column:
@@ -257,6 +257,23 @@ def ngrams(found: Column) -> Column:
     return F.array_distinct(F.concat(found, *map(of, LENGTHS[1:])))
 
 
+def known_ngrams(found: Column, known: list[str]) -> Column:
+    """Those of ``ngrams`` that are ``known``; others are built only where each of their words stands in that place of a known one."""
+
+    def of(n: int) -> Column:
+        grams = [g.split(" ") for g in known if g.count(" ") == n - 1]
+        places = [sorted({g[k] for g in grams}) for k in range(n)]
+
+        def at(w: Column, i: Column) -> Column:
+            parts = [w, *[F.get(found, i + k) for k in range(1, n)]]
+            fits = functools.reduce(lambda a, b: a & b, [p.isin(x) for p, x in zip(parts, places, strict=True)])
+            return F.when(fits, F.concat_ws(" ", *parts))
+
+        return F.filter(F.transform(found, at), lambda g: g.isin([" ".join(g) for g in grams]))
+
+    return F.array_distinct(F.concat(*map(of, LENGTHS)))
+
+
 def _useful(found: Column) -> Column:
     """N-grams with a word that isn't common."""
     common = F.array(*map(F.lit, sorted(COMMON)))
@@ -325,12 +342,48 @@ def longest_statement() -> int:
 
 def name_words() -> list[str]:
     """Of every name of a family its longest word that isn't common: a passage that names the family has it."""
-    return sorted({max((w for w in name.split(" ") if w not in COMMON), key=len) for names in NAMES.values() for name in names})
+    return sorted({_own(name)[0] for names in NAMES.values() for name in names})
 
 
-def passages(docs: DataFrame, anchors: list[str], reach: int | None = None, named: list[str] | None = None) -> DataFrame:
+def _own(name: str) -> list[str]:
+    """The words of the name that aren't common, the longest first."""
+    return sorted((w for w in name.split(" ") if w not in COMMON), key=lambda w: -len(w))
+
+
+def needed_words(templates: list[list[str]], named: list[str], overlap: float) -> list[str] | None:
+    """Words of which a passage has one if it holds ``overlap`` or more of the n-grams of a template; None if it may have none.
+
+    Of each template words are chosen until too few n-grams for that overlap are
+    without a chosen word: those of ``named``, and common ones, only where no other is left.
+    """
+    needed: set[str] = set()
+    for grams in templates:
+        least = min(PART, next((n for n in range(len(grams) + 1) if n / len(grams) >= overlap), len(grams) + 1))
+        if least == 0:
+            return None
+        rest = [g.split(" ") for g in grams]
+        while len(rest) >= least:
+            held = {w: sum(w in g for g in rest) for g in rest for w in g}
+            word = min(held, key=lambda w: (w in named, w in COMMON, w not in needed, -held[w], w))
+            needed.add(word)
+            rest = [g for g in rest if word not in g]
+    return sorted(needed)
+
+
+def wanted_words(model: dict, overlap: float) -> list[tuple[list[str], ...]]:
+    """Of each name of a family each word that isn't common, then ``needed_words``: a passage that confirms a family by its name has one word of each list of an entry."""
+    out = []
+    for family in sorted(model["templates"]):
+        needed = needed_words(model["templates"][family], [_own(name)[0] for name in NAMES[family]], overlap)
+        out += [(*[[w] for w in _own(name)], *([needed] if needed is not None else [])) for name in NAMES[family]]
+    return out
+
+
+def passages(docs: DataFrame, anchors: list[str], reach: int | None = None, named: list[str] | None = None, wanted: list[tuple[list[str], ...]] | None = None) -> DataFrame:
     """``doc_id, paragraph, lines, words``: each line with an anchor, and windows over joined lines that have a word of ``named`` (the anchors if it isn't given).
 
+    If ``wanted`` is given, windows instead have a word of each list of one of its entries.
+
     A run of lines that aren't blank (a line without letters and digits is) is
     read as one text, however it was wrapped.  Windows of twice ``reach`` words
     begin every ``reach`` words (by default those of the longest template), so
@@ -340,11 +393,21 @@ def passages(docs: DataFrame, anchors: list[str], reach: int | None = None, name
     than a window is read in windows only.
     """
     reach = reach or longest_statement()
-    known, naming = (F.array(*map(F.lit, x)) for x in (anchors, named or anchors))
+    wanted = wanted or [(named or anchors,)]
+    naming = sorted({w for entry in wanted for w in entry[0]})
+    marks = sorted({*anchors, *(w for entry in wanted for x in entry for w in x)})
+    entries = F.from_json(F.lit(json.dumps(wanted)), "array<array<array<string>>>")
     kind = "array<struct<paragraph:int,lines:int,words:array<string>>>"
 
+    def marked(found: Column) -> Column:
+        return F.filter(found, lambda w: w.isin(marks))
+
+    def held(mark: Column) -> Column:
+        full = F.exists(entries, lambda entry: F.forall(entry, lambda x: F.arrays_overlap(x, mark)))
+        return F.exists(mark, lambda w: w.isin(naming)) & full
+
     def line(text: Column, i: Column) -> Column:
-        return let(words(text), lambda w: F.struct(i.alias("i"), w.alias("w"), F.arrays_overlap(w, known).alias("hit")))
+        return let(words(text), lambda w: F.struct(i.alias("i"), w.alias("w"), marked(w).alias("mark")))
 
     def windows(lines: Column) -> Column:
         # Behind the mark that ends a run stands the number of the next one's first line; words hold no such mark.
@@ -353,14 +416,14 @@ def passages(docs: DataFrame, anchors: list[str], reach: int | None = None, name
         cut = let(flat, lambda f: F.transform(F.sequence(F.lit(0), F.size(f), F.lit(reach)), lambda at: F.slice(f, at + 1, 2 * reach)))
         text = lambda v: F.concat_ws(" ", v[0]["i"].cast("string"), F.array_join(F.transform(v, lambda e: e["w"]), " "))
         runs = lambda v: F.transform(F.split(text(v), "\x01"), lambda run: F.filter(F.split(run, " "), lambda w: w != ""))
-        held = F.filter(cut, lambda v: F.arrays_overlap(F.transform(v, lambda e: e["w"]), naming))
-        each = F.flatten(F.transform(held, lambda v: F.transform(runs(v), lambda r: F.struct(r[0].cast("int").alias("paragraph"), F.lit(None).cast("int").alias("lines"), F.slice(r, 2, 2 * reach).alias("words")))))
-        return F.filter(each, lambda x: F.arrays_overlap(x["words"], naming)).cast(kind)
+        kept = F.filter(cut, lambda v: let(marked(F.transform(v, lambda e: e["w"])), held))
+        each = F.flatten(F.transform(kept, lambda v: F.transform(runs(v), lambda r: F.struct(r[0].cast("int").alias("paragraph"), F.lit(None).cast("int").alias("lines"), F.slice(r, 2, 2 * reach).alias("words")))))
+        return F.filter(each, lambda x: let(marked(x["words"]), held)).cast(kind)
 
     def found(lines: Column) -> Column:
-        short = F.filter(lines, lambda x: x["hit"] & (F.size(x["w"]) <= 2 * reach))
+        short = F.filter(lines, lambda x: (F.size(x["w"]) <= 2 * reach) & F.exists(x["mark"], lambda w: w.isin(anchors)))
         alone = F.transform(short, lambda x: F.struct(x["i"].alias("paragraph"), F.lit(1).alias("lines"), x["w"].alias("words"))).cast(kind)
-        several = F.exists(lines, lambda x: F.arrays_overlap(x["w"], naming))
+        several = let(F.array_distinct(F.flatten(F.transform(lines, lambda x: x["mark"]))), held)
         return F.concat(alone, F.when(several, windows(lines)).otherwise(F.array().cast(kind)))
 
     every = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), line)
@@ -389,9 +452,11 @@ def licence_paragraphs(docs: DataFrame, model: dict, probability: float = 0.5, o
     """
     spark = docs.sparkSession
     families, k = model["families"], len(model["families"])
-    # A family that several lines state together is confirmed by its name only, so windows without a word of a name have nothing to report.
-    line = passages(docs, model["anchors"], named=name_words())
-    grams = line.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "paragraph", "lines", F.explode_outer(ngrams(F.col("words"))).alias("gram"))
+    # A family that several lines state together is confirmed by its name and an overlap only, so windows that can't have both have nothing to report.
+    line = passages(docs, model["anchors"], wanted=wanted_words(model, overlap))
+    # N-grams without a weight would find nothing in the join.
+    known = known_ngrams(F.col("words"), [g for g, _ in model["grams"]])
+    grams = line.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "paragraph", "lines", F.explode_outer(known).alias("gram"))
     weights = spark.createDataFrame(model["grams"], "gram string, w array<double>")
     hits = grams.join(F.broadcast(weights), "gram")  # weights: the templates' n-grams, a fixed number
     sums = hits.groupBy("row", "doc_id", "paragraph", "lines").agg(F.collect_list("gram").alias("grams"), *[F.sum(F.col("w")[i]).alias(f"m{i}") for i in range(k)])

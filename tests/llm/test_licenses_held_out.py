@@ -4,6 +4,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from plotgraph.llm import licenses
 
@@ -129,3 +130,53 @@ def test_short_names_over_several_lines(spark):
     found = licenses.passages(docs, model["anchors"], named=licenses.name_words()).filter("lines is null").collect()
     assert [r["words"] for r in found] == [["distributed", "under", "the", "mit", "terms"]]
     assert licenses.scan(docs, model).first()["licences"] == ["mit"]
+
+
+GERMAN = "Wir gehen mit ihm nach Hause,\ndanach mit dem Zug in die Stadt\nund mit allen ans Meer.\n" * 40
+
+
+def test_no_windows_without_words_of_a_statement(spark, model, monkeypatch):
+    """A name that is a frequent word of a language ("mit") makes no windows by itself; with a statement wrapped over lines it does."""
+    made, whole = [], licenses.passages
+    monkeypatch.setattr(licenses, "passages", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    docs = spark.createDataFrame([(1, GERMAN), (2, GERMAN + "Released under the\nMIT License.\n" + GERMAN)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan(docs, model).collect()}
+    assert got == {1: [], 2: ["mit"]}
+    windows = [r["doc_id"] for r in made[0].filter("lines is null").collect()]
+    assert windows == [2, 2]
+
+
+@pytest.mark.parametrize("overlap", [0.6, 0.2, 0.0])
+def test_windows_left_out_report_nothing(spark, model, monkeypatch, overlap):
+    """Paragraphs are the same as with a window wherever a line has a word of the vocabulary or of a name."""
+    stated = [t for _, t in HELD_OUT] + PLAIN + [t for ts in licenses.TEMPLATES.values() for t in ts]
+    texts = [re.sub(r"((?:\S+ ){3})", "\\1\n", t) for t in stated] + [f"{GERMAN}{t}\n{GERMAN}" for t in stated[::7]] + ["\n".join(stated)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+
+    def found():
+        rows = licenses.licence_paragraphs(docs, model, overlap=overlap).collect()
+        return sorted((r["doc_id"], r["paragraph"], r["lines"] or 0, r["family"], round(r["probability"], 9), round(r["overlap"], 9), r["confirmed"]) for r in rows)
+
+    got, whole = found(), licenses.passages
+    monkeypatch.setattr(licenses, "passages", lambda docs, anchors, **_: whole(docs, anchors, named=[*anchors, *licenses.name_words()]))
+    assert got == found() and any(r[2] == 0 for r in got)
+    docs.unpersist()
+
+
+def test_known_ngrams_against_all(spark, model):
+    """They are those of all n-grams that are known, in texts of any length, with repeats."""
+    known = [g for g, _ in model["grams"]]
+    texts = ["", "mit", "the mit", "under the", *[t for _, t in HELD_OUT], " ".join(t for _, t in HELD_OUT) * 2, *PLAIN]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("w", licenses.words(F.col("text")))
+    for r in docs.select("text", licenses.known_ngrams(F.col("w"), known).alias("got"), licenses.ngrams(F.col("w")).alias("every")).collect():
+        assert len(set(r["got"])) == len(r["got"])
+        assert set(r["got"]) == set(r["every"]) & set(known), r["text"]
+
+
+def test_needed_words():
+    """Without a needed word fewer n-grams of a template are left than its overlap takes."""
+    grams = ["licensed", "mit", "license", "licensed under", "the mit", "mit license", "licensed under the", "under the mit", "the mit license"]
+    assert licenses.needed_words([grams], ["mit"], 0.6) == ["license", "licensed"]
+    assert licenses.needed_words([["under the mit"]], ["mit"], 0.6) == ["the"]
+    assert licenses.needed_words([["mit"]], ["mit"], 0.6) == ["mit"]
+    assert licenses.needed_words([grams], ["mit"], 0.0) is None
