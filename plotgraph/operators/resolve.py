@@ -58,13 +58,14 @@ def earliest(passed: DataFrame, created: DataFrame) -> DataFrame:
 def near_points(probes: DataFrame, registered: DataFrame, metres: float = 10.0) -> DataFrame:
     """``a, b, metres``: registered points within ``metres`` of a probe, both ``(geo_id, lat, lng)``.
 
-    A probe looks into its level-20 cell and the eight around it.
+    A probe looks into its level-20 cell and the eight around it.  Registered
+    points are never broadcast: they may be many in a small compressed file.
     """
     keys = F.explode(cells.point_blocking_cells(cells.from_lat_lng(F.col("lat"), F.col("lng")))).alias("key")
     left = probes.select(F.col("geo_id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), keys)
     right = registered.select(F.col("geo_id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), cells.parent(cells.from_lat_lng(F.col("lat"), F.col("lng")), 20).alias("key"))
     away = metres_between(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
-    return left.join(right, "key").withColumn("metres", away).filter(F.col("metres") <= metres).select("a", "b", "metres").distinct()
+    return left.join(right.hint("merge"), "key").withColumn("metres", away).filter(F.col("metres") <= metres).select("a", "b", "metres").distinct()
 
 
 def points_in_covers(points: DataFrame, covers: DataFrame) -> DataFrame:
