@@ -20,7 +20,7 @@ def _seeds(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
 
 def _forward(spark: SparkSession, d: str, whole: bool = False) -> trace.TraceForward:
     return trace.TraceForward(
-        _seeds(spark, d, whole), lenses.members(spark, d), lenses.list_parents(spark, d), lenses.aliases(spark, d),
+        _seeds(spark, d, whole), lenses.members(spark, d, True), lenses.list_parents(spark, d), lenses.aliases(spark, d),
         lenses.covers(spark, d), lenses.region_cells(spark, d), lenses.region_parents(spark, d),
     )
 
@@ -30,7 +30,7 @@ def trace_forward(spark: SparkSession, d: str, whole: bool = False) -> DataFrame
 
 
 def trace_forward_direct(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return trace.trace_forward(_seeds(spark, d, whole), lenses.members(spark, d), lenses.list_parents(spark, d))
+    return trace.trace_forward(_seeds(spark, d, whole), lenses.members(spark, d, True), lenses.list_parents(spark, d))
 
 
 def trace_forward_labels(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:

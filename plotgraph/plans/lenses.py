@@ -21,9 +21,10 @@ def named(prefix: str, key: Column, width: int = 10) -> Column:
     return F.concat(F.lit(prefix), F.lpad(key.cast("string"), width, "0"))
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as lots of parts."""
-    return read(spark, sf_dir, "lineitem").select(named("O", F.col("l_orderkey")).alias("list_id"), named("P", F.col("l_partkey")).alias("geoid")).distinct()
+def members(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    """Orders as lots of parts; with ``repeats`` as the lines are."""
+    every = read(spark, sf_dir, "lineitem").select(named("O", F.col("l_orderkey")).alias("list_id"), named("P", F.col("l_partkey")).alias("geoid"))
+    return every if repeats else every.distinct()
 
 
 def list_parents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """What larger tables showed: joins that would be broadcast, and tables in between that outgrow the disk."""
 
-from plotgraph.operators import resolve
+import pytest
+
+from plotgraph.operators import resolve, trace
 
 
 def test_registered_points_are_not_broadcast(spark):
@@ -9,3 +11,72 @@ def test_registered_points_are_not_broadcast(spark):
     near = resolve.near_points(p, p)
     assert "Broadcast" not in near._jdf.queryExecution().toString()
     assert {(r["a"], r["b"]) for r in near.collect()} == {("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")}
+
+
+def _bytes(spark):
+    """Bytes in the folder of checkpoints."""
+    import os
+
+    from plotgraph.functions.lineage import shared_folder
+
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared_folder(spark).removeprefix("file:")) for f in files)
+
+
+def test_a_trace_keeps_no_row_for_each_seed_and_lot(spark):
+    """What is kept between the jobs of a trace grows with the lots that hold others, not with seeds and their lots."""
+    plots, lots = 200, 400
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    m = rows([(f"lot{(p * 7 + i * 5) % lots}", f"p{p}") for p in range(plots) for i in range(80)], "list_id string, geoid string")
+    up = rows([(f"lot{i}", f"case{i % 40}") for i in range(lots)] + [(f"case{i}", f"ship{i % 4}") for i in range(40)], "child string, parent string")
+    s = rows([(f"p{p}",) for p in range(plots)], "seed string")
+    before = _bytes(spark)
+    got = {tuple(r) for r in trace.trace_forward(s, m, up).collect()}
+    kept = _bytes(spark) - before
+    inside = {}
+    for r in m.collect():
+        inside.setdefault(r["geoid"], set()).add(int(r["list_id"][3:]))
+    want = {(p, f"lot{i}", "match", 0) for p, x in inside.items() for i in x}
+    want |= {(p, f"case{i % 40}", "contained", 1) for p, x in inside.items() for i in x} | {(p, f"ship{i % 4}", "contained", 2) for p, x in inside.items() for i in x}
+    assert got == want
+    assert kept < 5 * len(want)
+
+
+@pytest.mark.parametrize("busy,few,chunk", [(64, 100, 10), (0, 0, 1), (2, 10**9, 0)])
+def test_traces_by_every_way(spark, monkeypatch, busy, few, chunk):
+    """Lots of few and of many regions, members narrowed or not, lists in one piece or many: the same rows and counts."""
+    import random
+
+    monkeypatch.setattr(trace, "BUSY", busy)
+    # 0: members are always narrowed to the nodes first; 10**9: never.
+    monkeypatch.setattr(trace, "FEW", few)
+    split = trace._chunk
+    monkeypatch.setattr(trace, "_chunk", lambda *_: split(chunk))
+    rng, rows = random.Random(17), lambda data, schema: spark.createDataFrame(data, schema)
+    plots, lots, top = [f"p{i}" for i in range(12)], [f"l{i}" for i in range(30)], 1 << 60
+    m = [(rng.choice(lots), rng.choice(plots)) for _ in range(40)]
+    up = [(rng.choice(lots), rng.choice(lots)) for _ in range(45)]  # with cycles
+    alias = [("p0", "p1", "same_as"), ("p2", "p1", "same_as"), ("p3", "p4", "child_of")]
+    cells_of = {p: top - 2**50 + 2**20 * (2 * i + 1) for i, p in enumerate(plots[:8])} | {"p8": top + 2**40 + 1}
+    regions = [("g1", top), ("g2", top), ("g3", (top >> 60 << 60) - (1 << 50)), ("g4", top)]
+    of = [(f"g{rng.randint(1, 4)}", rng.choice(lots)) for _ in range(12)]
+    found = trace.TraceForward(
+        rows([(p,) for p in plots], "seed string"), rows(m, "list_id string, geoid string"), rows(up, "child string, parent string"), rows(alias, "alias string, canonical string, relation string"),
+        rows(list(cells_of.items()), "owner string, cell long"), rows(regions, "region_id string, cell long"), rows(of, "region_id string, list_id string"),
+    )
+    over = {(r["owner"], r["region_id"]) for r in trace.ancestor_probe(rows(list(cells_of.items()), "owner string, cell long"), rows(regions, "region_id string, cell long")).collect()}
+    want = {}
+    for p in plots:
+        nodes = {p} | {b for a, b, r in alias if r == "same_as" and a == p} | {a for a, b, r in alias if r == "same_as" and b == p}
+        own = {lot for lot, plot in m if plot in nodes}
+        front, depth, seen = own | {lot for g, lot in of if any((n, g) in over for n in nodes)}, 0, {}
+        while front:
+            seen |= {x: depth for x in front}
+            front, depth = {b for a, b in up if a in front} - set(seen), depth + 1
+        want |= {(p, x, "match" if x in own else "contained"): d for x, d in seen.items()}
+    got = [tuple(r) for r in found.lots.collect()]
+    assert sorted(got) == sorted((*k, d) for k, d in want.items())
+    counts = {}
+    for p, _, resolution in want:
+        counts[p, resolution] = counts.get((p, resolution), 0) + 1
+    assert {(r["seed"], r["resolution"]): r["lots"] for r in found.labels.collect()} == counts
+    assert {r[0] for r in over} and len(over) > len(cells_of)
