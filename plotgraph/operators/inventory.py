@@ -14,6 +14,8 @@ PRIORITY = (
     "profile_with_orphan_ref", "unclaimed_field", "profile_with_many_fields",
 )
 MANY_FIELDS = 10
+#: At most so many ids are sent to every task.
+SENT = 200_000
 
 
 def area_band(area: Column) -> Column:
@@ -100,29 +102,82 @@ def clusters(fields: DataFrame, claims: DataFrame) -> DataFrame:
     return out.withColumn("stratum", F.when(F.col("owners") > 1, PRIORITY[0]).otherwise(PRIORITY[1]))
 
 
-def strata(fields: DataFrame, claims: DataFrame, cap: int = 200) -> DataFrame:
+def claimed(claims: DataFrame) -> DataFrame:
+    """``v1_geo_id, least, most``: the ids that are claimed, with the first and the last of their owners."""
+    return cut(claims.groupBy("v1_geo_id").agg(F.min("source_key").alias("least"), F.max("source_key").alias("most")))
+
+
+def marked(claims: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``claims`` with ``name``: whether its id is one of ``ids(v1_geo_id)`` or missing.
+
+    A checked bound: up to ``SENT`` ids are sent to the claims, which needs no
+    shuffle of them; more meet them by sorting.
+    """
+    ids = cut(ids.filter("v1_geo_id is not null").select("v1_geo_id").distinct().withColumn(name, F.lit(True)))
+    found = claims.join(F.broadcast(ids) if ids.count() <= SENT else ids.hint("merge"), "v1_geo_id", "left")
+    return found.withColumn(name, F.col("v1_geo_id").isNull() | F.coalesce(name, F.lit(False)))
+
+
+def unknown(fields: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of ``claimed`` ids those of no field."""
+    return ids.select("v1_geo_id").join(fields.select("v1_geo_id").distinct().hint("merge"), "v1_geo_id", "left_anti")
+
+
+def _first_claims(claims: DataFrame, strange: DataFrame, cap: int) -> DataFrame:
+    """``stratum, v1_geo_id, x, y``: known claims of profiles with a reference to an unknown field, and of those with many fields, with the first ``cap`` ids of each.
+
+    Claims are read up to the place of the ``cap``-th such profile, and all of
+    them only if those hold fewer than ``cap`` ids: a claim beyond the place
+    comes after all that are read.
+    """
+    per = marked(claims, strange, "lost").groupBy("source_key").agg(F.max("lost").alias("lost"), F.count("*").alias("n"), F.max("position").alias("last"))
+    held = {PRIORITY[7]: F.col("lost"), PRIORITY[9]: F.col("n") >= MANY_FIELDS}
+    per = cut(per.filter(held[PRIORITY[7]] | held[PRIORITY[9]]))
+    flags = per.select("source_key", *[c.alias(name) for name, c in held.items()])
+    wanted = {PRIORITY[7]: F.lit(True), PRIORITY[9]: F.col("item") < cap}
+
+    lasts = {name: per.filter(condition & F.col("last").isNotNull()).select("last").orderBy("last").limit(cap).agg(F.max("last")).first()[0] for name, condition in held.items()}
+
+    def of(names: list[str], whole: bool) -> DataFrame:
+        """The claims of ``names`` up to their places, or all.  A claim without a position comes before the others."""
+        up_to = lambda last: F.col("position").isNull() if last is None else F.col("position").isNull() | (F.col("position") <= last)
+        rows = claims if whole else claims.filter(up_to(max((x for x in lasts.values() if x is not None), default=None)))
+        fits = F.array(*[F.when(F.col(name) & wanted[name] & (F.lit(True) if whole else up_to(lasts[name])), F.lit(name)) for name in names])
+        found = rows.join(flags.hint("merge"), "source_key").withColumn("names", F.array_compact(fits)).filter(F.size("names") > 0)
+        found = marked(found, strange, "unknown").filter(~F.col("unknown"))
+        return cut(found.select(F.explode("names").alias("stratum"), "v1_geo_id", F.col("position").alias("x"), F.col("item").alias("y")))
+
+    first, few = of(list(held), False), []
+    for name, condition in held.items():
+        more = lasts[name] is not None and not per.filter(condition & (F.col("last") > lasts[name])).isEmpty()
+        if more and first.filter(F.col("stratum") == name).select("v1_geo_id").distinct().count() < cap:
+            few.append(name)
+    return first.filter(~F.col("stratum").isin(few)).unionByName(of(few, True)) if few else first
+
+
+def strata(fields: DataFrame, claims: DataFrame, cap: int = 200, ids: DataFrame | None = None) -> DataFrame:
     """``stratum, v1_geo_id, place``: the members of each hazard in order, without repeats, at most ``cap`` of each.
 
     ``fields`` also has ``position``; ``claims`` also ``position`` (of the
-    profile) and ``item`` (of the claim in it).
+    profile) and ``item`` (of the claim in it).  ``ids``: ``claimed(claims)``,
+    if it is there already.
     """
+    ids = claimed(claims) if ids is None else ids
     f = fields.select("v1_geo_id", "position", "kind", "wkt", "area", F.coalesce("l13", "v1_geo_id").alias("key"))
-    first = f.groupBy("key").agg(F.min("position").alias("start"))
-    clustered = clusters(fields, claims).join(first.hint("merge"), "key").join(f.hint("merge"), "key").select("stratum", "v1_geo_id", F.col("start").alias("x"), F.col("position").alias("y"))
+    # Whether several profiles claim among the fields of a key is seen by the first and the last of them.
+    owners = f.select("key", "v1_geo_id").join(ids.hint("merge"), "v1_geo_id").groupBy("key").agg((F.min("least") != F.max("most")).alias("several"))
+    groups = f.groupBy("key").agg(F.count("*").alias("members"), F.min("position").alias("start")).filter("members >= 2").join(owners.hint("merge"), "key", "left")
+    groups = groups.select("key", "start", F.when(F.col("several"), PRIORITY[0]).otherwise(PRIORITY[1]).alias("stratum"))
+    clustered = groups.join(f.select("key", "v1_geo_id", "position").hint("merge"), "key").select("stratum", "v1_geo_id", F.col("start").alias("x"), F.col("position").alias("y"))
     zero = F.lit(0).cast("long")
 
     def of(name: str, condition: Column) -> DataFrame:
         return f.filter(condition).select(F.lit(name).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), zero.alias("y"))
 
-    known = claims.join(f.select("v1_geo_id").distinct().withColumn("known", F.lit(True)).hint("merge"), "v1_geo_id", "left")
-    per = known.groupBy("source_key").agg(F.count_if(F.col("known").isNull()).alias("missing"), F.count("*").alias("n"))
-    claimed = known.filter("known").join(per.hint("merge"), "source_key")
-    by_claim = lambda name, condition: claimed.filter(condition).select(F.lit(name).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), F.col("item").alias("y"))
     parts = [
         clustered, of(PRIORITY[2], F.col("kind") == "uuid"), of(PRIORITY[3], F.col("kind") == "l20_hash"), of(PRIORITY[4], ~has_geometry(F.col("wkt"))),
-        of(PRIORITY[5], has_geometry(F.col("wkt")) & ~parseable(F.col("wkt"))), of(PRIORITY[6], F.coalesce(F.col("area") <= 0, F.lit(True))), by_claim(PRIORITY[7], F.col("missing") > 0),
-        f.join(claims.select("v1_geo_id").distinct().hint("merge"), "v1_geo_id", "left_anti").select(F.lit(PRIORITY[8]).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), zero.alias("y")),
-        by_claim(PRIORITY[9], (F.col("n") >= MANY_FIELDS) & (F.col("item") < cap)),
+        of(PRIORITY[5], has_geometry(F.col("wkt")) & ~parseable(F.col("wkt"))), of(PRIORITY[6], F.coalesce(F.col("area") <= 0, F.lit(True))), _first_claims(claims, unknown(fields, ids), cap),
+        f.join(ids.select("v1_geo_id").hint("merge"), "v1_geo_id", "left_anti").select(F.lit(PRIORITY[8]).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), zero.alias("y")),
         f.select(F.concat(F.lit("area_"), area_band(F.col("area"))).alias("stratum"), "v1_geo_id", F.col("position").alias("x"), zero.alias("y")),
     ]
     every = parts[0]
@@ -133,14 +188,15 @@ def strata(fields: DataFrame, claims: DataFrame, cap: int = 200) -> DataFrame:
     return once.withColumn("place", place).filter(F.col("place") <= cap).select("stratum", "v1_geo_id", "place")
 
 
-def budgeted_sample(fields: DataFrame, claims: DataFrame, budget: int = 3000, cap: int = 200) -> tuple[DataFrame, DataFrame]:
+def budgeted_sample(fields: DataFrame, claims: DataFrame, budget: int = 3000, cap: int = 200, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``stratum, v1_geo_id`` of the sample, and one row of its figures.
 
     Strata are taken in order of priority while there is room.  An id chosen
     before still fills a place of a later stratum.  Only if no stratum was cut,
     other fields fill the sample up to the budget (stratum ``filler``).
+    ``ids`` as in ``strata``.
     """
-    listed = cut(strata(fields, claims, cap))
+    listed = cut(strata(fields, claims, cap, ids))
     names = [r[0] for r in listed.select("stratum").distinct().collect()]  # 17 at most
     ordered = [n for n in PRIORITY if n in names] + sorted(n for n in names if n.startswith("area_"))
     taken, chosen, size, exhausted = None, None, 0, False
@@ -164,8 +220,9 @@ def budgeted_sample(fields: DataFrame, claims: DataFrame, budget: int = 3000, ca
     return taken, figures
 
 
-def sampled_profiles(profiles: DataFrame, claims: DataFrame, fields: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``source_key`` of profiles that own a chosen field, have none, or hold a reference to an unknown field."""
-    owning = claims.join(chosen.select("v1_geo_id").distinct(), "v1_geo_id", "left_semi").select("source_key")
-    without = profiles.select("source_key").join(claims.select("source_key").distinct().hint("merge"), "source_key", "left_anti")
-    return owning.unionByName(without).unionByName(orphan_refs(fields, claims).select("source_key")).distinct().join(profiles.select("source_key").hint("merge"), "source_key", "left_semi")
+def sampled_profiles(profiles: DataFrame, claims: DataFrame, fields: DataFrame, chosen: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``source_key`` of profiles that own a chosen field, have none, or hold a reference to an unknown field.  ``ids`` as in ``strata``."""
+    strange = unknown(fields, claimed(claims) if ids is None else ids)
+    hits = marked(claims, chosen.select("v1_geo_id").unionByName(strange), "hit").groupBy("source_key").agg(F.max("hit").alias("hit"))
+    every = profiles.filter("source_key is not null").select("source_key").distinct().join(hits.hint("merge"), "source_key", "left")
+    return every.filter(F.coalesce("hit", F.lit(True))).select("source_key")

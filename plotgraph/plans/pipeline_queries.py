@@ -42,15 +42,18 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
 def claims(spark: SparkSession, d: str) -> DataFrame:
     """Every line claims, for its customer, the field that begins its part's group of three (so fields inside groups are unclaimed); some customers claim a field that isn't there."""
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
-    pairs = o.join(li.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), (F.col("l_partkey") - F.col("l_partkey") % 3).alias("k")).distinct()
+    pairs = o.join(li.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), (F.col("l_partkey") - F.col("l_partkey") % 3).alias("k"))
+    # Dealt by k alone, pairs are made distinct where they meet their fields.
+    pairs = pairs.repartition("k").distinct()
     f = fields(spark, d).select("k", "v1_geo_id")
     known = pairs.join(f.hint("merge"), "k").select("c", "k", "v1_geo_id")
     stray = read(spark, d, "customer").filter("c_custkey % 37 = 0").select(F.col("c_custkey").alias("c"), F.lit(1 << 40).cast("long").alias("k"), F.concat(F.lit("orphan-"), F.col("c_custkey").cast("string")).alias("v1_geo_id"))
     from pyspark.sql import Window
 
-    every = known.unionByName(stray)
-    item = F.row_number().over(Window.partitionBy("c").orderBy("k")) - 1
-    return every.select(named("T", F.col("c")).alias("source_key"), F.col("c").alias("position"), item.cast("long").alias("item"), "v1_geo_id")
+    # The window is over the column that is returned, so a filter of profiles' positions comes before it.
+    every = known.unionByName(stray).select(named("T", F.col("c")).alias("source_key"), F.col("c").alias("position"), "k", "v1_geo_id")
+    item = F.row_number().over(Window.partitionBy("position").orderBy("k")) - 1
+    return every.select("source_key", "position", item.cast("long").alias("item"), "v1_geo_id")
 
 
 def id_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -104,8 +107,10 @@ def sample_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_profiles(spark: SparkSession, d: str) -> DataFrame:
-    taken, _ = inventory.budgeted_sample(fields(spark, d), claims(spark, d))
-    return inventory.sampled_profiles(profiles(spark, d), claims(spark, d), fields(spark, d), taken)
+    f, c = fields(spark, d), claims(spark, d)
+    ids = inventory.claimed(c)
+    taken, _ = inventory.budgeted_sample(f, c, ids=ids)
+    return inventory.sampled_profiles(profiles(spark, d), c, f, taken, ids)
 
 
 def account_constraints(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from plotgraph.operators import resolve, trace
+from plotgraph.operators import inventory, resolve, trace
 
 
 def test_registered_points_are_not_broadcast(spark):
@@ -80,3 +80,65 @@ def test_traces_by_every_way(spark, monkeypatch, busy, few, chunk):
         counts[p, resolution] = counts.get((p, resolution), 0) + 1
     assert {(r["seed"], r["resolution"]): r["lots"] for r in found.labels.collect()} == counts
     assert {r[0] for r in over} and len(over) > len(cells_of)
+
+
+def _shuffled(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+FIELDS = "v1_geo_id string, position long, kind string, l13 string, wkt string, area double"
+CLAIMS = "source_key string, position long, item long, v1_geo_id string"
+
+
+def test_strata_shuffle_claims_once(spark):
+    fields = spark.createDataFrame([(f"id{i:050d}", i, "uuid", f"k{i % 900}", "POINT (1 1)", 1.0) for i in range(1000)], FIELDS)
+    rows = [(f"s{p}", p, i, f"id{(p * 31 + i) % 1010:050d}") for p in range(100) for i in range(300)]
+    claims = spark.createDataFrame(rows, CLAIMS)
+    before = _shuffled(spark)
+    got = {tuple(r) for r in inventory.strata(fields, claims, 5).collect()}
+    assert _shuffled(spark) - before < 2 * len(rows)
+    # The first claims of the first profile, which all have many; of ids beyond the thousandth nothing is known.
+    assert {x[1:] for x in got if x[0] == "profile_with_many_fields"} == {(f"id{i:050d}", i + 1) for i in range(5)}
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+@pytest.mark.parametrize("ids", [6, 60])
+def test_first_claims_are_the_first_of_all(spark, monkeypatch, sent, ids):
+    """Strata of claims and the sampled profiles, against plain Python: also where the first profiles share their few ids, and with ids and positions missing."""
+    import random
+
+    monkeypatch.setattr(inventory, "SENT", sent)
+    rng, cap = random.Random(ids), 7
+    fields = [(f"f{i}", i, "uuid", f"k{i // 3}" if i % 4 else None, "POINT (1 1)", 1.0) for i in range(ids)] + [(f"late{i}", 1000 + i, "uuid", None, "POINT (1 1)", 1.0) for i in range(9)]
+    claims = []
+    for p in range(40):
+        own = rng.sample(range(ids), min(ids, rng.choice((2, 5, 12))))
+        names = [f"f{i}" for i in own] + ["late%d" % (p % 9)] * (p > 30) + ([None] if p == 3 else []) + ([f"orphan{p}"] if p % 3 == 0 else []) + [f"f{own[0]}"] * 8 * (p % 2)
+        claims += [(f"s{p}", None if p == 39 else p, i, n) for i, n in enumerate(names)]
+    profiles = spark.createDataFrame([(f"s{p}",) for p in range(45)] + [(None,)], "source_key string")
+    f, c = spark.createDataFrame(fields, FIELDS), spark.createDataFrame(claims, CLAIMS)
+    known, of = {x[0] for x in fields}, {}
+    for s, x, y, n in claims:
+        of.setdefault(s, []).append((-1 if x is None else x, y, n))
+
+    def place(found):
+        least = {}
+        for x, y, n in found:
+            if n in known:
+                least[n] = min(least.get(n, (x, y)), (x, y))
+        return {(n, i + 1) for i, (_, n) in enumerate(sorted((at, n) for n, at in least.items())[:cap])}
+
+    got = {}
+    for r in inventory.strata(f, c, cap).collect():
+        got.setdefault(r["stratum"], set()).add((r["v1_geo_id"], r["place"]))
+    lost = [x for rows in of.values() if any(n not in known for _, _, n in rows) for x in rows]
+    many = [x for rows in of.values() if len(rows) >= 10 for x in rows if x[1] < cap]
+    assert got["profile_with_orphan_ref"] == place(lost) and got["profile_with_many_fields"] == place(many)
+    claimed = {x[3] for x in claims}
+    assert {n for n, _ in got.get("unclaimed_field", set())} == {x[0] for x in sorted((x for x in fields if x[0] not in claimed), key=lambda x: x[1])[:cap]}
+    taken = spark.createDataFrame([("a", "f0"), ("b", "f0"), ("a", "f4")], "stratum string, v1_geo_id string")
+    want = {s for s, rows in of.items() if any(n in ("f0", "f4") or n not in known for _, _, n in rows)} | {f"s{p}" for p in range(40, 45)}
+    assert sorted(r[0] for r in inventory.sampled_profiles(profiles, c, f, taken).collect()) == sorted(want)
