@@ -5,9 +5,10 @@ import pytest
 from plotgraph.operators import inventory, resolve, trace
 
 
-def test_registered_points_are_not_broadcast(spark):
-    """However small the registered points seem to be, the driver never holds them."""
-    p = spark.createDataFrame([("a", 14.75, -88.25), ("b", 14.75 + 5e-5, -88.25)], "geo_id string, lat double, lng double")
+def test_registered_points_are_not_broadcast(spark, tmp_path):
+    """However small the file of the registered points seems to be, the driver never holds them."""
+    spark.createDataFrame([("a", 14.75, -88.25), ("b", 14.75 + 5e-5, -88.25)], "geo_id string, lat double, lng double").write.parquet(f"{tmp_path}/p")
+    p = spark.read.parquet(f"{tmp_path}/p")
     near = resolve.near_points(p, p)
     assert "Broadcast" not in near._jdf.queryExecution().toString()
     assert {(r["a"], r["b"]) for r in near.collect()} == {("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")}
